@@ -55,16 +55,14 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     """The log ratio of each bucket: ``BUCKETS`` doubles.  ``trusted``: ids of the trusted texts."""
     ids = trusted.select(F.col(trusted.columns[0]).alias(f"{TMP}id")).where(F.col(f"{TMP}id").isNotNull()).distinct().withColumn(f"{TMP}trusted", F.lit(1))
     marked = docs.select(F.col(id_col).alias(f"{TMP}id"), F.col(text_col).alias(f"{TMP}text"))
-    # Only ids meet the trusted ones; bucket counts per text would cost a shuffle of the texts.
+    # Sorted buckets of a text are a few runs, which the shuffle compresses to a fraction of the text; the texts stay where they are.
+    grams = _buckets(marked, f"{TMP}text").select(f"{TMP}id", F.sort_array(f"{TMP}grams").alias(f"{TMP}grams"))
     counts = (
-        _buckets(marked, f"{TMP}text")
-        .select(f"{TMP}id", F.explode_outer(f"{TMP}grams").alias("bucket"))  # explode() would put a filter that folds the text again for each gram
+        grams.join(ids, f"{TMP}id", "left")
+        .select(f"{TMP}trusted", F.explode_outer(f"{TMP}grams").alias("bucket"))  # explode() would put a filter that folds the text again for each gram
         .where(F.col("bucket").isNotNull())
-        .groupBy(f"{TMP}id", "bucket")
-        .agg(F.count("*").alias("n"))
-        .join(ids, f"{TMP}id", "left")
         .groupBy("bucket")
-        .agg(F.sum("n").alias("raw"), F.sum(F.when(F.col(f"{TMP}trusted") == 1, F.col("n"))).alias("good"))
+        .agg(F.count("*").alias("raw"), F.count(f"{TMP}trusted").alias("good"))
     )
     raw, good = [0.0] * BUCKETS, [0.0] * BUCKETS
     for row in counts.collect():  # BUCKETS rows at most

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import bpe, fingerprints, mixing, near_duplicates, quality_classifier, quality_rules, secrets, sharding
 
 
 def queries() -> dict:
-    return {"op9_quality_rules": quality_rules.query}
+    return {
+        "op1_bpe": bpe.query,
+        "op2_fingerprints": fingerprints.query,
+        "op3_secrets": secrets.query,
+        "op5_quality_classifier": quality_classifier.query,
+        "op6_mixing": mixing.query,
+        "op7_sharding": sharding.query,
+        "op9_quality_rules": quality_rules.query,
+        "op10_near_duplicates": near_duplicates.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
