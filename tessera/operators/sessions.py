@@ -10,8 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def millis(ts: Column) -> Column:
+    """Milliseconds since 1970, for timestamps with and without a zone."""
+    return F.unix_millis(ts.cast("timestamp"))
+
+
 def minutes_between(start: Column, end: Column) -> Column:
-    return F.round((F.unix_millis(end) - F.unix_millis(start)) / 60000.0, 2)
+    return F.round((millis(end) - millis(start)) / 60000.0, 2)
 
 
 def session_rollup(events: DataFrame, session: str, kind: str, ts: str, event_id: str, value: str, page_kind: str = "view") -> DataFrame:
@@ -28,3 +33,55 @@ def session_rollup(events: DataFrame, session: str, kind: str, ts: str, event_id
         F.min_by("v", "k").alias("first_value"),
         F.concat_ws(", ", F.array_sort(F.collect_list(F.concat(F.coalesce("kind", F.lit("unknown")), F.lit(": "), F.col("n").cast("string"))))).alias("type_summary"),
     )
+
+
+def type_breakdown(events: DataFrame, session: str, kind: str) -> DataFrame:
+    """Counts of each type in a session and their share of the session in per cent."""
+    counts = events.groupBy(F.col(session).alias("session_id"), F.col(kind).alias("kind")).agg(F.count("*").alias("n"))
+    totals = counts.groupBy("session_id").agg(F.sum("n").alias("total"))
+    return counts.join(totals, "session_id").select("session_id", "kind", "n", F.round(100.0 * F.col("n") / F.col("total"), 1).alias("pct"))
+
+
+def user_summary(events: DataFrame, user: str, kind: str, ts: str, page_kind: str = "view") -> DataFrame:
+    """Totals per user over their days, a day standing for a session."""
+    days = events.groupBy(F.col(user).alias("user"), F.to_date(ts).alias("day")).agg(
+        F.count("*").alias("n"), F.count_if(F.col(kind) == page_kind).alias("views"), F.min(ts).alias("t0"), F.max(ts).alias("t1")
+    )
+    ms = millis(F.col("t1")) - millis(F.col("t0"))
+    return days.groupBy("user").agg(
+        F.count("*").alias("sessions"),
+        F.sum("n").alias("activities"),
+        F.sum("views").alias("page_views"),
+        F.floor(F.sum(ms) / 3600000).cast("long").alias("hours"),
+        (F.floor(F.sum(ms) / 60000) % 60).cast("long").alias("minutes"),
+        F.round(F.sum("n") / F.count("*"), 2).alias("per_session"),
+    )
+
+
+def visitors(events: DataFrame, user: str, kind: str, ts: str, event_id: str) -> DataFrame:
+    """First and last visit, number of visits, and how the first one came."""
+    return events.groupBy(F.col(user).alias("user")).agg(
+        F.min(ts).alias("first_visit"), F.max(ts).alias("last_visit"), F.count("*").alias("visits"), F.min_by(kind, F.struct(ts, event_id)).alias("access_method")
+    )
+
+
+def success_rate(events: DataFrame, kind: str, failed: str = "error") -> DataFrame:
+    return events.agg(
+        F.count("*").alias("total"), F.count_if(F.col(kind) != failed).alias("succeeded"), F.round(100.0 * F.count_if(F.col(kind) != failed) / F.count("*"), 1).alias("success_pct"), F.countDistinct(kind).alias("kinds")
+    )
+
+
+def nearest_rank(events: DataFrame, group: str, value: str, share: float = 0.95) -> DataFrame:
+    """Average and nearest-rank percentile of the positive values of each group."""
+    return events.where(F.col(value) > 0).groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias("mean_value"), F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})").alias("p_value"))
+
+
+def capped_recent(rows: DataFrame, ts: str, key: str, limit: int) -> DataFrame:
+    """The newest ``limit`` rows; ties by key, newest first.  A top-k: each task keeps ``limit`` rows at most."""
+    return rows.orderBy(F.col(ts).desc(), F.col(key).desc()).limit(limit)
+
+
+def density(rows: DataFrame, lat: str, lng: str, label: str, order: str, limit: int = 500) -> DataFrame:
+    """The ``limit`` fullest cells of hundredths of a degree, with the first row's label."""
+    cells = rows.groupBy(F.round(lat, 2).alias("lat"), F.round(lng, 2).alias("lng")).agg(F.count("*").alias("n"), F.min_by(label, order).alias("first_label"))
+    return cells.orderBy(F.col("n").desc(), "lat", "lng").limit(limit)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import activity
+from . import activity, linking
 
-_MODULES = (activity,)
+_MODULES = (activity, linking)
 
 
 def queries() -> dict:
