@@ -50,3 +50,15 @@ def interleaved(rows: DataFrame, group: str, order: str, limit: int) -> DataFram
     turn = F.row_number().over(Window.partitionBy(group).orderBy(order))
     ranked = rows.select(F.col(group).alias("grp"), F.col(order).alias("id"), turn.cast("long").alias("turn")).where(F.col("turn") <= limit)
     return ranked.orderBy("turn", "grp").limit(limit)
+
+
+def jumps(fixes: DataFrame, key: str, ts: str, order: str, most_seconds: int, most_metres: float) -> DataFrame:
+    """Fixes (lat, lng) that lie over ``most_metres`` from the one before of the same key, less than ``most_seconds`` later."""
+    from ..functions import geo
+
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    w = Window.partitionBy(key).orderBy(ts, order)
+    rows = fixes.withColumn("_lat", F.lag("lat").over(w)).withColumn("_lng", F.lag("lng").over(w)).withColumn("_us", micros(F.col(ts)) - micros(F.lag(ts).over(w)))
+    rows = rows.withColumn("metres", F.round(geo.haversine_m(F.col("_lat"), F.col("_lng"), F.col("lat"), F.col("lng")), 1))
+    out = rows.where((F.col("_us") > 0) & (F.col("_us") < 1000000 * most_seconds) & (F.col("metres") > most_metres))
+    return out.select(F.col(key).alias("key"), F.col(order).alias("id"), "metres", F.round(F.col("_us") / 1000000.0, 3).alias("seconds"))

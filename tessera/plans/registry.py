@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import activity, linking
+from . import activity, linking, texts
 
-_MODULES = (activity, linking)
+_MODULES = (activity, linking, texts)
 
 
 def queries() -> dict:
