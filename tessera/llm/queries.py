@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, mixing, near_duplicates, quality_classifier, quality_rules, secrets, sharding
+from . import bpe, fingerprints, licenses, mixing, near_duplicates, quality_classifier, quality_rules, secrets, sharding, warc
 
 
 def queries() -> dict:
@@ -10,13 +10,15 @@ def queries() -> dict:
         "op1_bpe": bpe.query,
         "op2_fingerprints": fingerprints.query,
         "op3_secrets": secrets.query,
+        "op4_warc": warc.query,
         "op5_quality_classifier": quality_classifier.query,
         "op6_mixing": mixing.query,
         "op7_sharding": sharding.query,
+        "op8_licenses": licenses.query,
         "op9_quality_rules": quality_rules.query,
         "op10_near_duplicates": near_duplicates.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": warc.ORACLE}
