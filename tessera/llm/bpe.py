@@ -6,8 +6,8 @@ token), one per byte, of a recursive query.  A step joins neighbouring tokens to
 least rank, and contracts it; a word without such a pair is done and leaves the recursion.  The merge table has every way to cut a
 token into two tokens, so its size is the vocabulary's.
 
-In words of over ``LONG`` bytes a step contracts all occurrences of the least pair, from the left and without overlap, if no pair
-that can come out of it has a lower rank (``free`` in the merge table).  The result is the same, and long runs end after few steps.
+In words of over ``LONG`` bytes a step contracts the occurrences of the least pair, from the left and without overlap, up to the
+first that brings a pair of lower rank.  The result is the same, and long runs end after few steps.
 
 Decoding joins the ids of a block to the vocabulary and puts the bytes of each document together by ordered aggregation.
 
@@ -35,9 +35,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\p{IsWhite_Space}\p{L}\p{N}]").replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
 LONG = 64
 #: Bytes of words (with their offsets) that are encoded at once, tokens that are decoded at once, and bytes of distinct words in one recursion.
-BLOCK, TOKENS, WORDS = 24 << 20, 1 << 20, 1 << 18
+BLOCK, TOKENS, WORDS = 12 << 20, 1 << 19, 1 << 18
 #: Most words whose tokens a worker remembers.
-KNOWN = 800_000
+KNOWN = 400_000
 
 _RECURSION = """
 WITH RECURSIVE step(w, p, tok, done) AS (
@@ -61,19 +61,25 @@ _ONE = """
   SELECT r.w, r.p, CASE WHEN r.p = b.p THEN b.c ELSE r.tok END, b.c IS NULL
   FROM ranked r JOIN best b ON b.w = r.w WHERE b.c IS NULL OR r.before IS NULL OR r.before <> r.w * 65536::BIGINT + b.p
 """
-#: All occurrences of the pair of least rank, every other one where they overlap, if the pair is free.
+#: All occurrences of the pair of least rank from the left, every other one where they overlap, up to the first one whose merged token
+#: makes a pair of still lower rank with a neighbour.  Until then that pair stays the least, so one at a time would come to the same.
 _ALL = """
   WITH pairs AS (
-    SELECT w, p, tok, lead(tok) OVER nb AS nx, row_number() OVER nb AS n FROM step WHERE NOT done WINDOW nb AS (PARTITION BY w ORDER BY p)),
+    SELECT w, p, tok, lead(tok) OVER nb AS nx, lag(tok) OVER nb AS pv, lead(tok, 2) OVER nb AS nn, row_number() OVER nb AS n
+    FROM step WHERE NOT done WINDOW nb AS (PARTITION BY w ORDER BY p)),
   ranked AS MATERIALIZED (
-    SELECT x.w, x.p, x.tok, x.n, m.c, m.free FROM pairs x LEFT JOIN merges m ON m.ab = (x.tok::BIGINT << 32) | x.nx),
+    SELECT x.w, x.p, x.tok, x.n, x.pv, x.nn, m.c, m.twin FROM pairs x LEFT JOIN merges m ON m.ab = (x.tok::BIGINT << 32) | x.nx),
   best AS MATERIALIZED (
     SELECT w, min(c) AS c FROM ranked GROUP BY w),
   hits AS (
-    SELECT r.w, r.n, r.c, r.free, r.n - row_number() OVER (PARTITION BY r.w ORDER BY r.n) AS run, min(r.n) OVER (PARTITION BY r.w) AS first
-    FROM ranked r JOIN best b ON b.w = r.w AND b.c = r.c),
+    SELECT r.w, r.n, r.c, r.pv, r.nn, r.twin, r.n - row_number() OVER (PARTITION BY r.w ORDER BY r.n) AS run FROM ranked r JOIN best b ON b.w = r.w AND b.c = r.c),
+  apart AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY n) AS place FROM hits) WHERE place % 2 = 1),
+  judged AS (
+    SELECT h.w, h.n, h.c, h.twin OR coalesce(l.c < h.c, false) OR coalesce(r.c < h.c, false) AS last
+    FROM apart h LEFT JOIN merges l ON l.ab = (h.pv::BIGINT << 32) | h.c LEFT JOIN merges r ON r.ab = (h.c::BIGINT << 32) | h.nn),
   chosen AS MATERIALIZED (
-    SELECT w, n, c FROM (SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY n) AS place FROM hits) WHERE CASE WHEN free THEN place % 2 = 1 ELSE n = first END)
+    SELECT w, n, c FROM (SELECT *, min(CASE WHEN last THEN n END) OVER (PARTITION BY w) AS stop FROM judged) WHERE stop IS NULL OR n <= stop)
   SELECT r.w, r.p, coalesce(h.c, r.tok), b.c IS NULL
   FROM ranked r JOIN best b ON b.w = r.w LEFT JOIN chosen h ON h.w = r.w AND h.n = r.n LEFT JOIN chosen g ON g.w = r.w AND g.n = r.n - 1
   WHERE g.w IS NULL
@@ -103,10 +109,11 @@ class Codec:
         self.bytes_of = dict(sorted((r, b) for b, r in self.ranks.items()))
         rules = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         a, b, c = (np.array(x, np.int32) for x in zip(*rules, strict=True))
-        least = np.full(max(self.ranks.values()) + 1, np.iinfo(np.int32).max, np.int32)  # of the tokens that a token is part of
-        np.minimum.at(least, a, c), np.minimum.at(least, b, c)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": "", "preserve_insertion_order": True})
-        self._table("merges", ab=(a.astype(np.int64) << 32) | b, c=c, free=least[c] > c)
+        pair = (a.astype(np.int64) << 32) | b
+        rank = dict(zip(pair.tolist(), c.tolist(), strict=True))
+        twin = np.array([rank.get((x << 32) | x, x) < x for x in c.tolist()])  # two of the merged token make a pair of lower rank
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": "", "preserve_insertion_order": True})
+        self._table("merges", ab=pair, c=c, twin=twin)
         tokens = pa.table({"id": pa.array(list(self.bytes_of), pa.int32()), "bytes": [x.decode("latin-1") for x in self.bytes_of.values()]})
         self.db.register("t", tokens)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM t")
@@ -172,8 +179,16 @@ class Codec:
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.astype("<u4").tobytes())]).cast(pa.binary())
 
     def decode(self, ids: pa.Array) -> pa.Array:
-        """The bytes of each row's ids; null for null."""
-        rows = ids.to_pylist()
+        """The bytes of each row's ids; null for null.  Rows are decoded in groups of ``TOKENS`` tokens or a row more."""
+        rows, out, at, size = ids.to_pylist(), [], 0, 0
+        for end, row in enumerate(rows, 1):
+            size += len(row or b"")
+            if size >= 4 * TOKENS or end == len(rows):
+                out += self._decode(rows[at:end])
+                at, size = end, 0
+        return pa.array(out, pa.binary())
+
+    def _decode(self, rows: list[bytes | None]) -> list[bytes | None]:
         lengths = np.array([len(x) // 4 if x else 0 for x in rows], np.int64)
         flat = np.frombuffer(b"".join(x for x in rows if x), "<u4").astype(np.int32)
         doc = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
@@ -182,7 +197,7 @@ class Codec:
         out: list[bytes | None] = [None if x is None else b"" for x in rows]
         for d, text in found:
             out[d] = text.encode("latin-1")  # a character for each byte
-        return pa.array(out, pa.binary())
+        return out
 
 
 _codecs: dict[str | None, Codec] = {}
@@ -207,36 +222,54 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def encode(rows: DataFrame, text_col: str = "text", name: str = "ids", path: str | None = None) -> DataFrame:
-    """``rows`` without ``text_col`` and with the ids of its tokens, a binary value."""
+def _run(rows: DataFrame, columns: list[Column], names: list[str], steps: list[tuple[str, int]], path: str | None) -> DataFrame:
+    """Runs the codec's ``steps`` (method, place of its input) over blocks of ``columns``, in one Python worker a task.
+
+    The output has ``names``: the columns but the last, which is the first step's input, and a binary one for each step.
+    """
     python_tasks(rows.sparkSession)
-    rest = [f for f in rows.schema.fields if f.name != text_col]
-    words = F.regexp_extract_all(text_of(text_col), F.lit(PATTERN), F.lit(0))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), f"`{name}` binary"])
+    source = rows.select(*columns)
+    rest = source.schema.fields[:-1]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), *(f"`{n}` binary" for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, BLOCK):
-            words = block.column(len(rest)).combine_chunks()
-            words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
-            columns = [*(block.column(i).combine_chunks() for i in range(len(rest))), codec(path).encode(words)]
-            table = pa.table(columns, [*(f.name for f in rest), name]).combine_chunks()
-            yield from table.to_batches(max_chunksize=512)
+            arrays = [_one(block.column(i)) for i in range(len(rest) + 1)]
+            for method, at in steps:
+                arrays.append(getattr(codec(path), method)(arrays[at]))
+            del arrays[len(rest)], block
+            yield from pa.table(arrays, [*(f.name for f in rest), *names]).to_batches(max_chunksize=512)
+            del arrays
+            pa.default_memory_pool().release_unused()
+
+    return source.mapInArrow(run, schema)
+
 
-    return rows.select(*[F.col(f"`{f.name}`") for f in rest], words.alias("__t_words")).mapInArrow(run, schema)
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    column = column.combine_chunks()
+    return column if isinstance(column, pa.Array) else column.chunk(0)
+
+
+def _split(text_col: str) -> Column:
+    return F.regexp_extract_all(text_of(text_col), F.lit(PATTERN), F.lit(0)).alias("__t_words")
+
+
+def encode(rows: DataFrame, text_col: str = "text", name: str = "ids", path: str | None = None) -> DataFrame:
+    """``rows`` without ``text_col`` and with the ids of its tokens, a binary value."""
+    rest = [F.col(f"`{c}`") for c in rows.columns if c != text_col]
+    return _run(rows, [*rest, _split(text_col)], [name], [("encode", len(rest))], path)
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", name: str = "decoded", path: str | None = None) -> DataFrame:
     """``rows`` with the bytes that the ids stand for."""
-    python_tasks(rows.sparkSession)
-    at = rows.columns.index(ids_col)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), f"`{name}` binary"])
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    return _run(rows, [*columns, F.col(f"`{ids_col}`").alias("__t_ids")], [name], [("decode", len(columns))], path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, 4 * TOKENS):
-            for batch in block.to_batches():
-                yield pa.RecordBatch.from_arrays([*batch.columns, codec(path).decode(batch.column(at))], [*batch.schema.names, name])
 
-    return rows.mapInArrow(run, schema)
+def round_trip(rows: DataFrame, text_col: str = "text", names: tuple[str, str] = ("ids", "decoded"), path: str | None = None) -> DataFrame:
+    """``encode`` and then ``decode`` of the ids, by one worker, so that the ids needn't travel in between."""
+    rest = [F.col(f"`{c}`") for c in rows.columns if c != text_col]
+    return _run(rows, [*rest, _split(text_col)], list(names), [("encode", len(rest)), ("decode", len(rest) + 1)], path)
 
 
 def n_tokens(ids: Column) -> Column:
@@ -245,5 +278,5 @@ def n_tokens(ids: Column) -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: ids of every document and the text they decode to, as digests."""
-    out = decode(encode(documents(spark, sf_dir).select("doc_id", "text")))
+    out = round_trip(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -11,7 +11,8 @@ of the tables.
 Everything is DataFrame expressions.
 
 Defined cases: a null or empty text has no terms and the fingerprint of zeros; a bit with exactly half of the weight is unset; equal
-texts have equal fingerprints; repeated rows and ids are each kept; of documents with equal ids the next one is of the next lower id.
+texts have equal fingerprints; repeated rows and ids are each kept; of documents with equal ids the next one is of the next lower id;
+a document without an id has no next one, and its edited text loses its last half.
 """
 
 from __future__ import annotations
@@ -116,19 +117,21 @@ def edited(docs: DataFrame) -> DataFrame:
     Only as much of the next text is sent as a text can take: its first half of the asking text's length.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    ids = written(next_ids(rows.select("doc_id")), "next")
-    halves = rows.select("doc_id", F.floor(F.length("text") / 2).cast("int").alias("half"))
-    repeated = rows.count() > ids.count()
+    known = rows.where(F.col("doc_id").isNotNull())  # both joins take it, so that its texts are shuffled once
+    ids = written(next_ids(known.select("doc_id")), "next")
+    halves = known.select("doc_id", F.floor(F.length("text") / 2).cast("int").alias("half"))
+    repeated = known.count() > ids.count()
     if repeated:
         halves = halves.groupBy("doc_id").agg(F.max("half").alias("half"))
     asked = halves.join(ids, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("asker"), "half")
-    heads = rows.join(asked, "doc_id").select(F.col("asker").alias("doc_id"), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"), F.col("doc_id").alias("next_id"))
+    heads = known.join(asked, "doc_id").select(F.col("asker").alias("doc_id"), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"), F.col("doc_id").alias("next_id"))
     if repeated:  # of several texts of the next id, the greatest
         heads = heads.groupBy("doc_id", "next_id").agg(F.max("head").alias("head"))
-    out = rows.join(heads, "doc_id", "left")
+    none = rows.where(F.col("doc_id").isNull()).withColumns({"head": F.lit(""), "next_id": F.lit(None).cast("long")})
+    out = known.join(heads, "doc_id").unionByName(none)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    return out.select("doc_id", "next_id", "text", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("head", F.lit("")), F.lit(1), half)).alias("edited"))
+    return out.select("doc_id", "next_id", "text", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("head"), F.lit(1), half)).alias("edited"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ are linked if their sets' Jaccard similarity reaches ``NEAR`` per cent, and comp
    15 % of its shingles can't reach the threshold with anything and is dropped; that bound is exact.
 4. Keys become links in rounds, and every link is confirmed on the full sets.  Star rounds link each member of a key to one of its
    members, a row per member, whatever the size of the group; confirmed links are merged into components.  The last round takes the
-   pairs of a key that are still in different components and that the sets' sizes and shared shingles allow.  No key, group or
-   candidate is capped.
+   pairs of a key that are still in different components and that exact bounds allow: sizes, shared shingles, and the Hamming distance
+   of parity sketches, which the symmetric difference can't be less than.  No key, group or candidate is capped.
 
 Components are found by letting every node take the smallest neighbouring label and that label's label, until nothing changes.
 
@@ -41,6 +41,8 @@ NEAR = 85
 SHINGLE = 5
 CHUNKS, PLACES, ERRORS = 4, 6, 2
 VALUES = CHUNKS * PLACES
+#: Longs of a set's parity sketch.
+SKETCH = 8
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _WEIGHTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -108,7 +110,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
         items = pa.ListArray.from_arrays(ends, np.concatenate(found) if found else np.zeros(0, np.int64))
         digests = pa.array([digest(x.view(np.uint64)) for x in found], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), digests, items], ["id", "digest", "items"])
+        parity = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * SKETCH, np.concatenate([np.zeros(0, np.int64), *map(sketch, found)]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), digests, items, parity], ["id", "digest", "items", "sketch"])
+
+
+def sketch(items: np.ndarray) -> np.ndarray:
+    """``SKETCH`` longs of parity bits, one for each residue of the items: sketches of two sets differ in at most as many bits as the
+    sets have items that only one of them has."""
+    odd = np.bincount(items & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def keys(sign: Column) -> Column:
@@ -147,10 +157,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, near: int = NEAR) -> DataFrame:
     return two.where(100 * both >= near * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _allowed(near: int, a: str = "", b: str = "") -> Column:
-    """Whether sizes (n) and shared shingles (m) let two sets be as similar as asked: the intersection is at most the smaller m."""
+def _allowed(near: int, a: str, b: str) -> Column:
+    """Whether two sets can be as similar as asked, by exact bounds: the intersection is at most the smaller count of shared shingles
+    (m), and the items that only one set has are at least the bits in which the sketches differ."""
+    both = F.col(f"{a}n") + F.col(f"{b}n")
     most = F.least(F.col(f"{a}m"), F.col(f"{b}m"))
-    return most * (100 + near) >= near * (F.col(f"{a}n") + F.col(f"{b}n"))
+    apart = sum((F.bit_count(F.get(f"{a}sketch", i).bitwiseXOR(F.get(f"{b}sketch", i))) for i in range(SKETCH)), F.lit(0))
+    return (most * (100 + near) >= near * both) & (apart * (100 + near) <= (100 - near) * both)
 
 
 def classes(docs: DataFrame, near: int = NEAR, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -167,12 +180,12 @@ def classes(docs: DataFrame, near: int = NEAR, id_col: str = "doc_id", text_col:
     members = written(keyed.join(shared, "key"), "keys")
     some = written(members.select("id").distinct(), "members")
     own = texts.join(some.withColumnRenamed("id", "doc_id"), "doc_id")
-    own = own.mapInArrow(_sets, "id long, digest string, items array<bigint>")
+    own = own.mapInArrow(_sets, "id long, digest string, items array<bigint>, sketch array<bigint>")
     # An id may have several texts; the class's set is the one with its digest.
-    sets = written(own.join(firsts, ["id", "digest"], "left_semi").select("id", "items"), "sets")
+    sets = written(own.join(firsts, ["id", "digest"], "left_semi").select("id", "items", "sketch"), "sets")
     # m: how many of a class's shingles another class in the tables has too.
     alone = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    sized = sets.select("id", F.size("items").cast("long").alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"))
+    sized = sets.select("id", F.size("items").cast("long").alias("n"), "sketch").join(alone, "id", "left").select("id", "n", "sketch", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"))
     sized = written(sized.where(F.col("m") * 100 >= near * F.col("n")), "sized")
     members = written(members.join(sized, "id"), "keys")
     nodes = sized.select("id")
@@ -180,16 +193,16 @@ def classes(docs: DataFrame, near: int = NEAR, id_col: str = "doc_id", text_col:
     links, comps = None, written(nodes.select("id", F.col("id").alias("comp")), "labels")
     for turn in range(2):
         at = members.join(comps, "id")
-        hub = F.min(F.struct("id", "n", "m", "comp")) if turn == 0 else F.min_by(F.struct("id", "n", "m", "comp"), F.xxhash64("id", "key"))
-        hubs = at.groupBy("key").agg(hub.alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("h_n"), F.col("h.m").alias("h_m"), F.col("h.comp").alias("h_comp"))
+        hub = F.min(F.struct("id", "n", "m", "comp", "sketch")) if turn == 0 else F.min_by(F.struct("id", "n", "m", "comp", "sketch"), F.xxhash64("id", "key"))
+        hubs = at.groupBy("key").agg(hub.alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("h_n"), F.col("h.m").alias("h_m"), F.col("h.comp").alias("h_comp"), F.col("h.sketch").alias("h_sketch"))
         star = at.join(hubs, (at.key == hubs.key) & (at.comp != hubs.h_comp) & _allowed(near, "", "h_"))
         star = star.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         new = written(confirmed(star, sets, near), "links")
         links = new if links is None else links.unionByName(new)
         comps = components(nodes, links)
     at = members.join(comps, "id")
-    left = at.select("key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("m").alias("a_m"), F.col("comp").alias("a_comp"))
-    right = at.select(F.col("key").alias("key2"), F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("m").alias("b_m"), F.col("comp").alias("b_comp"))
+    left = at.select("key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("m").alias("a_m"), F.col("comp").alias("a_comp"), F.col("sketch").alias("a_sketch"))
+    right = at.select(F.col("key").alias("key2"), F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("m").alias("b_m"), F.col("comp").alias("b_comp"), F.col("sketch").alias("b_sketch"))
     open_pairs = left.join(right, (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & _allowed(near, "a_", "b_")).select("a", "b").distinct()
     new = written(confirmed(open_pairs, sets, near), "links")
     if not new.isEmpty():

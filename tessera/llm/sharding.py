@@ -142,14 +142,6 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: shard and slot of every document by the law ``bytes``."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = shard(docs)
-    return out.select(
-        "doc_id",
-        (F.octet_length(text_of()) + 8).cast("long").alias("size"),
-        F.crc32(F.encode(text_of(), "UTF-8")).cast("long").alias("text_crc32"),
-        F.lit("bytes").alias("law"),
-        "shard",
-        "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    digests = (F.octet_length(text_of()) + 8).cast("long").alias("size"), F.crc32(F.encode(text_of(), "UTF-8")).cast("long").alias("text_crc32")
+    out = shard(documents(spark, sf_dir).select("doc_id", "text", *digests))  # the texts stay behind: only their digests move
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
