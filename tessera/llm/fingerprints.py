@@ -21,6 +21,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import TMP, documents, text_of, words_of, written
 
@@ -116,8 +117,10 @@ def edited(docs: DataFrame) -> DataFrame:
 
     Only as much of the next text is sent as a text can take: its first half of the asking text's length.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    known = rows.where(F.col("doc_id").isNotNull())  # both joins take it, so that its texts are shuffled once
+    # Both joins take ``known``, so that its texts are shuffled once; an alias of the key would make the two shuffles differ.
+    key = F.col("doc_id") if docs.schema["doc_id"].dataType == T.LongType() else F.col("doc_id").cast("long").alias("doc_id")
+    rows = docs.select(key, text_of().alias("text"))
+    known = rows.where(F.col("doc_id").isNotNull())
     ids = written(next_ids(known.select("doc_id")), "next")
     halves = known.select("doc_id", F.floor(F.length("text") / 2).cast("int").alias("half"))
     repeated = known.count() > ids.count()
