@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import activity, linking, texts
+from . import activity, linking, records, texts
 
-_MODULES = (activity, linking, texts)
+_MODULES = (activity, linking, records, texts)
 
 
 def queries() -> dict:
