@@ -34,7 +34,7 @@ def test_audit_finds_what_changed(spark, change):
     a, b = warc.archive(pages_of(spark, 700)), warc.archive(pages_of(spark, 700, change))
     found, counts = warc.audit(warc.tree(a), warc.tree(b))
     x = a.select("file", "rank", a.digest.alias("x")).join(b.select("file", "rank", b.digest.alias("y")), ["file", "rank"])
-    moved = {(r["file"], r["rank"]) for r in a.join(b.select("file", "rank", b.offset.alias("o"), b.length.alias("l")), ["file", "rank"]).where("offset <> o OR length <> l").collect()}
+    moved = {(r["file"], r["rank"]) for r in a.join(b.select("file", "rank", b["offset"].alias("o"), b["length"].alias("l")), ["file", "rank"]).where("`offset` <> o OR `length` <> l").collect()}
     want = {(r["file"], r["rank"]) for r in x.where("x <> y").collect()} | moved
     assert {(r["file"], r["rank"]) for r in found.collect()} == want
     assert counts[0] == (1 if change and change != (700,) else 0)
