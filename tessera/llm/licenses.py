@@ -1,21 +1,24 @@
 """License scans by conditional compression.
 
-Candidate blocks are lines with a license word.  A block is compressed alone and with each template as zstandard raw dictionary; the
-template that saves the most bytes is the best guess, and the next ones follow.  A guess is confirmed by its exact wording: the words of
-the template that the block lacks, or has in another order, may be ``MISSING`` of the template at most.  Blocks that repeat across
-documents are judged once per worker.
+Candidates are the neighbourhoods of license words: ``REACH`` words on both sides, across lines, so that line breaks and comment signs
+count as blanks.  Such a window (a few KB) is compressed alone and with each template as zstandard raw dictionary, and templates are
+tried in the order of the bytes they save.  All are tried; savings rank guesses and don't rule any out.  A guess is confirmed by its
+exact wording: the words of the template that the text lacks, or has in another order, may be ``MISSING`` of the template at most,
+within at most twice as many words as the template has.
 
 The scan is a pure function of one row and needs no shuffle.
 
-Defined cases: a null or empty text has no blocks; ties in savings go to the name first in code-point order; a block may confirm several
-templates only if they tie in wording differences; equal texts have equal results; texts of any length are scanned whole.
+Defined cases: a null or empty text has no blocks; of overlapping confirmed templates the one with the most words found stays, then
+the one that lacks fewer, then the shorter span; only templates with equal figures on the same words are reported together; templates
+that don't overlap are all reported; equal texts have equal results; texts and lines of any length are scanned whole.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pyarrow as pa
@@ -42,11 +45,21 @@ TEMPLATES = {
     "All-rights-reserved": "All rights reserved.",
 }
 CUE = re.compile(r"licen[sc]e|copyright|rights reserved|permission|redistribution|public domain|creative commons|\bCC[ -]BY\b|waived", re.I)
-#: Share of a template's words that a block may lack.
+#: Share of a template's words that a text may lack.
 MISSING = 0.1
-#: Guesses, in order of savings, whose wording is compared.
-GUESSES = 4
-_WORD = re.compile(r"[\w.+-]*\w")
+_WORD = re.compile(r"\w(?:[\w.+-]*\w)?")
+_CLOSING = re.compile(r"[.:]*")
+#: Line breaks with the blanks and comment signs around them.
+_BREAK = re.compile(r"[ \t]*(?:\r\n?|\n)[ \t]*(?:(?:/?\*+/?|#+|/{2,}|--+|;+|%+|>+|dnl\b|REM\b)[ \t]*)?")
+_ALL = [*TEMPLATES.items()]
+
+
+def _words(text: str) -> list[str]:
+    return [w.lower() for w in _WORD.findall(text)]
+
+
+#: Words on both sides of a license word that are looked at: no confirmed span is longer.
+REACH = 2 * max(len(_words(t)) for _, t in _ALL)
 
 
 @lru_cache(1)
@@ -55,35 +68,66 @@ def _compressors():
 
     make = lambda d=None: zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
     raw = lambda t: zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return make(), {name: make(raw(t)) for name, t in TEMPLATES.items()}
+    return make(), [make(raw(t)) for _, t in _ALL]
 
 
-def savings(block: str) -> list[tuple[int, str]]:
-    """Bytes saved by each template, the most first."""
+@lru_cache(1)
+def _prepared() -> list[tuple[list[str], Counter, dict[str, int]]]:
+    """Words, their counts and their places as bits, of each template."""
+    out = []
+    for _, template in _ALL:
+        words, bits = _words(template), {}
+        for i, w in enumerate(words):
+            bits[w] = bits.get(w, 0) | 1 << i
+        out.append((words, Counter(words), bits))
+    return out
+
+
+def _ranked(block: str) -> list[tuple[int, int]]:
+    """Bytes saved by each template and its place in ``_ALL``, the most first; ties to the shorter template, then the first name."""
     alone, given = _compressors()
     data = block.encode("utf-8", "replace")
     size = len(alone.compress(data))
-    return sorted(((size - len(c.compress(data)), name) for name, c in given.items()), key=lambda x: (-x[0], x[1]))
+    return sorted(((size - len(c.compress(data)), k) for k, c in enumerate(given)), key=lambda x: (-x[0], len(_ALL[x[1]][1]), _ALL[x[1]][0]))
 
 
-def wording(block: str, template: str) -> tuple[int, int]:
-    """Words of the template that the block lacks in this order, and the template's words."""
-    a, b = _WORD.findall(template.lower()), _WORD.findall(block.lower())
-    kept = sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
-    return len(a) - kept, len(a)
+def savings(block: str) -> list[tuple[int, str]]:
+    """Bytes saved by each template, the most first."""
+    return [(saved, _ALL[k][0]) for saved, k in _ranked(block)]
+
+
+def aligned(words: list[str], k: int) -> list[tuple[int, int, int]]:
+    """Words of template ``k`` found in order, first and last of ``words``, for every place where the wording is confirmed."""
+    template, counts, bits = _prepared()[k]
+    n = len(template)
+    may = int(MISSING * n)
+    first, full, out = set(template[: may + 1]), (1 << n) - 1, []  # the first word found is one of these
+    for at, word in enumerate(words):
+        if word in first:
+            v, best, last = full, 0, at
+            for j in range(at, min(len(words), at + 2 * n)):  # longest common subsequence, a bit for each word of the template
+                m = bits.get(words[j])
+                if m:
+                    u = v & m
+                    v = ((v + u) | (v - u)) & full
+                    kept = n - v.bit_count()
+                    if kept > best:
+                        best, last = kept, j
+                        if kept == n:
+                            break
+            if best >= n - may:
+                out.append((best, at, last))
+    return out
 
 
-@lru_cache(65_536)
-def judge(block: str) -> tuple[tuple[str, int, int], ...]:
-    """Confirmed licenses of a block: name, bytes saved, words lacking; of several the closest in wording."""
-    found = []
-    for saved, name in savings(block)[:GUESSES]:
-        if saved > 0:
-            lacking, n = wording(block, TEMPLATES[name])
-            if lacking <= MISSING * n:
-                found.append((lacking, -n, name, saved))
-    best = min(found)[:2] if found else None
-    return tuple((name, saved, lacking) for lacking, n, name, saved in sorted(found) if (lacking, n) == best)
+def judge(block: str, words: list[str]) -> list[tuple[int, int, int, int, int]]:
+    """Confirmed templates of a window: words found, first and last word, place of the template in ``_ALL``, bytes saved."""
+    have, found = Counter(words), []
+    possible = {k for k, (t, counts, _) in enumerate(_prepared()) if sum(min(c, have[w]) for w, c in counts.items()) >= len(t) - int(MISSING * len(t))}
+    for saved, k in _ranked(block) if possible else ():
+        if k in possible:  # others lack too many words in any order
+            found += [(kept, a, b, k, saved) for kept, a, b in aligned(words, k)]
+    return found
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
@@ -96,13 +140,43 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def licenses(text: str) -> list[tuple[int, int, str, int, int]]:
+    """Confirmed licenses in order: start, end, name, bytes saved, words lacking."""
+    cues = [m.start() for m in CUE.finditer(text)]
+    if not cues:
+        return []
+    places = [m.span() for m in _WORD.finditer(text)]
+    words, starts = [text[a:b].lower() for a, b in places], [a for a, _ in places]
+    at = sorted({max(bisect_right(starts, c) - 1, 0) for c in cues})
+    found: dict[tuple[int, int, int], tuple[int, int]] = {}
+    i = 0
+    while i < len(at):
+        low = max(at[i] - REACH, 0)
+        while i + 1 < len(at) and at[i + 1] <= low + 2 * REACH:  # a window has the whole reach of each of its license words
+            i += 1
+        high = min(at[i] + REACH + 1, len(words))
+        i += 1
+        for kept, a, b, k, saved in judge(_BREAK.sub(" ", text[places[low][0] : places[high - 1][1]]), words[low:high]):
+            found.setdefault((a + low, b + low, k), (kept, saved))
+    order = sorted((-kept, len(_prepared()[k][0]) - kept, b - a, a, _ALL[k][0], k, saved) for (a, b, k), (kept, saved) in found.items())
+    taken, held, out = bytearray(len(words)), {}, {}
+    for kept, lacking, more, a, name, _, saved in order:
+        if taken.find(1, a, a + more + 1) < 0:
+            taken[a : a + more + 1] = b"\1" * (more + 1)
+            held[a, more] = (kept, lacking)
+        elif held.get((a, more)) != (kept, lacking):
+            continue
+        end = places[a + more][1]
+        out.setdefault((places[a][0], _CLOSING.match(text, end).end(), name), (saved, lacking))
+    return sorted((*k, *v) for k, v in out.items())
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, names, spans, saved = [], [], [], []
         for text in batch.column(1).to_pylist():
-            at = blocks(text or "")
-            found = [(a, b, *x) for a, b in at for x in judge(text[a:b])]
-            counts.append(len(at))
+            found = licenses(text or "")
+            counts.append(len(blocks(text or "")))
             names.append(",".join(sorted({x[2] for x in found})))
             spans.append(",".join(f"{n}:{a}:{b}:{lacking}" for a, b, n, _, lacking in found))
             saved.append(sum(x[3] for x in found))
@@ -110,7 +184,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of ``docs``: blocks looked at, confirmed licenses, their spans (name:start:end:words lacking) and bytes saved."""
+    """A row per row of ``docs``: lines with a license word, confirmed licenses, their spans (name:start:end:words lacking) and bytes saved."""
     python_tasks(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_scan, "doc_id long, n_blocks long, licenses string, spans string, saved long")
 

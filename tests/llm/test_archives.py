@@ -73,3 +73,15 @@ def test_licenses(spark):
 def test_savings_rank_the_right_template():
     for name, template in licenses.TEMPLATES.items():
         assert licenses.savings(template)[0][1] == name
+
+
+def test_licenses_in_long_lines():
+    import random
+
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    for name, template in licenses.TEMPLATES.items():
+        text = prose(8000) + " " + template + " " + prose(8000)
+        assert len(text) > 80_000 and "\n" not in text
+        (found,) = licenses.licenses(text)
+        assert found[2] == name and text[found[0] : found[1]] == template and found[4] == 0
