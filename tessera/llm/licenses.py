@@ -44,6 +44,35 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "All-rights-reserved": "All rights reserved.",
 }
+#: Usual longer notices, license texts in full where they are short, and the titles of long ones.
+_NO_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_ENDORSE = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_GNU = "is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+NOTICES = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("BSD-2-Clause", f"{_BSD} {_NO_WARRANTY}"),
+    ("BSD-3-Clause", f"{_BSD} {_ENDORSE} {_NO_WARRANTY}"),
+    ("BSD-3-Clause", f"{_BSD} {_ENDORSE}"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "CC0 1.0 Universal: Creative Commons Legal Code"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", _MIT),
+    ("MIT", f"{_MIT} The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions"),
+    *((f"{name}-{version}.0", _GNU.format(kind, version)) for name, kind, version in (("AGPL", "Affero ", 3), ("GPL", "", 2), ("GPL", "", 3), ("LGPL", "Lesser ", 3))),
+    *((f"{name}-{version}.0", f"GNU {kind}GENERAL PUBLIC LICENSE Version {version}, {when}") for name, kind, version, when in (("AGPL", "AFFERO ", 3, "19 November 2007"), ("GPL", "", 2, "June 1991"), ("GPL", "", 3, "29 June 2007"), ("LGPL", "LESSER ", 3, "29 June 2007"))),
+)
 CUE = re.compile(r"licen[sc]e|copyright|rights reserved|permission|redistribution|public domain|creative commons|\bCC[ -]BY\b|waived", re.I)
 #: Share of a template's words that a text may lack.
 MISSING = 0.1
@@ -51,7 +80,7 @@ _WORD = re.compile(r"\w(?:[\w.+-]*\w)?")
 _CLOSING = re.compile(r"[.:]*")
 #: Line breaks with the blanks and comment signs around them.
 _BREAK = re.compile(r"[ \t]*(?:\r\n?|\n)[ \t]*(?:(?:/?\*+/?|#+|/{2,}|--+|;+|%+|>+|dnl\b|REM\b)[ \t]*)?")
-_ALL = [*TEMPLATES.items()]
+_ALL = [*TEMPLATES.items(), *NOTICES]
 
 
 def _words(text: str) -> list[str]:
@@ -140,13 +169,26 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _placed(text: str) -> list[tuple[str, int, int]]:
+    """Words with their start and end; a word that is broken after a hyphen is one."""
+    out: list[tuple[str, int, int]] = []
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        if out and text[out[-1][2]] == "-" and _BREAK.fullmatch(text, out[-1][2] + 1, a):
+            word, start, _ = out.pop()
+            out.append((f"{word}-{m.group().lower()}", start, b))
+        else:
+            out.append((m.group().lower(), a, b))
+    return out
+
+
 def licenses(text: str) -> list[tuple[int, int, str, int, int]]:
     """Confirmed licenses in order: start, end, name, bytes saved, words lacking."""
     cues = [m.start() for m in CUE.finditer(text)]
     if not cues:
         return []
-    places = [m.span() for m in _WORD.finditer(text)]
-    words, starts = [text[a:b].lower() for a, b in places], [a for a, _ in places]
+    placed = _placed(text)
+    words, places, starts = [w for w, _, _ in placed], [(a, b) for _, a, b in placed], [a for _, a, _ in placed]
     at = sorted({max(bisect_right(starts, c) - 1, 0) for c in cues})
     found: dict[tuple[int, int, int], tuple[int, int]] = {}
     i = 0

@@ -85,3 +85,26 @@ def test_licenses_in_long_lines():
         assert len(text) > 80_000 and "\n" not in text
         (found,) = licenses.licenses(text)
         assert found[2] == name and text[found[0] : found[1]] == template and found[4] == 0
+
+
+def names(text):
+    return [x[2] for x in licenses.licenses(text)]
+
+
+def test_wrapped_licenses():
+    import textwrap
+
+    for name, notice in [*licenses.TEMPLATES.items(), *licenses.NOTICES]:
+        for prefix in ("", "# ", " * ", "// ", "    "):
+            text = "first line\n\n" + textwrap.fill(notice, 40, initial_indent=prefix, subsequent_indent=prefix) + "\n\nlast line"
+            assert names(text) == [name], (name, prefix, text)
+
+
+def test_every_license_of_a_line():
+    assert names("Licensed under the Apache License, Version 2.0. Released under the MIT License.") == ["Apache-2.0", "MIT"]
+    assert names("Licensed under CC BY 4.0. All rights reserved.") == ["CC-BY-4.0", "All-rights-reserved"]
+    every = [*licenses.TEMPLATES.items(), *licenses.NOTICES]
+    assert sorted(names(" and then again ".join(t for _, t in every))) == sorted(n for n, _ in every)
+    mit = dict(licenses.NOTICES)["MIT"]
+    assert names("MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit) == ["MIT"]
+    assert names("the software was released early under pressure of the market, and the MIT people took no license") == []
