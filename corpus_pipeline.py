@@ -19,9 +19,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs, quality_rules.trusted_ids(spark, sf_dir))
 
 
+#: Jaccard similarity of five-word sets, in per cent, from which the pipeline takes documents for near duplicates.
+NEAR = 80
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: that with the smallest id."""
-    return near_duplicates.keep(docs)
+    return near_duplicates.keep(docs, near=NEAR)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ are linked if their sets' Jaccard similarity reaches ``NEAR`` per cent, and comp
 2. Signatures are cut into ``CHUNKS`` chunks.  Two signatures that differ in at most ``CHUNKS * (ERRORS + 1) - 1`` places differ, by
    pigeonhole, in at most ``ERRORS`` places of some chunk.  Every way to choose those places is enumerated: the key is the chunk, the
    choice and the values of its other places.  All pairs under that distance share a key.  (A pair at the Jaccard threshold has more
-   than ``ERRORS`` errors in every chunk with a chance of 5e-6.)
+   than ``ERRORS`` errors in every chunk with a chance of 5e-6 at 85 %, and of 1e-4 at 80 %, the pipeline's threshold.)
 3. Keys of one class alone are dropped.  Classes that are left get their sets.  A class that shares with no other such class more than
    15 % of its shingles can't reach the threshold with anything and is dropped; that bound is exact.
 4. Keys become links in rounds, and every link is confirmed on the full sets.  Star rounds link each member of a key to one of its

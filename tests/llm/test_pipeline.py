@@ -25,3 +25,16 @@ def test_stages(spark):
     rows = encoded.collect()
     texts = codec().decode(pa.array([bytes(r["ids"]) for r in rows], pa.binary())).to_pylist()
     assert sorted((r["doc_id"], t.decode()) for r, t in zip(rows, texts, strict=True)) == want
+
+
+def test_near_dedup_takes_similarity_of_80(spark):
+    words = lambda k: [f"w{k}x{i}" for i in range(104)]
+    rows = []
+    for k in range(10):
+        for copy, changed in ((0, 0), (1, 10), (2, 13)):  # of 100 sets of five words each: similarity 90 / 110 = 0.82 and 87 / 113 = 0.77
+            w = words(3 * k + (copy == 2))
+            rows.append((100 * k + 10 * copy, " ".join(w[: 104 - changed] + [f"new{k}x{copy}x{i}" for i in range(changed)])))
+        rows.append((100 * k + 90, " ".join(words(3 * k + 1))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, DIR).collect()}
+    assert kept == {100 * k + i for k in range(10) for i in (0, 20, 90)}
