@@ -1,9 +1,10 @@
 """Secret scans: three patterns, and random strings found by token efficiency.
 
 Base patterns are matched leftmost and non-overlapping, one kind at a time, and matches that are too short are dropped afterwards.
-The method then takes every run of credential characters with letters and digits, leaves out known digests (hex of a digest's
-length), UUIDs and identifiers, and measures characters per token under a byte-level vocabulary: words and identifiers compress to
-three or more characters a token, random strings to about two or less, and are reported as kind ``random``.
+The method then takes every run of credential characters with a letter and measures characters per token under a byte-level
+vocabulary: words and identifiers compress to three or more characters a token, random strings to about two or less, and are reported
+as kind ``random``.  Left out are known digests (hex of a digest's length), UUIDs, and identifiers, paths and hyphenated words whose
+parts are words of the vocabulary; letters in the shape of words are not enough.
 
 Spans are in code points, end exclusive.  The scan is a pure function of one row and needs no shuffle.
 
@@ -31,17 +32,20 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
-#: Runs that may be a credential, with a digit and a letter in them.
+#: Runs that may be a credential; those with a letter are measured.
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 #: Hex lengths of common digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
 DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
 #: Characters per token below which a run counts as random.
 RATIO = 2.2
+#: Characters per token from which a part of an identifier is a word.
+WORD_RATIO = 2.5
 MASK = "[SECRET]"
 
 _HEX_ONLY = re.compile(r"[0-9a-fA-F]+")
-_PART = re.compile(r"[A-Z]?[a-z]{3,}")
+_PIECE = re.compile(r"[A-Za-z0-9]+")
+_PART = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{3,}(?![a-z])")
 _encoders: dict[str, object] = {}
 
 
@@ -57,15 +61,30 @@ def encoder(path: str | None = None):
     return _encoders[path]
 
 
+def _is_word(part: str, ratio: float = WORD_RATIO) -> bool:
+    """Whether a part is few tokens of the vocabulary, as it stands or in lower case."""
+    return any(len(part) >= ratio * len(encoder().encode_ordinary(p)) for p in {part, part.lower()})
+
+
+def is_identifier(run: str) -> bool:
+    """Whether words of the vocabulary make up three quarters of a run's letters and digits: camelCase, snake_case, paths."""
+    pieces = _PIECE.findall(run)
+    size = 0
+    for piece in pieces:
+        if len(pieces) > 1 and piece.isalpha() and len(encoder().encode_ordinary(piece)) == 1:  # short words count between signs only
+            size += len(piece)
+        else:
+            size += sum(len(p) for p in _PART.findall(piece) if _is_word(p))
+    return 4 * size >= 3 * sum(map(len, pieces))
+
+
 def is_random(run: str, ratio: float = RATIO) -> bool:
     """Whether a run is a random string and no known digest, UUID or identifier."""
-    if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) or UUID.fullmatch(run):
-        return False
-    if _HEX_ONLY.fullmatch(run) and len(run) in DIGESTS:
+    if not any(c.isalpha() for c in run) or len(run) >= ratio * len(encoder().encode_ordinary(run)):
         return False
-    if 4 * sum(map(len, _PART.findall(run))) >= 3 * len(run):  # camelCase, snake_case and paths: words make up three quarters
+    if UUID.fullmatch(run) or (_HEX_ONLY.fullmatch(run) and len(run) in DIGESTS):
         return False
-    return len(run) < ratio * len(encoder().encode_ordinary(run))
+    return not is_identifier(run)
 
 
 def spans(text: str) -> list[tuple[int, int, int]]:

@@ -68,6 +68,23 @@ def test_random_strings(run, random):
     assert secrets.is_random(run) is random
 
 
+@pytest.mark.parametrize("run", ["to_be_or_not_to_be_it_is", "get_user_by_id_or_name", "src/main/java/org/foo/Bar", "state-of-the-art-thing", "1234567890123456", "-" * 20])
+def test_words_are_not_random(run):
+    assert not secrets.is_random(run)
+
+
+def test_random_strings_of_any_letters():
+    import random
+    import string
+
+    rng = random.Random(11)
+    for letters in (string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits):
+        for n in (16, 20, 32, 40):
+            runs = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(300)]
+            assert sum(map(secrets.is_random, runs)) >= 290, (letters, n)
+            assert sum(secrets.redact(f"a {r} b") == f"a {secrets.MASK} b" for r in runs) >= 290
+
+
 def test_quality_rules(spark, docs, rows, empty):
     trusted = spark.createDataFrame([(r[0],) for r in rows[:30]], "doc_id long")
     out = quality_rules.judge(docs, trusted)
