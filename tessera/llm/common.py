@@ -77,12 +77,5 @@ def python_tasks(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def where_settled(df: DataFrame, condition: Column) -> DataFrame:
-    """``df.where(condition)`` that the optimizer can't push below ``df``'s columns, where it would compute them twice, and inside
-    lambdas once for each element."""
-    mark = f"{TMP}settled"
-    return df.withColumn(mark, F.monotonically_increasing_id()).where(condition & (F.col(mark) >= 0)).drop(mark)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

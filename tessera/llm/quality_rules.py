@@ -1,141 +1,158 @@
 """Quality rules: base rules on words and lines, then a hashed n-gram likelihood ratio.
 
-Every word is folded to its shape (runs of lower-case letters become ``a``, runs of capitals ``AA``, digits ``9``);
-shapes and pairs of adjacent shapes are hashed into ``buckets`` buckets.  Two multinomials over the buckets, one of the
-trusted texts and one of the whole corpus, give each bucket a log ratio; the score of a text is the mean log ratio of its
-n-grams.  A text is kept if it passes the base rules and its score reaches ``threshold``.
+Words and pairs of adjacent words are hashed into ``BUCKETS`` buckets.  Two multinomials over the buckets, one of the trusted texts and
+one of the whole corpus, both smoothed by the same pseudo-counts, give each bucket a log ratio; the score of a text is the mean log
+ratio of its n-grams, so texts of any length compare.  A text is kept if it passes the base rules and its score reaches ``THRESHOLD``.
 
-Everything is DataFrame expressions.  The corpus is read once to count buckets (combined before the shuffle, so at most
-``buckets`` rows leave a task) and once to score; scoring needs no shuffle.
+Everything is DataFrame expressions.  The corpus is read once to count buckets (combined before the shuffle, so at most ``BUCKETS`` rows
+leave a task) and once to score; scoring needs no shuffle.  A word's string is hashed once; pairs and 3-word windows combine the hashes.
 
-Defined cases: a null text is empty; an empty text has no words, fails the base rules and is not kept; without trusted texts
-both multinomials are equal, every score is 0 and the base rules alone decide; ties at the threshold are kept; repeated rows
-are each judged, and other columns pass through.
+The ids of the trusted texts are broadcast up to ``MOST`` of them (16 MB), which is counted first; beyond, the texts are joined to them
+by a shuffle.  Both ways give the same counts.
+
+Defined cases: a null text is empty; an empty text has no words, fails the base rules and is not kept; without trusted texts every score
+is 0 and the base rules alone decide; ties at the threshold are kept; repeated rows are each judged; a null id is never trusted.  Other
+columns pass through ``base``, ``score`` and ``keep``, but for columns that have the name of a result, which ``base`` and ``score``
+replace.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TMP, documents, text_of, where_settled, words_of
+from .common import TMP, documents, text_of, words_of
 
-SYMBOLS = "#*$%&|<>"
-SPACES = " \t\n\x0b\x0c\r"
+SYMBOLS = r"[#*$%&|<>]"
 #: Size of both multinomials; the model is that many doubles, whatever the corpus.
-BUCKETS = 4096
-#: Weight of the corpus multinomial in the trusted one, in n-grams.
-PRIOR = 1000.0
-THRESHOLD = 0.0
+BUCKETS = 1 << 16
+#: Pseudo-counts of each bucket in the trusted multinomial; the corpus multinomial has as many for its size.
+PRIOR = 10.0
+#: Mean log ratio from which a text is kept.
+THRESHOLD = -0.05
 LEAST_WORDS = 50
+#: Most trusted ids that are broadcast.
+MOST = 1 << 20
+
 
+def _hashes(words: Column) -> Column:
+    """A 64-bit hash of each word."""
+    return F.transform(words, lambda x: F.xxhash64(x))
 
-def shapes_of(text: Column) -> Column:
-    """The words' shapes, in order."""
-    folded = F.regexp_replace(text, r"\p{Ll}+", "a")
-    folded = F.regexp_replace(folded, r"\p{Lu}{2,}", "AA")
-    return words_of(F.regexp_replace(folded, r"[0-9]+", "9"))
 
+def _pair(h: Column, x: Column, i: Column) -> Column:
+    """The hash of the word at ``i``, with hash ``x``, and the next one."""
+    return F.xxhash64(x, F.get(h, i + 1))
 
-def _pairs(shapes: str) -> Column:
-    """Shapes and pairs of adjacent shapes as buckets; the last shape pairs with nothing."""
-    s, n = F.col(shapes), F.lit(BUCKETS)
-    one = F.transform(s, lambda x: F.pmod(F.xxhash64(x), n).cast("int"))
-    two = F.transform(s, lambda x, i: F.pmod(F.xxhash64(x, F.get(s, i + 1)), n).cast("int"))
-    return F.when(F.size(s) > 0, F.concat(one, F.slice(two, 1, F.greatest(F.size(s) - 1, F.lit(0))))).otherwise(F.array().cast("array<int>"))
 
+def _bucket(x: Column) -> Column:
+    return F.shiftrightunsigned(x, 64 - (BUCKETS - 1).bit_length()).cast("int")
 
-def _buckets(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with the buckets of its n-grams, an int array, in ``__t_grams``."""
-    shaped = docs.withColumn(f"{TMP}shapes", shapes_of(text_of(text_col)))
-    return shaped.withColumn(f"{TMP}grams", _pairs(f"{TMP}shapes")).drop(f"{TMP}shapes")
 
+def grams(h: Column) -> Column:
+    """Buckets of words and of pairs of adjacent words, from the words' hashes; the last word pairs with nothing."""
+    pairs = F.transform(h, lambda x, i: _bucket(_pair(h, x, i)))
+    return F.concat(F.transform(h, _bucket), F.slice(pairs, 1, F.greatest(F.size(h) - 1, F.lit(0))))
 
-def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR) -> list[float]:
-    """The log ratio of each bucket: ``BUCKETS`` doubles.  ``trusted``: ids of the trusted texts."""
-    ids = trusted.select(F.col(trusted.columns[0]).alias(f"{TMP}id")).where(F.col(f"{TMP}id").isNotNull()).distinct().withColumn(f"{TMP}trusted", F.lit(1))
-    marked = docs.select(F.col(id_col).alias(f"{TMP}id"), F.col(text_col).alias(f"{TMP}text"))
-    # Sorted buckets of a text are a few runs, which the shuffle compresses to a fraction of the text; the texts stay where they are.
-    grams = _buckets(marked, f"{TMP}text").select(f"{TMP}id", F.sort_array(f"{TMP}grams").alias(f"{TMP}grams"))
-    counts = (
-        grams.join(ids, f"{TMP}id", "left")
-        .select(f"{TMP}trusted", F.explode_outer(f"{TMP}grams").alias("bucket"))  # explode() would put a filter that folds the text again for each gram
-        .where(F.col("bucket").isNotNull())
+
+def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR, most: int = MOST) -> list[float]:
+    """The log ratio of each bucket: ``BUCKETS`` doubles.  ``trusted``: ids of the trusted texts, in its first column."""
+    ids = trusted.select(F.col(trusted.columns[0]).alias(f"{TMP}id")).where(F.col(f"{TMP}id").isNotNull()).distinct()
+    rows = docs.select(F.col(id_col).alias(f"{TMP}id"), F.col(text_col).alias(f"{TMP}text"))
+    one = F.lit(1)
+    if ids.count() <= most:
+        rows = rows.join(F.broadcast(ids.withColumn(f"{TMP}good", one)), f"{TMP}id", "left")
+    else:
+        good = rows.join(ids, f"{TMP}id", "left_semi").withColumns({f"{TMP}all": F.lit(None).cast("int"), f"{TMP}good": one})
+        rows = rows.withColumns({f"{TMP}all": one, f"{TMP}good": F.lit(None).cast("int")}).unionByName(good)
+    hashed = rows.withColumn(f"{TMP}h", _hashes(words_of(text_of(f"{TMP}text"))))
+    found = (
+        hashed.select(F.col(f"{TMP}all") if f"{TMP}all" in rows.columns else one.alias(f"{TMP}all"), f"{TMP}good", F.explode_outer(grams(F.col(f"{TMP}h"))).alias("bucket"))
+        .where(F.col("bucket").isNotNull())  # explode() would put a filter that splits the text again
         .groupBy("bucket")
-        .agg(F.count("*").alias("raw"), F.count(f"{TMP}trusted").alias("good"))
+        .agg(F.count(f"{TMP}all").alias("raw"), F.count(f"{TMP}good").alias("good"))
     )
     raw, good = [0.0] * BUCKETS, [0.0] * BUCKETS
-    for row in counts.collect():  # BUCKETS rows at most
-        raw[row["bucket"]], good[row["bucket"]] = float(row["raw"]), float(row["good"] or 0)
+    for row in found.collect():  # BUCKETS rows at most
+        raw[row["bucket"]], good[row["bucket"]] = float(row["raw"]), float(row["good"])
     return log_ratios(raw, good, prior)
 
 
 def log_ratios(raw: list[float], good: list[float], prior: float = PRIOR) -> list[float]:
-    """Both with one more of each bucket; the trusted one leans on the corpus by ``prior`` n-grams."""
-    import math
-
-    n_raw, n_good = sum(raw) + len(raw), sum(good)
-    p_raw = [(x + 1) / n_raw for x in raw]
-    return [math.log((g + prior * p) / (n_good + prior)) - math.log(p) for g, p in zip(good, p_raw, strict=True)]
+    """Log of the trusted multinomial over the corpus', each with the same share of pseudo-counts; zeros without trusted n-grams."""
+    n_raw, n_good = sum(raw), sum(good)
+    share = n_good / n_raw if n_raw else 0.0
+    return [math.log((g + prior) / (r * share + prior)) for r, g in zip(raw, good, strict=True)] if share else [0.0] * len(raw)
 
 
-def repeated_words(words: str, n: int = 3) -> tuple[list[tuple[str, Column]], Column]:
-    """Steps (name, expression) and the count of words inside an ``n``-word window that the text has twice or more.
+def _repeats(h: str) -> tuple[list[tuple[str, Column]], Column]:
+    """Steps (name, expression) and the count of words inside a 3-word window that the text has twice or more.
 
     Windows are compared by 64-bit hashes.  Only texts with an equal pair sort their windows.
     """
-    w = F.col(words)
-    hashes, ordered, places = f"{TMP}h", f"{TMP}s", f"{TMP}p"
-    h, s, p = F.col(hashes), F.col(ordered), F.col(places)
-    window = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, n)]))
+    w, (hashes, ordered, places) = F.col(h), (f"{TMP}v", f"{TMP}s", f"{TMP}p")
+    v, s, p = F.col(hashes), F.col(ordered), F.col(places)
+    window = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
     steps = [
-        (hashes, F.when(F.size(w) > n, F.slice(window, 1, F.greatest(F.size(w) - (n - 1), F.lit(1))))),
-        (ordered, F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))),
-        (
-            places,
-            F.sort_array(
-                F.transform(
-                    F.filter(s, lambda x, i: F.coalesce(x["h"] == F.get(s, i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, i + 1)["h"], F.lit(False))),
-                    lambda x: x["i"],
-                )
-            ),
-        ),
+        (hashes, F.when(F.size(w) > 3, F.slice(window, 1, F.greatest(F.size(w) - 2, F.lit(1))))),
+        (ordered, F.when(F.size(F.array_distinct(v)) < F.size(v), F.sort_array(F.transform(v, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))),
+        (places, F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1))), lambda x: x["i"]))),
     ]
-    count = F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(n), x - F.coalesce(F.get(p, i - 1), x - n))), F.lit(0), lambda a, x: a + x)
+    count = F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), x - F.coalesce(F.get(p, i - 1), x - 3))), F.lit(0), lambda a, x: a + x)
     return steps, F.coalesce(count, F.lit(0)).cast("long")
 
 
-def base(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the counts of the base rules and ``base_failed``."""
-    text = text_of(text_col)
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    out = docs.withColumn(f"{TMP}w", words_of(text)).withColumn(f"{TMP}l", lines)
-    steps, repeats = repeated_words(f"{TMP}w")
-    out = out.withColumn(f"{TMP}n", F.size(f"{TMP}w").cast("long")).withColumn(f"{TMP}d", (F.size(f"{TMP}l") - F.size(F.array_distinct(f"{TMP}l"))).cast("long"))
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def base(docs: DataFrame, text_col: str = "text", ratios: list[float] | None = None) -> DataFrame:
+    """``docs`` with the counts of the base rules and ``base_failed``; with ``ratios`` also ``score``.
+
+    The columns it adds hang on a value that the optimizer can't move, so a filter on them isn't computed below them again.
+    """
+    text, own = text_of(text_col), [c for c in docs.columns if c not in (*COUNTS, "base_failed", *(["score"] if ratios is not None else []))]
+    w, h, lines = F.col(f"{TMP}w"), F.col(f"{TMP}h"), F.col(f"{TMP}l")
+    out = docs.withColumn(f"{TMP}w", words_of(text))
+    out = out.withColumns({f"{TMP}h": _hashes(w), f"{TMP}l": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
+    found = {
+        "n_words": F.size(w).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+    }
+    steps, found["n_repeat_words"] = _repeats(f"{TMP}h")
+    if ratios is not None:
+        found["score"] = _mean_ratio(h, ratios)
     for name, expr in steps:
         out = out.withColumn(name, expr)
-    out = out.withColumn("n_words", F.col(f"{TMP}n"))
-    out = out.withColumn("word_chars", F.length(F.translate(text, SPACES, "")).cast("long"))
-    out = out.withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
-    out = out.withColumn("n_dup_lines", F.col(f"{TMP}d")).withColumn("n_repeat_words", repeats)
-    out = out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return out.drop(*[c for c in out.columns if c.startswith(TMP) and c not in docs.columns])
+    mark = f"{TMP}mark"
+    out = out.select(*own, *[e.alias(f"{TMP}_{c}") for c, e in found.items()], F.monotonically_increasing_id().alias(mark))
+    out = out.select(*own, *[F.when(F.col(mark) >= 0, F.col(f"{TMP}_{c}")).alias(c) for c in found])
+    return out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+
+
+def _mean_ratio(h: Column, ratios: list[float]) -> Column:
+    """The mean log ratio of a text's n-grams, from its words' hashes; 0 without words."""
+    model = F.split(F.lit(",".join(f"{x:.7g}" for x in ratios)), ",").cast("array<double>")  # folded once into a constant
+    last = F.size(h) - 1
+    each = F.transform(h, lambda x, i: F.get(model, _bucket(x)) + F.when(i < last, F.get(model, _bucket(_pair(h, x, i)))).otherwise(0.0))
+    return F.when(last >= 0, F.round(F.aggregate(each, F.lit(0.0), lambda a, b: a + b) / (2 * last + 1), 9)).otherwise(F.lit(0.0))
 
 
 def score(docs: DataFrame, ratios: list[float], text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the mean log ratio of its n-grams; 0 without any."""
-    model = F.split(F.lit(",".join(f"{x:.9g}" for x in ratios)), ",").cast("array<double>")  # folded once into a constant
-    out = _buckets(docs, text_col)
-    g = F.col(f"{TMP}grams")
-    total = F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(model, b))
-    return out.withColumn(name, F.when(F.size(g) > 0, F.round(total / F.size(g), 9)).otherwise(F.lit(0.0))).drop(f"{TMP}grams")
+    out = docs.withColumn(f"{TMP}h", _hashes(words_of(text_of(text_col))))
+    return out.withColumn(name, _mean_ratio(F.col(f"{TMP}h"), ratios)).drop(f"{TMP}h")
 
 
 def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: id, counts, ``base_failed``, ``score`` and ``kept``."""
     ratios = fit(docs, trusted, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias(f"{TMP}text"))
-    out = base(score(rows, ratios, f"{TMP}text"), f"{TMP}text")
+    out = base(rows, f"{TMP}text", ratios)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop(f"{TMP}text")
 
 
@@ -143,9 +160,9 @@ def keep(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     """The rows of ``docs`` that are kept, with their own columns only."""
     ratios = fit(docs, trusted, id_col, text_col)
     own = docs.columns
-    inner = docs.select(*[F.col(c).alias(f"{TMP}own{i}") for i, c in enumerate(own)])
-    text = f"{TMP}own{own.index(text_col)}"
-    out = where_settled(base(score(inner, ratios, text), text), ~F.col("base_failed") & (F.col("score") >= threshold))
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"{TMP}own{i}") for i, c in enumerate(own)])
+    out = base(inner, f"{TMP}own{own.index(text_col)}", ratios)
+    out = out.where(~F.col("base_failed") & (F.col("score") >= threshold))
     return out.select(*[F.col(f"{TMP}own{i}").alias(c) for i, c in enumerate(own)])
 
 

@@ -101,26 +101,70 @@ def test_quality_rules(spark, docs, rows, empty):
     kept = quality_rules.keep(docs, trusted)
     assert kept.columns == docs.columns
     assert kept.count() == out.where("kept").count()
+    clash = quality_rules.base(docs.withColumnsRenamed({"taken": "n_words", "id": "score"}))  # results replace columns of their names
+    assert sorted(clash.columns) == sorted({*docs.columns, *quality_rules.COUNTS, "base_failed", "score"} - {"taken", "id"})
+    assert quality_rules.keep(docs.withColumnRenamed("id", "a.b"), trusted).columns[-1] == "a.b"
     none = quality_rules.judge(docs, trusted.limit(0))  # without trusted texts the base rules decide
     assert none.where("kept = base_failed").count() == 0
     assert quality_rules.judge(empty, trusted).count() == 0
 
 
+def grams_of(text):
+    """Buckets of words and pairs of adjacent words, from the definition of Spark's hash: one value seeds the next."""
+    import xxhash
+
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text or "")]
+    one = lambda x, seed: xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed)
+    return [x >> 48 for x in [*words, *(one(y, one(x, 42)) for x, y in zip(words, words[1:]))]]
+
+
 def test_log_ratio_by_hand(spark, docs, rows):
-    """The model and the score of one text, from its definition."""
-    ids = [r[0] for r in rows[:10]]
-    trusted = spark.createDataFrame([(i,) for i in ids], "doc_id long")
-    grams = [(r["doc_id"], r["__t_grams"]) for r in quality_rules._buckets(docs, "text").select("doc_id", "__t_grams").collect()]
-    raw, good = [0.0] * quality_rules.BUCKETS, [0.0] * quality_rules.BUCKETS
-    for i, g in grams:
-        for b in g:
+    """The model and the scores, from their definition; trusted ids broadcast or joined."""
+    ids = {r[0] for r in rows[:10]}
+    trusted = spark.createDataFrame([(i,) for i in [*ids, None]], "doc_id long")
+    raw, good = np.zeros(quality_rules.BUCKETS), np.zeros(quality_rules.BUCKETS)
+    for r in rows:
+        for b in grams_of(r[1]):
             raw[b] += 1
-            good[b] += i in ids
-    want = quality_rules.log_ratios(raw, good)
+            good[b] += r[0] in ids
+    want = np.log((good + quality_rules.PRIOR) / (raw * good.sum() / raw.sum() + quality_rules.PRIOR))
     assert np.allclose(quality_rules.fit(docs, trusted), want)
-    scores = {r["doc_id"]: r["score"] for r in quality_rules.score(docs, want).select("doc_id", "score").collect()}
-    for i, g in grams:
-        assert abs(scores[i] - (np.mean([want[b] for b in g]) if g else 0)) < 1e-6
+    assert np.allclose(quality_rules.fit(docs, trusted, most=3), want)
+    found = quality_rules.judge(docs, trusted).select("doc_id", "score").collect()
+    scores = {r["doc_id"]: r["score"] for r in found}
+    for r in rows:
+        g = grams_of(r[1])
+        assert abs(scores[r[0]] - (np.mean(want[g]) if g else 0)) < 1e-6
+    alone = {r["doc_id"]: r["score"] for r in quality_rules.score(docs, want.tolist()).select("doc_id", "score").collect()}
+    assert all(abs(alone[i] - x) < 1e-6 for i, x in scores.items())
+
+
+def test_vocabulary_decides(spark):
+    """Words that the trusted texts use are kept; a text of other lower-case words that the corpus repeats is not."""
+    import random
+
+    rng = random.Random(3)
+    use = [f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(60)]
+    spam = [f"spam{'abcdefghij'[i]}" for i in range(10)]
+    texts = [" ".join(rng.choice(use) for _ in range(200)) for _ in range(60)] + [" ".join(rng.choice(spam) + rng.choice("uvwxyz") for _ in range(200)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in quality_rules.keep(docs, spark.createDataFrame([(i,) for i in range(30)], "doc_id long")).collect()}
+    assert kept == set(range(60))
+
+
+def test_filtered_quality_rules_compute_once(spark):
+    """A filter on a result must not be computed below the array steps; it took minutes for one long text."""
+    import random
+    import time
+
+    rng = random.Random(4)
+    text = " ".join(rng.choice("abcdefghij") + rng.choice("klmnopqrst") for _ in range(40_000))
+    docs = spark.createDataFrame([(i, text) for i in range(4)], "doc_id long, text string")
+    out, began = quality_rules.judge(docs, docs.select("doc_id")), time.time()
+    for condition in ("kept", "base_failed", "n_repeat_words > 0", "n_dup_lines = 0", "score > 0"):
+        out.where(condition).count()
+        out.where(condition).select("doc_id").count()
+    assert time.time() - began < 60
 
 
 def test_mixing(docs, rows, empty):
