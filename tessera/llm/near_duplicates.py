@@ -4,25 +4,30 @@ A text's set is its distinct five-word shingles (A-Z in lower case), or its whol
 are linked if their sets' Jaccard similarity reaches ``NEAR`` per cent, and components of linked documents keep their smallest id.
 
 1. Each set gets a signature of ``CHUNKS * PLACES`` MinHash values of 16 bits and a digest.  Documents with equal digests have equal
-   sets and are one class, represented by its smallest id, so copies cost one row each from here on.
+   sets and are one class, a row with a number (``node``) from here on, so copies cost one row each.
 2. Signatures are cut into ``CHUNKS`` chunks.  Two signatures that differ in at most ``CHUNKS * (ERRORS + 1) - 1`` places differ, by
    pigeonhole, in at most ``ERRORS`` places of some chunk.  Every way to choose those places is enumerated: the key is the chunk, the
    choice and the values of its other places.  All pairs under that distance share a key.  (A pair at the Jaccard threshold has more
    than ``ERRORS`` errors in every chunk with a chance of 5e-6 at 85 %, and of 1e-4 at 80 %, the pipeline's threshold.)
-3. Keys of one class alone are dropped.  Classes that are left get their sets.  A class that shares with no other such class more than
-   15 % of its shingles can't reach the threshold with anything and is dropped; that bound is exact.
-4. Keys become links in rounds, and every link is confirmed on the full sets.  Star rounds link each member of a key to one of its
-   members, a row per member, whatever the size of the group; confirmed links are merged into components.  The last round takes the
-   pairs of a key that are still in different components and that exact bounds allow: sizes, shared shingles, and the Hamming distance
-   of parity sketches, which the symmetric difference can't be less than.  No key, group or candidate is capped.
+3. Keys of one class alone are dropped.  Classes that are left get their sets.  A class of whose shingles less than the threshold's
+   share (85 %) is found in other such classes can't reach the threshold with any of them and is dropped; that bound is exact.
+4. Keys become links in rounds, and every link is confirmed on the full sets.  Two star rounds link each member of a key to one of its
+   members (the least; then, of those not linked so, a random one), a row per member, whatever the size of the group.  The last round
+   takes the pairs of a key that are still in different components and that exact bounds allow: sizes, shared shingles, and the Hamming
+   distance of parity sketches, which the symmetric difference can't be less than.
+5. Keys that still hold over ``GROUP`` classes in several components don't make all their pairs: two sets that are similar enough share
+   one of the rarest shingles of each (as many as either may lack, and one more), so their classes meet on those instead.  That too is
+   exact.  No key, group or candidate is capped.
 
-Components are found by letting every node take the smallest neighbouring label and that label's label, until nothing changes.
+Components are found by letting every node take the smallest neighbouring label and that label's label, until nothing changes.  Joins
+on a component are salted, as one component may hold a third of all classes.
 
-Only counts reach the driver.  Tables between the steps are written to the shared folder.
+Only counts reach the driver.  Tables between the steps are written to the shared folder, and deleted once they are used up.
 
 Defined cases: a null or empty text, or one without words, has an empty set (0 shingles), links with nothing and is its own
-component; a null id is the id of its own class only if no document with the same set has an id; repeated ids and rows are each
-returned; ties take the smallest id; an empty table gives an empty result.
+component; a null id has the component of the documents with its set, or none if none of them has an id; repeated ids and rows are each
+returned, each by its own text; ties take the smallest id; an empty table gives an empty result; other columns, of any name, don't take
+part, and pass through ``keep``.
 """
 
 from __future__ import annotations
@@ -32,10 +37,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TMP, documents, python_tasks, written
+from .common import TMP, documents, dropped, python_tasks, written
 
 NEAR = 85
 SHINGLE = 5
@@ -43,6 +48,10 @@ CHUNKS, PLACES, ERRORS = 4, 6, 2
 VALUES = CHUNKS * PLACES
 #: Longs of a set's parity sketch.
 SKETCH = 8
+#: Classes of a key that are paired with one another in the last round; larger groups meet on their rarest shingles.
+GROUP = 32
+#: Tasks that share the rows of one component.
+SALTS = 16
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _WEIGHTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -90,28 +99,34 @@ def digest(items: np.ndarray) -> str | None:
     return f"{len(items)}:{int(items.sum(dtype=np.uint64)):x}:{int(_mixed(items).sum(dtype=np.uint64)):x}" if len(items) else None
 
 
+_PACKED = [f"s{i}" for i in range(VALUES // 4)]
+
+
+def packed(sign: np.ndarray) -> list[int]:
+    """Four values in each signed 64-bit integer, the first one lowest."""
+    return sign.astype("<u2").view("<i8").tolist()
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, counts, digests, signs = batch.column(0), [], [], []
+        counts, digests, signs = [], [], []
         for text in batch.column(1).to_pylist():
             items = shingles(text)
             counts.append(len(items))
-            if len(items):
-                digests.append(digest(items))
-                signs.append(signature(items).tolist())
-            else:
-                digests.append(None), signs.append(None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(signs, pa.list_(pa.int32()))], ["doc_id", "n", "digest", "sign"])
+            digests.append(digest(items))
+            signs.append(packed(signature(items)) if len(items) else [0] * len(_PACKED))
+        columns = [list(c) for c in zip(*signs, strict=True)] or [[] for _ in _PACKED]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "mark", "n", "digest", *_PACKED])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, digest, text: the sets of the texts that have the digest."""
     for batch in batches:
-        found = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-        items = pa.ListArray.from_arrays(ends, np.concatenate(found) if found else np.zeros(0, np.int64))
-        digests = pa.array([digest(x.view(np.uint64)) for x in found], pa.string())
-        parity = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * SKETCH, np.concatenate([np.zeros(0, np.int64), *map(sketch, found)]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), digests, items, parity], ["id", "digest", "items", "sketch"])
+        found = [(node, items.view(np.int64)) for node, want, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if digest(items := shingles(text)) == want]
+        ends = np.concatenate([[0], np.cumsum([len(x) for _, x in found])]).astype(np.int32)
+        items = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *(x for _, x in found)]))
+        parity = pa.ListArray.from_arrays(np.arange(len(found) + 1, dtype=np.int32) * SKETCH, np.concatenate([np.zeros(0, np.int64), *(sketch(x) for _, x in found)]))
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), items, parity], ["node", "items", "sketch"])
 
 
 def sketch(items: np.ndarray) -> np.ndarray:
@@ -121,37 +136,49 @@ def sketch(items: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def keys(sign: Column) -> Column:
+def keys() -> Column:
     """An array of the keys of all chunks and choices."""
+    value = lambda i: F.shiftright(F.col(f"s{i // 4}"), 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF))
     out = []
     for c in range(CHUNKS):
         for k, rest in enumerate(combinations(range(PLACES), PLACES - ERRORS)):
-            out.append(F.xxhash64(F.lit(c * 1000 + k), *[sign[c * PLACES + i] for i in rest]))
+            out.append(F.xxhash64(F.lit(c * 1000 + k), *[value(c * PLACES + i) for i in rest]))
     return F.array(*out)
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``nodes`` (id) with ``comp``, the smallest id that ``links`` (a, b) lead to."""
+def _spread(rows: DataFrame, few: DataFrame, on: str) -> DataFrame:
+    """``rows`` left-joined to ``few`` (a row each value of ``on``), where a value may have any share of the rows: each goes to ``SALTS``
+    tasks, by the rows' nodes."""
+    salt = f"{TMP}salt"
+    out = rows.withColumn(salt, F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    return out.join(few.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [on, salt], "left").drop(salt)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node and comp, the smallest node that ``links`` (a, b) lead to, for the nodes that have links."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = written(both, "links")
-    labels = written(nodes.select("id", F.col("id").alias("comp")), "labels")
-    if both.isEmpty():
-        return labels
+    # moved: whether the label changed in this turn or the one before; only such labels can have changed below those that bear them.
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("comp"), F.lit(True).alias("moved")), "labels")
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), F.col("comp").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        new = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.col("comp").alias("old"), F.least("comp", F.coalesce("c", "comp")).alias("comp"))
-        # A label's own label shortens paths; labels are ids.
-        top = new.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        new = written(new.join(top, "comp", "left").select("id", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")), "labels")
-        labels = new.select("id", "comp")
-        if new.where("old <> comp").isEmpty():
-            return labels
+        near = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
+        new = labels.join(near, labels.node == near.a, "left").select("node", F.col("comp").alias("old"), "moved", F.least("comp", "c").alias("comp"))
+        top = new.where("comp < node AND (moved OR comp <> old)").select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+        new = _spread(new, top, "comp").select("node", F.least("comp", "up").alias("comp"), "old")
+        seen = Observation()
+        new = new.select("node", "comp", (F.col("comp") != F.col("old")).alias("moved"))
+        after = written(new.observe(seen, F.coalesce(F.sum(F.col("moved").cast("long")), F.lit(0)).alias("n")), "labels")
+        dropped(labels)
+        labels = after
+        if not seen.get["n"]:
+            dropped(both)
+            return labels.select("node", "comp")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, near: int = NEAR) -> DataFrame:
     """The pairs (a, b) whose full sets are as similar as asked."""
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-    two = one.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
+    two = one.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     # As a condition of the join: a node makes no more rows than there are links.
     return two.where(100 * both >= near * (F.size("x") + F.size("y") - both)).select("a", "b")
@@ -166,49 +193,94 @@ def _allowed(near: int, a: str, b: str) -> Column:
     return (most * (100 + near) >= near * both) & (apart * (100 + near) <= (100 - near) * both)
 
 
-def classes(docs: DataFrame, near: int = NEAR, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n, digest) for all of ``docs``, and (digest, component) for all digests."""
-    spark = docs.sparkSession
-    python_tasks(spark)
+_MEMBER = ("node", "n", "m", "sketch")
+
+
+def _star(members: DataFrame, hub: Column, near: int) -> DataFrame:
+    """key, and the pair (a, b) of each member with its key's hub, where the bounds allow it."""
+    hubs = members.groupBy("key").agg(hub.alias("h")).select(F.col("key").alias("h_key"), *[F.col(f"h.{c}").alias(f"h_{c}") for c in _MEMBER])
+    star = members.join(hubs, (F.col("key") == F.col("h_key")) & (F.col("node") != F.col("h_node")) & _allowed(near, "", "h_"))
+    return star.select(F.least("node", "h_node").alias("a"), F.greatest("node", "h_node").alias("b"))
+
+
+def rarest(sets: DataFrame, near: int) -> DataFrame:
+    """node and key, for as many of a set's rarest items as a similar set may lack, and one more, that another set has too."""
+    items = sets.select("node", F.explode("items").alias("key"))
+    counts = items.groupBy("key").agg(F.count("*").alias("c"))
+    ordered = items.join(counts, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("x"))
+    n = F.size("x")
+    first = F.slice("x", F.lit(1), (n - F.ceil(n * near / 100) + 1).cast("int"))
+    return ordered.select("node", F.explode(F.filter(first, lambda x: x["c"] > 1)).alias("x")).select("node", F.col("x.key").alias("key"))
+
+
+def _open_pairs(members: DataFrame, near: int) -> DataFrame:
+    """The pairs of a key in different components that the bounds allow."""
+    columns = ("key", *_MEMBER, "comp")
+    left, right = (members.select(*[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "ab")
+    pairs = left.join(right, (F.col("a_key") == F.col("b_key")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_comp") != F.col("b_comp")) & _allowed(near, "a_", "b_"))
+    return pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+
+def _linked(members: DataFrame, sets: DataFrame, near: int, group: int) -> DataFrame:
+    """node and comp of the nodes that have links, from the members of keys."""
+    first = written(confirmed(_star(members, F.min(F.struct(*_MEMBER)), near).distinct(), sets, near), "links")
+    # Members whose link to their key's least node is confirmed are done with that key; the least itself stands for them.
+    hubs = members.groupBy("key").agg(F.min("node").alias("a"))
+    done = members.select("key", F.col("node").alias("b")).join(hubs, "key").join(first, ["a", "b"]).select("key", F.col("b").alias("node"))
+    rest = members.join(done, ["key", "node"], "left_anti")
+    second = _star(rest, F.min_by(F.struct(*_MEMBER), F.xxhash64("node", "key")), near).distinct().join(first, ["a", "b"], "left_anti")
+    second = written(confirmed(second, sets, near), "links")
+    links = first.unionByName(second)
+    comps = components(links)
+
+    at = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    still = at.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "c")
+    open_ = written(at.join(still, "key"), "open")
+    pairs = _open_pairs(open_.where(F.col("c") <= group), near)
+    large = written(open_.where(F.col("c") > group).select(*_MEMBER, "comp").dropDuplicates(["node"]), "large")
+    if not large.isEmpty():
+        pairs = pairs.unionByName(_open_pairs(rarest(sets.join(large, "node", "left_semi"), near).join(large, "node"), near))
+    third = written(confirmed(pairs.distinct(), sets, near), "links")
+    dropped(first, second, open_, large)
+    if third.isEmpty():
+        dropped(third)
+        return comps
+    # Links between components, as a graph of components.
+    mine = lambda side: F.coalesce(F.col(f"{side}_comp"), F.col(side)).alias(side)
+    sides = [comps.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp")) for side in "ab"]
+    above = components(third.join(sides[0], "a", "left").join(sides[1], "b", "left").select(mine("a"), mine("b")))
+    above = above.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+    new = comps.unionByName(above.select(F.col("comp").alias("node"), F.col("comp")).join(comps, "node", "left_anti"))  # nodes without a link until now
+    out = written(_spread(new, above, "comp").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
+    dropped(third)
+    return out
+
+
+def classes(docs: DataFrame, near: int = NEAR, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, mark, n, digest) for all of ``docs``, ``mark`` being a hash of the text, and (digest, component) for all digests."""
+    python_tasks(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = written(texts.mapInArrow(_signed, "doc_id long, n long, digest string, sign array<int>"), "signatures")
-    firsts = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    firsts = written(firsts.where("id IS NOT NULL"), "classes")
-    reps = signed.where("doc_id IS NOT NULL").join(firsts, (signed.digest == firsts.digest) & (signed.doc_id == firsts.id)).select("id", "n", "sign", firsts.digest).dropDuplicates(["id"])
-    keyed = reps.select("id", F.explode(keys(F.col("sign"))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
-    members = written(keyed.join(shared, "key"), "keys")
-    some = written(members.select("id").distinct(), "members")
-    own = texts.join(some.withColumnRenamed("id", "doc_id"), "doc_id")
-    own = own.mapInArrow(_sets, "id long, digest string, items array<bigint>, sketch array<bigint>")
+    marked = texts.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    signed = written(marked.mapInArrow(_signed, "doc_id long, mark long, n long, digest string, " + ", ".join(f"{c} long" for c in _PACKED)), "signatures")
+    same = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in _PACKED])
+    firsts = written(same.withColumn("node", F.monotonically_increasing_id()), "classes")
+    keyed = firsts.select("node", F.explode(keys()).alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
+    pairs = written(keyed.join(shared, "key"), "keys")
+    some = firsts.join(pairs.select("node").distinct(), "node", "left_semi").select(F.col("id").alias("doc_id"), "node", "digest")
     # An id may have several texts; the class's set is the one with its digest.
-    sets = written(own.join(firsts, ["id", "digest"], "left_semi").select("id", "items", "sketch"), "sets")
+    sets = written(texts.join(some, "doc_id").select("node", "digest", "text").mapInArrow(_sets, "node long, items array<bigint>, sketch array<bigint>"), "sets")
     # m: how many of a class's shingles another class in the tables has too.
-    alone = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    sized = sets.select("id", F.size("items").cast("long").alias("n"), "sketch").join(alone, "id", "left").select("id", "n", "sketch", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"))
-    sized = written(sized.where(F.col("m") * 100 >= near * F.col("n")), "sized")
-    members = written(members.join(sized, "id"), "keys")
-    nodes = sized.select("id")
-
-    links, comps = None, written(nodes.select("id", F.col("id").alias("comp")), "labels")
-    for turn in range(2):
-        at = members.join(comps, "id")
-        hub = F.min(F.struct("id", "n", "m", "comp", "sketch")) if turn == 0 else F.min_by(F.struct("id", "n", "m", "comp", "sketch"), F.xxhash64("id", "key"))
-        hubs = at.groupBy("key").agg(hub.alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("h_n"), F.col("h.m").alias("h_m"), F.col("h.comp").alias("h_comp"), F.col("h.sketch").alias("h_sketch"))
-        star = at.join(hubs, (at.key == hubs.key) & (at.comp != hubs.h_comp) & _allowed(near, "", "h_"))
-        star = star.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        new = written(confirmed(star, sets, near), "links")
-        links = new if links is None else links.unionByName(new)
-        comps = components(nodes, links)
-    at = members.join(comps, "id")
-    left = at.select("key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("m").alias("a_m"), F.col("comp").alias("a_comp"), F.col("sketch").alias("a_sketch"))
-    right = at.select(F.col("key").alias("key2"), F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("m").alias("b_m"), F.col("comp").alias("b_comp"), F.col("sketch").alias("b_sketch"))
-    open_pairs = left.join(right, (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & _allowed(near, "a_", "b_")).select("a", "b").distinct()
-    new = written(confirmed(open_pairs, sets, near), "links")
-    if not new.isEmpty():
-        comps = components(nodes, links.unionByName(new))
-    found = firsts.join(comps, "id", "left").select("digest", F.coalesce("comp", "id").alias("component"))
-    return signed.select("doc_id", "n", "digest"), found
+    alone = sets.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    sized = sets.select("node", F.size("items").cast("long").alias("n"), "sketch").join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"), "sketch")
+    members = written(pairs.join(sized.where(F.col("m") * 100 >= near * F.col("n")), "node"), "members")
+    dropped(pairs)
+    comps = _linked(members, sets, near, group)
+    dropped(members, sets)
+    least = comps.join(firsts.select("node", "id"), "node").groupBy("comp").agg(F.min("id").alias("component"))
+    known = _spread(comps, least, "comp").select("node", "component")
+    found = firsts.join(known, "node", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    return signed.select("doc_id", "mark", "n", "digest"), found
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,8 +291,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep(docs: DataFrame, near: int = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with their own columns; of rows with that id, all."""
+    """The rows of ``docs`` whose id is the smallest of their text's component, with their own columns only; rows without an id stay."""
     rows, found = classes(docs, near, id_col, text_col)
-    verdict = rows.join(found, "digest", "left").where((F.col("doc_id") == F.coalesce("component", "doc_id")) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(f"{TMP}id")).distinct()
-    kept = docs.join(verdict, F.col(id_col).cast("long") == F.col(f"{TMP}id"), "left_semi")
+    verdict = rows.join(found, "digest", "left").where((F.col("doc_id") == F.coalesce("component", "doc_id")) & F.col("doc_id").isNotNull())
+    verdict = verdict.select(F.col("doc_id").alias(f"{TMP}id"), F.col("mark").alias(f"{TMP}mark")).distinct()
+    kept = docs.join(verdict, (F.col(id_col).cast("long") == F.col(f"{TMP}id")) & (F.xxhash64(text_col) == F.col(f"{TMP}mark")), "left_semi")
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -298,8 +298,10 @@ def brute_components(rows):
     return sets, {i: top(i) for i in ids}
 
 
-def test_near_duplicates(docs, rows, empty):
-    got, found = near_duplicates.classes(docs)
+@pytest.mark.parametrize("group", [near_duplicates.GROUP, 1])
+def test_near_duplicates(docs, rows, group):
+    """Against all pairs; with ``group`` 1 every open key goes by its rarest shingles."""
+    got, found = near_duplicates.classes(docs, group=group)
     out = got.join(found, "digest", "left").collect()
     assert len(out) == len(rows)
     sets, want = brute_components(rows)
@@ -307,10 +309,51 @@ def test_near_duplicates(docs, rows, empty):
         if r["doc_id"] is not None:
             assert r["n"] == len(sets[r["doc_id"]])
             assert (r["component"] if r["component"] is not None else r["doc_id"]) == want[r["doc_id"]]
-    kept = near_duplicates.keep(docs)
-    assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} == {i for i in want if want[i] == i} | {None}
-    assert near_duplicates.keep(empty).count() == 0
+
+
+def test_near_duplicates_keep(spark, docs, rows, empty):
+    """A repeated id on different texts is judged by each of its texts."""
+    ids, texts = {r[0] for r in rows}, [r[1] for r in rows if r[1] and len(r[1].split()) > 60 and r[0] is not None]
+    low, high = min(i for i in ids if i is not None) - 1, 5000
+    more = [(low, texts[0]), (high, texts[0] + " z"), (high, " ".join(f"alone{i}" for i in range(50))), (high, None)]
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    kept = near_duplicates.keep(both)
+    assert kept.columns == both.columns
+    _, want = brute_components([r for r in rows])
+    left = collections.Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert (low, texts[0]) in left and not any(i == high and t and t.endswith(" z") for i, t in left)
+    assert (high, None) in left and sum(i == high for i, _ in left) == 2
+    assert all(i in (low, high, None) or want[i] == i for i, _ in left) and near_duplicates.keep(empty).count() == 0
+
+
+def test_open_groups_meet_on_rare_shingles(spark):
+    """Classes that share most of their shingles and still stay apart, and two of them that don't."""
+    sets = {k: [*range(80), *(1000 * k + i for i in range(20))] for k in range(1, 40)}
+    sets[50] = [*sets[3][:-3], 99001, 99002, 99003]
+    df = spark.createDataFrame(sorted(sets.items()), "node long, items array<bigint>")
+    keys = collections.defaultdict(set)
+    for r in near_duplicates.rarest(df, 85).collect():
+        keys[r["key"]].add(r["node"])
+    assert {tuple(sorted(v)) for v in keys.values() if len(v) < 30} == {(3, 50)}
+
+
+def test_components(spark):
+    import random
+
+    rng = random.Random(2)
+    links = [(i, i + 1) for i in range(100, 160)] + [(7, x) for x in range(200, 400)] + [(399, 160)] + [(rng.randrange(500, 700), rng.randrange(500, 700)) for _ in range(90)]
+    parent = {x: x for e in links for x in e}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = top(a), top(b)
+        parent[max(x, y)] = min(x, y)
+    got = {r["node"]: r["comp"] for r in near_duplicates.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: top(x) for a, b in links if a != b for x in (a, b)}
 
 
 def test_quality_classifier(spark, docs, rows, empty):
