@@ -19,8 +19,8 @@ are linked if their sets' Jaccard similarity reaches ``NEAR`` per cent, and comp
    one of the rarest shingles of each (as many as either may lack, and one more), so their classes meet on those instead.  That too is
    exact.  No key, group or candidate is capped.
 
-Components are found by letting every node take the smallest neighbouring label and that label's label, until nothing changes.  Joins
-on a component are salted, as one component may hold a third of all classes.
+Components are found by hooking every node onto its smallest neighbour and drawing the links between what remains.  Joins on a
+component are salted, as one component may hold a third of all classes.
 
 Only counts reach the driver.  Tables between the steps are written to the shared folder, and deleted once they are used up.
 
@@ -52,6 +52,8 @@ SKETCH = 8
 GROUP = 32
 #: Tasks that share the rows of one component.
 SALTS = 16
+#: How often hooks are followed in a turn, each time twice as far.
+JUMPS = 2
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _WEIGHTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -154,25 +156,38 @@ def _spread(rows: DataFrame, few: DataFrame, on: str) -> DataFrame:
     return out.join(few.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [on, salt], "left").drop(salt)
 
 
+def _counted(df: DataFrame, what: str) -> tuple[DataFrame, int]:
+    """``df`` written, and its rows."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")), what)
+    return out, seen.get["n"]
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node and comp, the smallest node that ``links`` (a, b) lead to, for the nodes that have links."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = written(both, "links")
-    # moved: whether the label changed in this turn or the one before; only such labels can have changed below those that bear them.
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("comp"), F.lit(True).alias("moved")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        new = labels.join(near, labels.node == near.a, "left").select("node", F.col("comp").alias("old"), "moved", F.least("comp", "c").alias("comp"))
-        top = new.where("comp < node AND (moved OR comp <> old)").select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        new = _spread(new, top, "comp").select("node", F.least("comp", "up").alias("comp"), "old")
-        seen = Observation()
-        new = new.select("node", "comp", (F.col("comp") != F.col("old")).alias("moved"))
-        after = written(new.observe(seen, F.coalesce(F.sum(F.col("moved").cast("long")), F.lit(0)).alias("n")), "labels")
-        dropped(labels)
-        labels = after
-        if not seen.get["n"]:
-            dropped(both)
-            return labels.select("node", "comp")
+    """node and comp, the smallest node that ``links`` (a, b) lead to, for the nodes that have links.
+
+    Every node hooks onto its smallest neighbour if that is smaller, hooks are followed ``JUMPS`` times, and the links are drawn between
+    what remains, until none is left.  A path of any length takes logarithmically many turns.
+    """
+    edges, n = _counted(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    labels, hooks, used = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("comp", F.col("node")), [], [edges]
+    while n:
+        hook = edges.groupBy("b").agg(F.min("a").alias("up")).withColumn("least", F.col("up"))
+        for _ in range(JUMPS):
+            hook = hook.join(hook.select(F.col("b").alias("up"), F.col("up").alias("beyond")), "up", "left").select("b", "least", F.coalesce("beyond", "up").alias("up"))
+        hook = written(hook, "hooks")
+        # A link to the smallest neighbour is used up; as many of these as there may be bear one node, which needs no look-up.
+        left = edges.join(hook, "b").where("a <> least").select("a", F.col("up").alias("b"))
+        further = hook.select(F.col("b").alias("a"), F.col("up").alias("beyond"))
+        left = left.join(further, "a", "left").select(F.coalesce("beyond", "a").alias("a"), "b")
+        left = left.unionByName(hook.select(F.col("up").alias("a")).join(further, "a").select("a", F.col("beyond").alias("b")))  # hooks not followed to their end
+        edges, n = _counted(left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        few = hook.select(F.col("b").alias("comp"), "up")
+        labels = (_spread(labels, few, "comp") if hooks else labels.join(few, "comp", "left")).select("node", F.coalesce("up", "comp").alias("comp"))
+        hooks.append(hook), used.append(edges)
+    labels = written(labels, "labels")
+    dropped(*hooks, *used)
+    return labels
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, near: int = NEAR) -> DataFrame:
@@ -267,9 +282,12 @@ def classes(docs: DataFrame, near: int = NEAR, id_col: str = "doc_id", text_col:
     keyed = firsts.select("node", F.explode(keys()).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
     pairs = written(keyed.join(shared, "key"), "keys")
-    some = firsts.join(pairs.select("node").distinct(), "node", "left_semi").select(F.col("id").alias("doc_id"), "node", "digest")
-    # An id may have several texts; the class's set is the one with its digest.
-    sets = written(texts.join(some, "doc_id").select("node", "digest", "text").mapInArrow(_sets, "node long, items array<bigint>, sketch array<bigint>"), "sets")
+    some = written(firsts.join(pairs.select("node").distinct(), "node", "left_semi").select(F.col("id").alias("doc_id"), "node", "digest"), "some")
+    ids = written(some.select("doc_id").distinct(), "ids")
+    # Few ids, if so, thin out the texts before they move.  An id may have several texts; the class's set is the one with its digest.
+    own = texts.join(ids, "doc_id", "left_semi").join(some, "doc_id").select("node", "digest", "text")
+    sets = written(own.mapInArrow(_sets, "node long, items array<bigint>, sketch array<bigint>"), "sets")
+    dropped(some, ids)
     # m: how many of a class's shingles another class in the tables has too.
     alone = sets.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
     sized = sets.select("node", F.size("items").cast("long").alias("n"), "sketch").join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"), "sketch")
