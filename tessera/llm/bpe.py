@@ -2,19 +2,22 @@
 
 Spark splits the texts by the vocabulary's pattern and deals the rows to tasks.  A task takes words in blocks of bounded size and
 encodes each distinct word of a block once: words that are tokens themselves are looked up, the others become rows (word, position,
-token), one per byte, of a recursive query.  A step joins neighbouring tokens to the merge table, finds each word's leftmost pair of
-least rank, and contracts it; a word without such a pair is done and leaves the recursion.  The merge table has every way to cut a
-token into two tokens, so its size is the vocabulary's.
+token and the token after it), one per byte, of a recursive query.  A step joins these pairs to the merge table, finds each word's
+leftmost pair of least rank, and contracts it; a word without such a pair is done and leaves the recursion.  The merge table has every
+way to cut a token into two tokens, so its size is the vocabulary's.  No step relies on the order of rows.
 
-In words of over ``LONG`` bytes a step contracts the occurrences of the least pair, from the left and without overlap, up to the
-first that brings a pair of lower rank.  The result is the same, and long runs end after few steps.
+The steps of a word, and the rows of each, grow with its length.  So a word of over ``LONG`` bytes is cut into overlapping windows of
+``LONG``, which are encoded as words, by the same steps, and put together where two windows have a token in common.  That is exact: a
+sequence of tokens is the encoding of its bytes if and only if every two neighbours are that of theirs, as a contraction across a border
+would come first at two neighbours, and neighbours in a window's encoding are encoded so.  Where windows have no token in common, as in
+long runs, the next window starts at a token of the last one.
 
 Decoding joins the ids of a block to the vocabulary and puts the bytes of each document together by ordered aggregation.
 
 Ids are held as little-endian unsigned 32-bit integers in one binary value per document.
 
 Defined cases: a null or empty text has no tokens and decodes to nothing; null ids decode to null; repeated rows are each encoded;
-texts of any length are encoded whole.
+texts and words of any length are encoded whole; other columns pass through, but for one of the result's name, which is replaced.
 """
 
 from __future__ import annotations
@@ -35,55 +38,29 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\p{IsWhite_Space}\p{L}\p{N}]").replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
 LONG = 64
 #: Bytes of words (with their offsets) that are encoded at once, tokens that are decoded at once, and bytes of distinct words in one recursion.
-BLOCK, TOKENS, WORDS = 12 << 20, 1 << 19, 1 << 18
+BLOCK, TOKENS, WORDS = 12 << 20, 1 << 19, 1 << 17
 #: Most words whose tokens a worker remembers.
 KNOWN = 400_000
 
+#: A word's tokens as rows: start p, end e, token and next token (-1 after the last).  The leftmost pair of least rank becomes one token;
+#: the row of its second token goes, and the row before it gets a new next token.
 _RECURSION = """
-WITH RECURSIVE step(w, p, tok, done) AS (
-  SELECT w, p, tok, false FROM bytes
+WITH RECURSIVE step(w, p, e, tok, nt, done) AS (
+  SELECT w, p, e, tok, nt, false FROM bytes
   UNION ALL
-  ({contract})
+  (WITH ranked AS MATERIALIZED (
+    SELECT s.w, s.p, s.e, s.tok, s.nt, (m.c::BIGINT << 44) + (s.p::BIGINT << 22) + s.e AS k
+    FROM step s LEFT JOIN merges m ON m.ab = (s.tok::BIGINT << 32) | s.nt WHERE NOT s.done),
+  best AS (
+    SELECT w, (min(k) >> 44)::INTEGER AS c, ((min(k) >> 22) & 4194303)::INTEGER AS p, (min(k) & 4194303)::INTEGER AS gone FROM ranked GROUP BY w),
+  pair AS MATERIALIZED (
+    SELECT b.w, b.c, b.p, b.gone, g.e, g.nt FROM best b LEFT JOIN ranked g ON g.w = b.w AND g.p = b.gone)
+  SELECT r.w, r.p, CASE WHEN r.p = x.p THEN x.e ELSE r.e END, CASE WHEN r.p = x.p THEN x.c ELSE r.tok END,
+    CASE WHEN r.p = x.p THEN x.nt WHEN r.e = x.p THEN x.c ELSE r.nt END, x.c IS NULL
+  FROM ranked r JOIN pair x ON x.w = r.w WHERE x.c IS NULL OR r.p <> x.gone)
 )
 SELECT w, tok FROM step WHERE done ORDER BY w, p
 """
-#: The leftmost pair of least rank alone: its first token becomes the merged one, its second goes.  Rows stay in order of (w, p), as
-#: one thread reads and joins them, so the window needs no sort; should they ever not be, the query fails.
-_ONE = """
-  WITH pairs AS (
-    SELECT w, p, tok, CASE WHEN lead(w) OVER nb = w THEN (tok::BIGINT << 32) | lead(tok) OVER nb END AS ab, lag(w * 65536::BIGINT + p) OVER nb AS before
-    FROM step WHERE NOT done WINDOW nb AS ()),
-  ranked AS MATERIALIZED (
-    SELECT x.w, x.p, x.tok, CASE WHEN x.before >= x.w * 65536::BIGINT + x.p THEN error('rows out of order') ELSE x.before END AS before, (m.c::BIGINT << 32) + x.p AS k
-    FROM pairs x LEFT JOIN merges m ON m.ab = x.ab),
-  best AS (
-    SELECT w, (min(k) >> 32)::INTEGER AS c, (min(k) & 4294967295)::INTEGER AS p FROM ranked GROUP BY w)
-  SELECT r.w, r.p, CASE WHEN r.p = b.p THEN b.c ELSE r.tok END, b.c IS NULL
-  FROM ranked r JOIN best b ON b.w = r.w WHERE b.c IS NULL OR r.before IS NULL OR r.before <> r.w * 65536::BIGINT + b.p
-"""
-#: All occurrences of the pair of least rank from the left, every other one where they overlap, up to the first one whose merged token
-#: makes a pair of still lower rank with a neighbour.  Until then that pair stays the least, so one at a time would come to the same.
-_ALL = """
-  WITH pairs AS (
-    SELECT w, p, tok, lead(tok) OVER nb AS nx, lag(tok) OVER nb AS pv, lead(tok, 2) OVER nb AS nn, row_number() OVER nb AS n
-    FROM step WHERE NOT done WINDOW nb AS (PARTITION BY w ORDER BY p)),
-  ranked AS MATERIALIZED (
-    SELECT x.w, x.p, x.tok, x.n, x.pv, x.nn, m.c, m.twin FROM pairs x LEFT JOIN merges m ON m.ab = (x.tok::BIGINT << 32) | x.nx),
-  best AS MATERIALIZED (
-    SELECT w, min(c) AS c FROM ranked GROUP BY w),
-  hits AS (
-    SELECT r.w, r.n, r.c, r.pv, r.nn, r.twin, r.n - row_number() OVER (PARTITION BY r.w ORDER BY r.n) AS run FROM ranked r JOIN best b ON b.w = r.w AND b.c = r.c),
-  apart AS (
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY n) AS place FROM hits) WHERE place % 2 = 1),
-  judged AS (
-    SELECT h.w, h.n, h.c, h.twin OR coalesce(l.c < h.c, false) OR coalesce(r.c < h.c, false) AS last
-    FROM apart h LEFT JOIN merges l ON l.ab = (h.pv::BIGINT << 32) | h.c LEFT JOIN merges r ON r.ab = (h.c::BIGINT << 32) | h.nn),
-  chosen AS MATERIALIZED (
-    SELECT w, n, c FROM (SELECT *, min(CASE WHEN last THEN n END) OVER (PARTITION BY w) AS stop FROM judged) WHERE stop IS NULL OR n <= stop)
-  SELECT r.w, r.p, coalesce(h.c, r.tok), b.c IS NULL
-  FROM ranked r JOIN best b ON b.w = r.w LEFT JOIN chosen h ON h.w = r.w AND h.n = r.n LEFT JOIN chosen g ON g.w = r.w AND g.n = r.n - 1
-  WHERE g.w IS NULL
-"""
 
 
 def load(path: str | None = None) -> dict[bytes, int]:
@@ -91,6 +68,12 @@ def load(path: str | None = None) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _common(here: list[tuple[int, int]], after: list[tuple[int, int]]) -> tuple[int, int] | None:
+    """Places of the first token, with its start, that both windows have."""
+    at = {x: i for i, x in enumerate(here)}
+    return next(((at[x], j) for j, x in enumerate(after) if x in at), None)
+
+
 def _picked(flat: np.ndarray, counts: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The items of lists that lie one after another in ``flat``, for the lists at ``index``, and how many each has."""
     n = counts[index]
@@ -110,10 +93,8 @@ class Codec:
         rules = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         a, b, c = (np.array(x, np.int32) for x in zip(*rules, strict=True))
         pair = (a.astype(np.int64) << 32) | b
-        rank = dict(zip(pair.tolist(), c.tolist(), strict=True))
-        twin = np.array([rank.get((x << 32) | x, x) < x for x in c.tolist()])  # two of the merged token make a pair of lower rank
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": "", "preserve_insertion_order": True})
-        self._table("merges", ab=pair, c=c, twin=twin)
+        self._table("merges", ab=pair, c=c)
         tokens = pa.table({"id": pa.array(list(self.bytes_of), pa.int32()), "bytes": [x.decode("latin-1") for x in self.bytes_of.values()]})
         self.db.register("t", tokens)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM t")
@@ -128,17 +109,29 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM t")
         self.db.unregister("t")
 
-    def _contract(self, words: pa.Array, sql: str) -> tuple[np.ndarray, np.ndarray]:
+    def _contract(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of the words (binary), one after another, and how many each word has."""
         ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
         lengths = np.diff(ends)
         raw = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
         w = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         p = (np.arange(len(raw)) - np.repeat(ends[:-1] - ends[0], lengths)).astype(np.int32)
-        self._table("bytes", w=w, p=p, tok=self.byte_id[raw])
-        out = self.db.sql(_RECURSION.format(contract=sql)).to_arrow_table()
+        tok = self.byte_id[raw]
+        after = np.append(tok[1:], np.int32(-1))
+        after[ends[1:] - ends[0] - 1] = -1
+        self._table("bytes", w=w, p=p, e=p + np.int32(1), tok=tok, nt=after)
+        out = self.db.sql(_RECURSION).to_arrow_table()
         return out["tok"].to_numpy().astype(np.int32), np.bincount(out["w"].to_numpy(), minlength=len(words))
 
+    def _contracted(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_contract``, in recursions of ``WORDS`` bytes or a word more."""
+        import pyarrow.compute as pc
+
+        block = np.cumsum(pc.binary_length(words).to_numpy()) // WORDS
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(words)]
+        parts = [self._contract(words.slice(a, b - a)) for a, b in zip(cuts, cuts[1:]) if a < b]
+        return np.concatenate([np.zeros(0, np.int32), *(t for t, _ in parts)]), np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
+
     def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of distinct words (strings), one after another, and how many each has."""
         import pyarrow.compute as pc
@@ -150,24 +143,66 @@ class Codec:
         counts = np.ones(len(words), np.int64)
         parts = [(old, *_picked(self.known[1], self.known[2], index.drop_null().to_numpy()))]
         sizes = pc.binary_length(words).to_numpy()
-        for rows, sql in ((new[sizes[new] <= LONG], _ONE), (new[sizes[new] > LONG], _ALL)):
-            block = np.cumsum(sizes[rows]) // WORDS  # a longer word is a block of its own
-            for chosen in np.split(rows, np.flatnonzero(np.diff(block)) + 1):
-                if len(chosen):
-                    tokens, n = self._contract(pc.take(words, pa.array(chosen)), sql)
-                    parts.append((chosen, tokens, n))
+        short, long = new[sizes[new] <= LONG], new[sizes[new] > LONG]
+        parts.append((short, *self._contracted(pc.take(words, pa.array(short)))))
+        tokens = self._encode_long(pc.take(words, pa.array(long)).to_pylist())
+        parts.append((long, np.array([x for t in tokens for x in t], np.int32), np.array([len(t) for t in tokens], np.int64)))
         for rows, _, n in parts:
             counts[rows] = n
         starts = np.cumsum(counts) - counts
         flat = np.empty(int(counts.sum()), np.int32)
         for rows, tokens, n in parts:
             flat[np.repeat(starts[rows] - (np.cumsum(n) - n), n) + np.arange(len(tokens))] = tokens
-        fresh = (pc.take(words, pa.array(new)), *_picked(flat, counts, new))
-        held = self.known if len(self.known[0]) + len(new) <= KNOWN else self.base
-        if len(new) <= KNOWN:
+        fresh = (pc.take(words, pa.array(short)), *_picked(flat, counts, short))
+        held = self.known if len(self.known[0]) + len(short) <= KNOWN else self.base
+        if len(short) <= KNOWN:
             self.known = (pa.concat_arrays([held[0], fresh[0]]), np.concatenate([held[1], fresh[1]]), np.concatenate([held[2], fresh[2]]))
         return flat, counts
 
+    def _encode_long(self, words: list[bytes]) -> list[list[int]]:
+        """Tokens of words of over ``LONG`` bytes."""
+        half = LONG // 2
+        found: dict[bytes, list[int]] = dict.fromkeys(w[s : s + LONG] for w in words for s in range(0, len(w) - half, half))
+
+        def look_up(windows: list[bytes]) -> None:
+            tokens, counts = self._contracted(pa.array(windows, pa.binary()))
+            ends = np.cumsum(counts).tolist()
+            found.update((w, tokens[b - n : b].tolist()) for w, b, n in zip(windows, ends, counts.tolist(), strict=True))
+
+        def placed(word: bytes, start: int, size: int) -> list[tuple[int, int]]:
+            """(start, token) of a window."""
+            window, out = word[start : start + size], []
+            if window not in found:
+                look_up([window])
+            for t in found[window]:
+                out.append((start, t))
+                start += len(self.bytes_of[t])
+            return out
+
+        look_up(list(found))
+        return [self._joined(word, half, placed) for word in words]
+
+    @staticmethod
+    def _joined(word: bytes, half: int, placed) -> list[int]:
+        """The tokens of a word from those of windows of it."""
+        here, end = placed(word, 0, LONG), LONG
+        out: list[int] = []
+        while end < len(word):
+            start, size = (end - half) // half * half, LONG
+            after = placed(word, start, size)
+            common = _common(here, after)
+            if common is None:  # start at a token instead, and look further if need be
+                start = next((p for p, _ in reversed(here) if p <= start), here[0][0])
+                size = 2 * (end - start)
+                while (common := _common(here, after := placed(word, start, size))) is None:
+                    if start + size >= len(word):  # no window helps
+                        return [t for _, t in placed(word, 0, len(word))]
+                    size *= 2
+            i, j = common
+            out += [t for _, t in here[:i]]
+            here, end = after[j:], start + size
+        return out + [t for _, t in here]
+
     def encode(self, words: pa.ListArray) -> pa.Array:
         """Ids of each row's words as binary values."""
         offsets = words.offsets.to_numpy()
@@ -256,19 +291,19 @@ def _split(text_col: str) -> Column:
 
 def encode(rows: DataFrame, text_col: str = "text", name: str = "ids", path: str | None = None) -> DataFrame:
     """``rows`` without ``text_col`` and with the ids of its tokens, a binary value."""
-    rest = [F.col(f"`{c}`") for c in rows.columns if c != text_col]
+    rest = [F.col(f"`{c}`") for c in rows.columns if c not in (text_col, name)]
     return _run(rows, [*rest, _split(text_col)], [name], [("encode", len(rest))], path)
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", name: str = "decoded", path: str | None = None) -> DataFrame:
     """``rows`` with the bytes that the ids stand for."""
-    columns = [F.col(f"`{c}`") for c in rows.columns]
+    columns = [F.col(f"`{c}`") for c in rows.columns if c != name]
     return _run(rows, [*columns, F.col(f"`{ids_col}`").alias("__t_ids")], [name], [("decode", len(columns))], path)
 
 
 def round_trip(rows: DataFrame, text_col: str = "text", names: tuple[str, str] = ("ids", "decoded"), path: str | None = None) -> DataFrame:
     """``encode`` and then ``decode`` of the ids, by one worker, so that the ids needn't travel in between."""
-    rest = [F.col(f"`{c}`") for c in rows.columns if c != text_col]
+    rest = [F.col(f"`{c}`") for c in rows.columns if c not in (text_col, *names)]
     return _run(rows, [*rest, _split(text_col)], list(names), [("encode", len(rest)), ("decode", len(rest) + 1)], path)
 
 

@@ -35,13 +35,39 @@ def test_bpe(spark, docs, rows, empty):
 
 
 def test_bpe_long_words():
+    """Words of windows against tiktoken: runs, periods, random letters, characters cut by a border, and every length around a window's."""
+    import random
+    import time
+
     import pyarrow as pa
 
     enc, codec = secrets.encoder(), bpe.codec()
-    rng = np.random.default_rng(1)
-    for text in ("=" * 5000, "ab" * 2000 + "xyz" * 700, "thequickbrown" * 200, "".join(rng.choice(list("etaoin"), 2500)), "Āb" * 500):
-        got = codec.encode(pa.array([[text]], pa.list_(pa.string())))[0].as_py()
-        assert np.frombuffer(got, "<u4").tolist() == enc.encode_ordinary(text)
+    rng = random.Random(1)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = ["=" * 5000, "ab" * 2000 + "xyz" * 700, "thequickbrown" * 200, some("etaoin", 2500), "Āb" * 500, some("abcdefghijklmnopqrstuvwxyz", 20_000), some("日本語é", 1500), "".join(rng.choice(("=", "-", "_")) * rng.randint(1, 150) for _ in range(30))]
+    texts += ["a" * n for n in range(60, 132)] + [some("ehtr", n) for n in range(60, 132)]
+    got = codec.encode(pa.array([[t] for t in texts], pa.list_(pa.string()))).to_pylist()
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == enc._encode_single_piece(text)
+    began = time.time()
+    ids = codec.encode(pa.array([["=" * 2_000_000], [some("abcdefgh", 300_000)]], pa.list_(pa.string())))
+    assert [len(x) for x in codec.decode(ids).to_pylist()] == [2_000_000, 300_000] and time.time() - began < 60
+
+
+def test_bpe_query(spark, tmp_path):
+    """The digests of op1, from tiktoken, on a table with odd cases and a clashing column."""
+    enc = secrets.encoder()
+    texts = ["Some words, 123 and\n more\u3000ones", "", None, "x" * 200, " \n\t ", "émoji 🙂🙂 naïve", "Some words, 123 and\n more\u3000ones"]
+    spark.createDataFrame([(i % 6, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, ids string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = bpe.query(spark, str(tmp_path))
+    assert out.dtypes[:4] == [("doc_id", "bigint"), ("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
+    got = collections.Counter(tuple(r)[:4] for r in out.collect())
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    ids = [enc.encode_ordinary(t or "") for t in texts]
+    assert got == collections.Counter((i % 6, len(x), sha(np.array(x, "<u4").tobytes()), sha((t or "").encode())) for i, (t, x) in enumerate(zip(texts, ids, strict=True)))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert bpe.encode(docs).columns == ["doc_id", "ids"] and bpe.decode(bpe.encode(docs).withColumnRenamed("doc_id", "decoded")).columns == ["ids", "decoded"]
+    assert sorted(bpe.round_trip(docs).columns) == ["decoded", "doc_id", "ids"]
 
 
 def test_secrets(docs, rows, empty):
