@@ -2,17 +2,18 @@
 
 Terms are adjacent word pairs (the word itself where a text has one word), each weighted by how often it occurs.  Every term has a
 128-bit hash; a bit of the fingerprint is set if more than half of the weight has it set.  Votes are counted two bits to a long, in
-32-bit lanes, so a row carries 64 longs through one aggregation that combines before its shuffle.
+32-bit lanes, so a row carries 64 longs through one aggregation, which needs no shuffle where rows already lie by their key.
 
 Search: the bits are cut into ``BLOCKS`` blocks.  Two fingerprints within ``radius`` bits agree in all but ``radius`` blocks at
 least, so a table for every choice of agreeing blocks, keyed by their bits, finds all such pairs.  Equal fingerprints are one entry
-of the tables.
+of the tables.  The query searches the tables for the fingerprints of every ``EVERY``-th id.
 
 Everything is DataFrame expressions.
 
 Defined cases: a null or empty text has no terms and the fingerprint of zeros; a bit with exactly half of the weight is unset; equal
-texts have equal fingerprints; repeated rows and ids are each kept; of documents with equal ids the next one is of the next lower id;
-a document without an id has no next one, and its edited text loses its last half.
+texts have equal fingerprints; repeated rows and ids are each kept; of documents with equal ids the next one is of the next lower id,
+and of several texts of an id the greatest is the next text; a document without an id has no next one, its edited text loses its last
+half, and it is not searched for; an empty table gives an empty result; other columns, of any name, don't take part.
 """
 
 from __future__ import annotations
@@ -26,27 +27,23 @@ from pyspark.sql import types as T
 from .common import TMP, documents, text_of, words_of, written
 
 BITS = 128
-BLOCKS = 8
+BLOCKS = 5
 RADIUS = 3
+#: Ids divisible by this are searched for.
+EVERY = 20
 _LANES = 0x0000000100000001
 
 
-def _halves(w: Column, i: Column) -> tuple[Column, Column]:
-    """Both 64-bit hashes of the pair of words at ``i``."""
-    a, b = F.get(w, i), F.get(w, i + 1)
-    return F.xxhash64(a, b), F.xxhash64(b, F.lit(7), a)
-
-
-def fingerprint(rows: DataFrame, text_col: str, key: list[str], name: str) -> DataFrame:
-    """``key`` and the fingerprint of ``text_col`` as 32 hex digits; a row per distinct ``key``."""
-    terms = rows.select(*key, words_of(text_of(text_col)).alias(f"{TMP}w"))
-    w = F.col(f"{TMP}w")
+def votes(rows: DataFrame, text_col: str, key: list[str]) -> DataFrame:
+    """``key`` and the fingerprint of ``text_col`` as two longs, ``bits0`` and ``bits1``; a row per distinct ``key``."""
+    terms = rows.select(*key, F.transform(words_of(text_of(text_col)), lambda x: F.xxhash64(x)).alias(f"{TMP}w"))
+    w, i = F.col(f"{TMP}w"), F.col(f"{TMP}i")
     terms = terms.select(*key, f"{TMP}w", F.explode_outer(F.when(F.size(w) > 0, F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))))).alias(f"{TMP}i"))
-    h0, h1 = _halves(F.col(f"{TMP}w"), F.col(f"{TMP}i"))
-    terms = terms.select(*key, F.when(F.col(f"{TMP}i").isNotNull(), h0).alias(f"{TMP}h0"), F.when(F.col(f"{TMP}i").isNotNull(), h1).alias(f"{TMP}h1"))
-    votes = [F.sum(F.shiftright(F.col(f"{TMP}h{k}"), i).bitwiseAND(F.lit(_LANES))).alias(f"{TMP}v{k}_{i}") for k in (0, 1) for i in range(32)]
-    counted = terms.groupBy(*key).agg(F.count(f"{TMP}h0").alias(f"{TMP}n"), *votes)
-    low, high = F.lit(0xFFFFFFFF), []
+    a, b = F.get(w, i), F.get(w, i + 1)
+    terms = terms.select(*key, F.when(i.isNotNull(), F.xxhash64(a, b)).alias(f"{TMP}h0"), F.when(i.isNotNull(), F.xxhash64(b, F.lit(7), a)).alias(f"{TMP}h1"))
+    each = [F.sum(F.shiftright(F.col(f"{TMP}h{k}"), i).bitwiseAND(F.lit(_LANES))).alias(f"{TMP}v{k}_{i}") for k in (0, 1) for i in range(32)]
+    counted = terms.groupBy(*key).agg(F.count(f"{TMP}h0").alias(f"{TMP}n"), *each)
+    low, longs = F.lit(0xFFFFFFFF), []
     for k in (0, 1):
         bits = F.lit(0).cast("long")
         for i in range(32):
@@ -54,8 +51,17 @@ def fingerprint(rows: DataFrame, text_col: str, key: list[str], name: str) -> Da
             bits = bits.bitwiseOR(F.when(2 * v.bitwiseAND(low) > F.col(f"{TMP}n"), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
             top = 1 << (i + 32) if i < 31 else -(1 << 63)
             bits = bits.bitwiseOR(F.when(2 * F.shiftrightunsigned(v, 32) > F.col(f"{TMP}n"), F.lit(top)).otherwise(F.lit(0)).cast("long"))
-        high.append(F.lower(F.lpad(F.hex(bits), 16, "0")))
-    return counted.select(*key, F.concat(*high).alias(name))
+        longs.append(bits.alias(f"bits{k}"))
+    return counted.select(*key, *longs)
+
+
+def _hex(bits0: Column, bits1: Column) -> Column:
+    return F.concat(*[F.lower(F.lpad(F.hex(x), 16, "0")) for x in (bits0, bits1)])
+
+
+def fingerprint(rows: DataFrame, text_col: str, key: list[str], name: str) -> DataFrame:
+    """``key`` and the fingerprint of ``text_col`` as 32 hex digits; a row per distinct ``key``."""
+    return votes(rows, text_col, key).select(*key, _hex(F.col("bits0"), F.col("bits1")).alias(name))
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -75,16 +81,18 @@ def near(queries: DataFrame, entries: DataFrame, radius: int = RADIUS, fingerpri
     """
     if not 0 <= radius < BLOCKS:
         raise ValueError(f"the radius must be below {BLOCKS}")
-    width = BITS // 4 // BLOCKS
+    digits = BITS // 4
+    cuts = [digits * b // BLOCKS for b in range(BLOCKS + 1)]
 
     def tables(df: DataFrame, name: str) -> DataFrame:
         fp = F.col(name)
-        keys = [F.concat(F.lit(f"{t}:"), *[F.substring(fp, b * width + 1, width) for b in blocks]) for t, blocks in enumerate(combinations(range(BLOCKS), BLOCKS - radius))]
+        keys = [F.concat(F.lit(f"{t}:"), *[F.substring(fp, cuts[b] + 1, cuts[b + 1] - cuts[b]) for b in blocks]) for t, blocks in enumerate(combinations(range(BLOCKS), BLOCKS - radius))]
         return df.select(F.col(fingerprint_col).alias(name)).where(F.col(name).isNotNull()).distinct().select(name, F.explode(F.array(*[F.xxhash64(k) for k in keys])).alias("key"))
 
-    pairs = tables(queries, "query").join(tables(entries, "entry"), "key")
-    pairs = pairs.withColumn("distance", distance(F.col("query"), F.col("entry"))).where(F.col("distance") <= radius)
-    return pairs.select("query", "entry", "distance").distinct()
+    apart = distance(F.col("query"), F.col("entry"))
+    one, two = tables(queries, "query"), tables(entries, "entry").withColumnRenamed("key", "entry_key")
+    pairs = one.join(two, (F.col("key") == F.col("entry_key")) & (apart <= radius))  # as a condition, so that only pairs that are near leave the join
+    return pairs.select("query", "entry", apart.alias("distance")).distinct()
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -130,29 +138,33 @@ def edited(docs: DataFrame) -> DataFrame:
     heads = known.join(asked, "doc_id").select(F.col("asker").alias("doc_id"), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"), F.col("doc_id").alias("next_id"))
     if repeated:  # of several texts of the next id, the greatest
         heads = heads.groupBy("doc_id", "next_id").agg(F.max("head").alias("head"))
-    none = rows.where(F.col("doc_id").isNull()).withColumns({"head": F.lit(""), "next_id": F.lit(None).cast("long")})
-    out = known.join(heads, "doc_id").unionByName(none)
+    # Rows without an id find no head; a salt spreads them.
+    rows = rows.withColumns({f"{TMP}k": F.coalesce("doc_id", F.lit(0).cast("long")), f"{TMP}salt": F.when(F.col("doc_id").isNull(), F.xxhash64("text").bitwiseOR(F.lit(1))).otherwise(F.lit(0)).cast("long")})
+    heads = heads.select(F.col("doc_id").alias(f"{TMP}k"), F.lit(0).cast("long").alias(f"{TMP}salt"), "next_id", "head")
+    out = rows.join(heads, [f"{TMP}k", f"{TMP}salt"], "left")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    return out.select("doc_id", "next_id", "text", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("head"), F.lit(1), half)).alias("edited"))
+    head = F.substring(F.coalesce("head", F.lit("")), F.lit(1), half)
+    return out.select("doc_id", "next_id", "text", F.concat(F.substring(F.col("text"), F.lit(1), n - half), head).alias("edited"), f"{TMP}k", f"{TMP}salt")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op2: fingerprints of every document and its edited text."""
+    """op2: fingerprints of every document and its edited text; ``n_near``: distinct fingerprints in the block tables within ``RADIUS``
+    of the document's, its own included, for ids divisible by ``EVERY`` (others: null)."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    both = edited(docs)
-    texts = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))
-    row = both.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "next_id", "row", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), texts.alias("texts"))
-    row = row.select("doc_id", "next_id", "row", "n_chars", "edited_sha256", F.explode_outer("texts").alias("x"))
-    row = row.select("doc_id", "next_id", "row", "n_chars", "edited_sha256", F.col("x.side").alias("side"), F.col("x.text").alias("text"))
-    marks = fingerprint(row, "text", ["doc_id", "next_id", "row", "n_chars", "edited_sha256", "side"], "fp")
-    pairs = marks.groupBy("doc_id", "next_id", "row", "n_chars", "edited_sha256").agg(
-        F.max(F.when(F.col("side") == 0, F.col("fp"))).alias("fingerprint"), F.max(F.when(F.col("side") == 1, F.col("fp"))).alias("edited_fingerprint")
-    )
-    pairs = written(pairs, "fingerprints")
+    side = lambda k, c: F.struct(F.lit(k).alias("side"), F.col(c).alias("text"))
+    base = [f"{TMP}k", f"{TMP}salt", "doc_id", "next_id", "row", "n_chars", "edited_sha256"]
+    rows = edited(docs).withColumns({"row": F.monotonically_increasing_id(), "n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2(F.col("edited"), 256)})
+    rows = rows.select(*base, F.explode(F.array(side(0, "text"), side(1, "edited"))).alias("x")).select(*base, F.col("x.side").alias("side"), F.col("x.text").alias("text"))
+    marks = votes(rows, "text", [*base, "side"])
+    of = lambda k: _hex(*[F.max(F.when(F.col("side") == k, F.col(b))) for b in ("bits0", "bits1")])
+    pairs = written(marks.groupBy(*base).agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint")).select("doc_id", "next_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"), "fingerprints")
+    asked = F.coalesce(F.col("doc_id") % EVERY == 0, F.lit(False))
+    found = near(pairs.where(asked), pairs).groupBy("query").agg(F.count("*").alias("n_near"))
     after = pairs.groupBy(F.col("doc_id").alias("next_id")).agg(F.max("fingerprint").alias("next_fingerprint"))
-    out = pairs.join(after, "next_id", "left")
+    searched = pairs.where(asked).join(found, F.col("fingerprint") == F.col("query"), "left").drop("query")
+    out = searched.unionByName(pairs.where(~asked).withColumn("n_near", F.lit(None).cast("long"))).join(after, "next_id", "left")
     fp = F.col("fingerprint")
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(fp, F.col("edited_fingerprint")).alias("near_edited"), likeness(fp, F.coalesce("next_fingerprint", fp)).alias("near_next")
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(fp, F.col("edited_fingerprint")).alias("near_edited"), likeness(fp, F.coalesce("next_fingerprint", fp)).alias("near_next"), "n_near"
     )

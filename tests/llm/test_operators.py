@@ -278,6 +278,48 @@ def test_fingerprints(spark, docs, rows, empty):
     assert fingerprints.edited(empty.select("doc_id", "text")).count() == 0
 
 
+def simhash(text):
+    """Fingerprint by definition: a bit is set where more than half of the word pairs' hashes have it."""
+    import xxhash
+
+    word = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text or "")]
+    one = lambda seed, *xs: one(xxhash.xxh64_intdigest(xs[0].to_bytes(8, "little"), seed), *xs[1:]) if xs else seed
+    four = lambda seed, x: xxhash.xxh64_intdigest(x.to_bytes(4, "little"), seed)
+    pairs = list(zip(word, word[1:], strict=False)) or [(w, None) for w in word]
+    hashes = []
+    for a, b in pairs:
+        known = [x for x in (b,) if x is not None]
+        hashes.append((one(42, a, *known) << 64) | one(four(one(42, *known), 7), a))
+    return f"{sum(1 << i for i in range(128) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes)):032x}"
+
+
+@pytest.mark.parametrize("repeated", [True, False])
+def test_fingerprint_query(spark, tmp_path, repeated):
+    """op2 by brute force, with and without repeated ids."""
+    texts = ["one", "", None, "two words", "a b c d e f g h i j k l m n", "a b c d e f g h i j k l m o", "a b c d e f g h i j k l m n", "日本 🙂🙂 naïve é", "x " * 300] + [f"w{i} " * 9 + "common tail of words" for i in range(40)]
+    rows = [(3 * i, t, "clash") for i, t in enumerate(texts)] + ([(6, "again", "c"), (6, "zagain", "c"), (9, texts[3], "c"), (None, "no id here", "c"), (None, "no id here", "c")] if repeated else [])
+    spark.createDataFrame(rows, "doc_id long, text string, next_id string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = fingerprints.query(spark, str(tmp_path))
+    assert [t for _, t in got.dtypes] == ["bigint", "bigint", "string", "string", "string", "double", "double", "bigint"]
+    by = collections.defaultdict(list)
+    for i, t, _ in rows:
+        by[i].append(t or "")
+    ids = sorted((i for i in by if i is not None), reverse=True)
+    marks = {simhash(t) for _, t, _ in rows}
+    apart = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    want = []
+    for i, t, _ in rows:
+        t, nxt = t or "", None if i is None else max(by[ids[(ids.index(i) + 1) % len(ids)]])
+        half = len(t) // 2
+        e = t[: len(t) - half] + (nxt or "")[:half]
+        mine = simhash(t)
+        after = mine if nxt is None else max(simhash(x) for x in by[ids[(ids.index(i) + 1) % len(ids)]])
+        n_near = sum(apart(mine, m) <= fingerprints.RADIUS for m in marks) if i is not None and i % 20 == 0 else None
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), mine, simhash(e), 1 - apart(mine, simhash(e)) / 128, 1 - apart(mine, after) / 128, n_near))
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, map(tuple, got.collect()))) == sorted(map(key, want))
+
+
 def test_next_ids_over_wide_gaps(spark):
     ids = [-(10**12), -5, 0, 1, 4095, 4096, 10**7, 10**7 + 1, 10**13]
     df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
