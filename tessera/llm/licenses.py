@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
-Candidates are the neighbourhoods of license words: ``REACH`` words on both sides, across lines, so that line breaks and comment signs
-count as blanks.  Such a window (a few KB) is compressed alone and with each template as zstandard raw dictionary, and templates are
+Candidates are the neighbourhoods of cues: ``REACH`` words on both sides, across lines, so that line breaks and comment signs count as
+blanks.  Cues are license words and, by rule, so many long words of every template that no confirmed wording can be without one.  Such a window (a few KB) is compressed alone and with each template as zstandard raw dictionary, and templates are
 tried in the order of the bytes they save.  All are tried; savings rank guesses and don't rule any out.  A guess is confirmed by its
 exact wording: the words of the template that the text lacks, or has in another order, may be ``MISSING`` of the template at most,
 within at most twice as many words as the template has.
@@ -10,7 +10,8 @@ The scan is a pure function of one row and needs no shuffle.
 
 Defined cases: a null or empty text has no blocks; of overlapping confirmed templates the one with the most words found stays, then
 the one that lacks fewer, then the shorter span; only templates with equal figures on the same words are reported together; templates
-that don't overlap are all reported; equal texts have equal results; texts and lines of any length are scanned whole.
+that don't overlap are all reported; equal texts have equal results; texts and lines of any length are scanned whole; repeated rows and
+ids are each scanned; an empty table gives an empty result; other columns, of any name, don't take part.
 """
 
 from __future__ import annotations
@@ -91,6 +92,25 @@ def _words(text: str) -> list[str]:
 REACH = 2 * max(len(_words(t)) for _, t in _ALL)
 
 
+def _more_cues() -> list[str]:
+    """Words by which every wording that lacks ``MISSING`` of a template at most is found: of the template's words, more than it may lack
+    are cues, the longest ones after the license words."""
+    out: set[str] = set()
+    for _, template in _ALL:
+        words = _words(template)
+        cues = sum(bool(CUE.search(w)) or w in out for w in words)
+        for w in sorted(set(words), key=lambda w: (-len(w), w)):
+            if cues <= int(MISSING * len(words)) and not CUE.search(w) and w not in out:
+                out.add(w)
+                cues += words.count(w)
+    return sorted(out)
+
+
+#: One of these is in every text that has a cue, in lower case.
+_STEMS = ("licens", "licenc", "copyright", "rights reserved", "permission", "redistribution", "public domain", "creative commons", "cc by", "cc-by", "waived", *_more_cues())
+_CUES = re.compile("|".join([CUE.pattern, *map(re.escape, _more_cues())]), re.I)
+
+
 @lru_cache(1)
 def _compressors():
     import zstandard
@@ -184,7 +204,8 @@ def _placed(text: str) -> list[tuple[str, int, int]]:
 
 def licenses(text: str) -> list[tuple[int, int, str, int, int]]:
     """Confirmed licenses in order: start, end, name, bytes saved, words lacking."""
-    cues = [m.start() for m in CUE.finditer(text)]
+    low = text.lower()
+    cues = [m.start() for m in _CUES.finditer(text)] if any(x in low for x in _STEMS) else []
     if not cues:
         return []
     placed = _placed(text)
@@ -193,15 +214,20 @@ def licenses(text: str) -> list[tuple[int, int, str, int, int]]:
     found: dict[tuple[int, int, int], tuple[int, int]] = {}
     i = 0
     while i < len(at):
-        low = max(at[i] - REACH, 0)
-        while i + 1 < len(at) and at[i + 1] <= low + 2 * REACH:  # a window has the whole reach of each of its license words
+        first = max(at[i] - REACH, 0)
+        while i + 1 < len(at) and at[i + 1] <= first + 2 * REACH:  # a window has the whole reach of each of its license words
             i += 1
         high = min(at[i] + REACH + 1, len(words))
         i += 1
-        for kept, a, b, k, saved in judge(_BREAK.sub(" ", text[places[low][0] : places[high - 1][1]]), words[low:high]):
-            found.setdefault((a + low, b + low, k), (kept, saved))
+        for kept, a, b, k, saved in judge(_BREAK.sub(" ", text[places[first][0] : places[high - 1][1]]), words[first:high]):
+            found.setdefault((a + first, b + first, k), (kept, saved))
+    return _chosen(text, places, found)
+
+
+def _chosen(text: str, places: list[tuple[int, int]], found: dict[tuple[int, int, int], tuple[int, int]]) -> list[tuple[int, int, str, int, int]]:
+    """Of confirmed templates (first and last word, place in ``_ALL``: words found, bytes saved), those that overlap no better one."""
     order = sorted((-kept, len(_prepared()[k][0]) - kept, b - a, a, _ALL[k][0], k, saved) for (a, b, k), (kept, saved) in found.items())
-    taken, held, out = bytearray(len(words)), {}, {}
+    taken, held, out = bytearray(len(places)), {}, {}
     for kept, lacking, more, a, name, _, saved in order:
         if taken.find(1, a, a + more + 1) < 0:
             taken[a : a + more + 1] = b"\1" * (more + 1)
