@@ -3,6 +3,13 @@
 ``STAGES`` lists the stages; each takes (spark, docs, sf_dir) and returns a DataFrame, and all but the last keep the columns of
 ``documents``.  ``run`` applies them one after another and writes each result to the shared folder, so that a stage is computed once
 and a lost executor costs its tasks only.
+
+Defined cases, stage by stage.  Nulls: a null text fails the quality rules; a row without an id is never a near duplicate and stays; a
+null source is a source of its own; null columns else pass through.  Empty texts and texts without words fail the quality rules; where
+a stage is given them all the same, they have no near duplicates, no secrets, no words to mix and no tokens.  Very long texts are read
+whole in every stage.  Ties: the smallest id of a group of near duplicates stays; a score at the threshold is kept.  Repeated rows are
+judged alike: near dedup keeps all rows of the id that stays, the mix takes each.  Empty tables give empty tables in every stage.  Extra
+columns, of any name, pass through all stages but the last.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ sums are added up per source, and only the rows of one (source, bucket) are summ
 square root of the rows, so both levels stay small.
 
 Defined cases: null texts have no words and are never taken; a null source is a source, last in order; equal ids or rows follow one
-another in order of size; an empty table gives an empty result; a source without words has target 0.
+another in order of size; an empty table gives an empty result; a source without words has target 0; rows that differ in any column are
+different documents, and rows equal in all are each taken; other columns, of any name, pass through ``mix``.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from .common import GAP, TMP, documents, n_words_of, text_of, written
 WEIGHTS = (3, 1, 2)
 SCHEDULES = ((1.5, 0.5), (0.5, 1.5), (1.0, 1.0))
 TOTAL, MOST = 1.5, 2.0
+ROW = (f"{TMP}row", f"{TMP}row2")
 
 
 def _source_key(source: str) -> Column:
@@ -57,10 +59,17 @@ def _time(share: Column, place: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(a == b, share).otherwise(bent)))
 
 
+def _row_key(docs: DataFrame) -> list[Column]:
+    """128 bits of hash over all columns of a row, nulls and their places included: equal for rows that are equal in all columns."""
+    parts = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    gaps = [F.col(f"`{c}`").isNull() for c in docs.columns]
+    return [F.xxhash64(F.lit(k), *gaps, *parts).alias(name) for k, name in enumerate(ROW)]
+
+
 def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A row per row of ``docs``: row key, id, size, source_size, target, taken, and for each pass the words taken and the position.
 
-    The row key (``__t_row``) is stable: hash of id and text, with which ``mix`` finds the texts again.
+    The row key (``ROW``) is a hash of all columns, with which ``mix`` finds the rows again.
     """
     sized = written(
         docs.select(
@@ -69,7 +78,7 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
             _source_key(source_col).alias("skey"),
             n_words_of(text_of(text_col)).alias("size"),
             F.xxhash64(F.lit("order"), F.col(id_col)).alias("at"),
-            F.xxhash64(F.col(id_col), F.col(text_col)).alias(f"{TMP}row"),
+            *_row_key(docs),
         ),
         "sizes",
     )
@@ -79,14 +88,14 @@ def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     goal = targets(sums.groupBy("skey").agg(F.sum("words").alias("words"), F.first("source", ignorenulls=True).alias("source")))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = sums.withColumn("offset", before).drop("words", "source").join(goal.select("skey", F.col("words").alias("source_size"), "target", "place"), "skey")
-    inner = Window.partitionBy("skey", "bucket").orderBy("at", "doc_id", "size", f"{TMP}row").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("skey", "bucket").orderBy("at", "doc_id", "size", *ROW).rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.join(cells, ["skey", "bucket"]).withColumn("cum", F.col("offset") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
     whole = F.floor(F.col("target") + 1e-6)
     first = F.greatest(F.lit(0), F.least(F.col("size"), whole - F.col("cum"))).cast("long")
     second = F.greatest(F.lit(0), F.least(F.col("size"), whole - F.col("source_size") - F.col("cum"))).cast("long")
     rows = rows.withColumn("taken_1", first).withColumn("taken_2", second)
     return rows.select(
-        f"{TMP}row",
+        *ROW,
         "doc_id",
         "size",
         "source_size",
@@ -106,19 +115,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     own = docs.columns
     plan = placed(docs, id_col, text_col, source_col).where("taken > 0")
-    times = plan.select(f"{TMP}row", "size", F.explode(F.array(*[F.struct(F.col(f"taken_{k}").alias("taken"), F.col(f"position_{k}").alias("position")) for k in (1, 2)])).alias("x"))
-    times = times.where("x.taken > 0").select(f"{TMP}row", F.col("size").alias(f"{TMP}size"), F.col("x.taken").alias(f"{TMP}taken"), F.col("x.position").alias(f"{TMP}position"))
-    # Rows that are equal in id and text share a key; one of them stands for all and is joined to each of their places.
-    rows = docs.withColumn(f"{TMP}row", F.xxhash64(F.col(id_col), F.col(text_col))).dropDuplicates([f"{TMP}row"])
-    out = rows.join(times, f"{TMP}row")
+    times = plan.select(*ROW, "size", F.explode(F.array(*[F.struct(F.col(f"taken_{k}").alias("taken"), F.col(f"position_{k}").alias("position")) for k in (1, 2)])).alias("x"))
+    times = times.where("x.taken > 0").select(*ROW, F.col("size").alias(f"{TMP}size"), F.col("x.taken").alias(f"{TMP}taken"), F.col("x.position").alias(f"{TMP}position"))
+    # Of rows that are equal in all columns one stands for all and is joined to each of their places.
+    rows = docs.select("*", *_row_key(docs)).dropDuplicates(list(ROW))
+    out = rows.join(times, list(ROW))
     lead = F.when(F.col(text_col).rlike("^" + GAP), 1).otherwise(0)
     rest = F.element_at(F.split(F.col(text_col), GAP, (F.col(f"{TMP}taken") + 1 + lead).cast("int")), -1)
     cut = F.substring(F.col(text_col), F.lit(1), F.length(text_col) - F.length(rest))
     text = F.when(F.col(f"{TMP}taken") >= F.col(f"{TMP}size"), F.col(text_col)).otherwise(cut)
-    out = out.orderBy(f"{TMP}position", f"{TMP}row").withColumn(text_col, text)
+    out = out.orderBy(f"{TMP}position", *ROW).withColumn(text_col, text)
     if chars_col in own:
         out = out.withColumn(chars_col, F.length(text_col).cast("long"))
-    return out.select(*own)
+    return out.select(*[F.col(f"`{c}`") for c in own])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

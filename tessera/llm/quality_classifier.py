@@ -7,7 +7,9 @@ quantile bins, and trees are grown level by level from gradient and curvature hi
 batch down each tree at once.  Scoring is a pure function of a row; nothing is shuffled but the labels' join.
 
 Defined cases: a null text is empty, and empty texts are scored by their (zero) statistics; without labelled rows of both classes
-every score is the share of good labels, or 0.5; repeated rows are scored alike; equal statistics give equal scores.
+every score is the share of good labels, or 0.5; repeated rows are scored alike; equal statistics give equal scores; of several texts
+of a labelled id the one with the greatest statistics is learned from; a null id is neither held out nor learned from; an empty table
+gives an empty result; other columns, of any name, don't take part.
 """
 
 from __future__ import annotations
@@ -124,7 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     python_tasks(docs.sparkSession)
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", _stats_column(F.col("text")).alias("x"), "quality").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", _stats_column(F.col("text")).alias("x"), "quality")
+    rows = rows.groupBy("doc_id").agg(F.max(F.struct("x", "quality")).alias("r")).orderBy("doc_id").select("r.x", "r.quality").collect()
     x = np.array([r["x"] for r in rows], np.float32).reshape(-1, len(FEATURES))
     return grow(x, np.array([float(r["quality"]) for r in rows]))
 

@@ -6,11 +6,13 @@ aggregation the exact bytes, rows and key range between neighbouring boundaries,
 is within ``tolerance`` of its offset or no other key lies between.  A text that holds a third of all rows is split by id like
 any other range.  Only counts reach the driver: a few numbers for each boundary.
 
-Each shard has ``CELLS`` cells, found as splitters in the same rounds.  Rows move once, to their cell; a row's slot is its rank
-in the cell plus the rows of the shard's earlier cells, which the last count gave.
+Each shard has as many cells as its bytes ask for (``CELL`` bytes each, ``CELLS`` in all at most, so that the driver's numbers stay
+small), found as splitters in the same rounds.  Rows move once, to their cell; a row's slot is its rank in the cell plus the rows of the
+shard's earlier cells, which the last count gave.
 
 Defined cases: a null text counts as no bytes and hashes as empty; a null id sorts as 0; rows equal in text and id keep together;
-an empty table gives an empty result; shards may be empty when there are fewer rows than shards; other columns pass through.
+an empty table gives an empty result; shards may be empty when there are fewer rows than shards; other columns pass through, but for
+columns named ``shard`` and ``slot``, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import TMP, documents, python_tasks, text_of, written
+from .common import TMP, documents, dropped, python_tasks, text_of, written
 
 SHARDS = 24
-#: Cells of a shard; they bound what one task sorts.
-CELLS = 8
+#: Bytes of a cell, which is what one task sorts, and most cells of all shards.
+CELL, CELLS = 64 << 20, 16_384
 #: Share of a cell's bytes by which a splitter may miss its offset.
 TOLERANCE = 0.01
 #: Boundaries tried for each open splitter in a round.
@@ -125,18 +127,22 @@ def splitters(keys: DataFrame, parts: int, tolerance: float = TOLERANCE) -> tupl
 
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
     """``docs`` with ``shard`` and ``slot``, near equal in the bytes of text (and 8 more a row)."""
+    docs = docs.drop("shard", "slot")
     k1, k2 = F.xxhash64(text_of(text_col)), F.coalesce(F.col(id_col).cast("long"), F.lit(0))
     size = (F.octet_length(text_of(text_col)) + 8).cast("long")
     python_tasks(docs.sparkSession)
     keyed = docs.withColumn(f"{TMP}k1", k1).withColumn(f"{TMP}k2", k2)
     keys = written(keyed.select(F.col(f"{TMP}k1").alias("k1"), F.col(f"{TMP}k2").alias("k2"), size.alias("size")), "keys")
-    bounds, rows, _ = splitters(keys, shards * CELLS, tolerance)
-    starts = [sum(rows[c - c % CELLS : c]) for c in range(len(rows))]
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    cells = max(1, min(-(-total // (shards * CELL)), CELLS // shards))
+    bounds, rows, _ = splitters(keys, shards * cells, tolerance)
+    dropped(keys)
+    starts = [sum(rows[c - c % cells : c]) for c in range(len(rows))]
     start = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")
     cell = F.col(f"{TMP}cell")
     rank = F.row_number().over(Window.partitionBy(cell).orderBy(f"{TMP}k1", f"{TMP}k2"))
     out = keyed.withColumn(f"{TMP}cell", _bin_of(bounds, F.col(f"{TMP}k1"), F.col(f"{TMP}k2")))
-    out = out.withColumn("shard", (cell / CELLS).cast("int")).withColumn("slot", F.get(start, cell) + rank - 1)
+    out = out.withColumn("shard", F.floor(cell / cells).cast("int")).withColumn("slot", F.get(start, cell) + rank - 1)
     return out.drop(f"{TMP}k1", f"{TMP}k2", f"{TMP}cell")
 
 

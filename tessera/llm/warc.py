@@ -3,22 +3,22 @@
 Pages become WARC response records, dealt to files of ``FILE`` consecutive ids and laid out by id, so a record has a file, a rank and an
 offset range.  A leaf of the hash tree is the digest of a record's bytes; a node hashes the offset range it covers and its children in
 order, ``FAN`` of them: first the records of a file, then the files.  Two replicas are compared from the roots down: only children of
-nodes that differ are looked at, level by level, until the records that differ are found.
+nodes that differ are looked at, level by level, until the records that differ are found.  Both trees are as high as the higher one
+needs, so one with fewer records or files has single children on its left edge.
 
 Building a level is one aggregation of groups of at most ``FAN`` rows; descending joins a level to the few nodes that differ above it.
 
 Defined cases: a null url or html is empty; a null id is no record and is dropped; repeated ids lie one after another in order of their
-bytes; a record or file that only one replica has differs; equal replicas stop at the root; empty archives are equal and have no records.
+bytes; a record or file that only one replica has differs; equal replicas stop at the root; empty archives are equal and have no records;
+other columns, of any name, don't take part.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 #: Consecutive ids of a file, and children of a node.
 FILE, FAN = 256, 16
@@ -43,29 +43,32 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return rows.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).withColumn("offset", before)
 
 
-def tree(records: DataFrame) -> tuple[list[DataFrame], int]:
+def leaves(records: DataFrame) -> DataFrame:
+    """The lowest level of a tree: (file, node, start, end, hash), a node being a rank."""
+    return written(records.select("file", F.col("rank").alias("node"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), F.col("digest").alias("hash")), "leaves")
+
+
+def heights(leaf: DataFrame) -> tuple[int, int]:
+    """Levels of nodes that the records of the longest file need, and that the files need."""
+    most = leaf.agg(F.max("node"), F.max(F.abs("file"))).first()
+    return tuple(next(h for h in range(64) if (x or 0) < FAN**h) for x in most)
+
+
+def tree(leaf: DataFrame, within: int, above: int) -> tuple[list[DataFrame], int]:
     """Levels from the records up to the root, each (file, node, start, end, hash), and the place of the level of files.
 
     Nodes of a file are numbered by rank; above the files they are numbered by file, at file -1.
     """
-    leaf = records.select("file", F.col("rank").alias("node"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), F.col("digest").alias("hash"))
-    levels = [written(leaf, "leaves")]
-    most = levels[0].agg(F.max("node"), F.max(F.abs("file"))).first()
-    within, above = most[0] or 0, most[1] or 0
-    while within > 0:
-        levels.append(written(_parents(levels[-1].withColumn("up", F.floor(F.col("node") / FAN).cast("long")), "file"), "nodes"))
-        within //= FAN
-    files = levels[-1].select(F.lit(-1).cast("long").alias("file"), F.col("file").alias("node"), "start", "end", "hash")
-    levels.append(files)
-    file_level = len(levels) - 1
-    while True:
-        levels.append(written(_parents(levels[-1].withColumn("up", F.floor(F.col("node") / FAN).cast("long")), "file"), "nodes"))
-        if above == 0:
-            break
-        above //= FAN
+    up = F.floor(F.col("node") / FAN).cast("long")
+    levels = [leaf]
+    for _ in range(within):
+        levels.append(written(_parents(levels[-1].withColumn("up", up), "file"), "nodes"))
+    levels.append(levels[-1].select(F.lit(-1).cast("long").alias("file"), F.col("file").alias("node"), "start", "end", "hash"))
+    for _ in range(above + 1):
+        levels.append(written(_parents(levels[-1].withColumn("up", up), "file"), "nodes"))
     # Nodes 0 and -1 may both be left where ids have both signs; one root holds them.
     levels.append(written(_parents(levels[-1].withColumn("up", F.lit(0).cast("long")), "file"), "root"))
-    return levels, file_level
+    return levels, within + 1
 
 
 def _parents(children: DataFrame, file: str) -> DataFrame:
@@ -80,31 +83,30 @@ def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, ["file", "node"], "full_outer").where(~F.col("x").eqNullSafe(F.col("y"))).select("file", "node")
 
 
-def audit(one: tuple[list[DataFrame], int], two: tuple[list[DataFrame], int]) -> tuple[DataFrame, list[int]]:
-    """Leaves (file, rank) that differ between two trees, and how many nodes differed at each level from the root down.
-
-    Trees of different height are compared at the leaves, which is where their files begin to differ.
-    """
-    (first, file_level), (second, other) = one, two
-    if (len(first), file_level) != (len(second), other):
-        bad = _differing(first[0], second[0])
-        return bad.select("file", F.col("node").alias("rank")), []
+def audit(one: DataFrame, two: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Records (file, rank) that differ between two archives, and how many nodes differed at each level from the root down."""
+    low = [leaves(one), leaves(two)]
+    within, above = (max(x) for x in zip(*map(heights, low), strict=True))
+    (first, file_level), (second, _) = (tree(leaf, within, above) for leaf in low)
     top, counts = len(first) - 1, []
     bad = written(_differing(first[top], second[top]), "differing")
     for level in range(top, 0, -1):
-        n = bad.count()
-        counts.append(n)
-        if not n:
-            return bad.select("file", F.col("node").alias("rank")).limit(0), counts
+        counts.append(bad.count())
+        if not counts[-1]:
+            bad = bad.limit(0)
+            break
         if level == file_level:  # from a file's place among files to the file's own top
             down = bad.select(F.col("node").alias("file"), F.lit(0).cast("long").alias("node"))
-            bad = written(down, "differing")
-            continue
-        parents = bad.select("file", F.col("node").alias("up"))
-        step = (lambda df: df.withColumn("up", F.lit(0).cast("long"))) if level == top else (lambda df: df.withColumn("up", F.floor(F.col("node") / FAN).cast("long")))
-        children = [step(t[level - 1]).join(parents, ["file", "up"], "left_semi").select("file", "node", "start", "end", "hash") for t in (first, second)]
-        bad = written(_differing(*children), "differing")
-    counts.append(bad.count())
+        else:
+            parents = bad.select("file", F.col("node").alias("up"))
+            step = (lambda df: df.withColumn("up", F.lit(0).cast("long"))) if level == top else (lambda df: df.withColumn("up", F.floor(F.col("node") / FAN).cast("long")))
+            down = _differing(*[step(t[level - 1]).join(parents, ["file", "up"], "left_semi").select("file", "node", "start", "end", "hash") for t in (first, second)])
+        after = written(down, "differing")
+        dropped(bad)
+        bad = after
+    else:
+        counts.append(bad.count())
+    dropped(*first, *second)
     return bad.select("file", F.col("node").alias("rank")), counts
 
 
@@ -118,7 +120,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: every record of the archive of ``pages``, and whether the audit of a damaged replica locates it."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     records = written(archive(pages), "records")
-    found, _ = audit(tree(records), tree(archive(damaged(pages))))
+    found, _ = audit(records, archive(damaged(pages)))
     out = records.join(found.withColumn("located", F.lit(True)), ["file", "rank"], "left")
     return out.select("page_id", "file", "offset", "length", F.col("digest").alias("record_sha256"), F.coalesce("located", F.lit(False)).alias("located"))
 

@@ -32,7 +32,7 @@ def test_records_by_hand(spark):
 @pytest.mark.parametrize("change", [(), (0,), (299, 300), (700,)])
 def test_audit_finds_what_changed(spark, change):
     a, b = warc.archive(pages_of(spark, 700)), warc.archive(pages_of(spark, 700, change))
-    found, counts = warc.audit(warc.tree(a), warc.tree(b))
+    found, counts = warc.audit(a, b)
     x = a.select("file", "rank", a.digest.alias("x")).join(b.select("file", "rank", b.digest.alias("y")), ["file", "rank"])
     moved = {(r["file"], r["rank"]) for r in a.join(b.select("file", "rank", b["offset"].alias("o"), b["length"].alias("l")), ["file", "rank"]).where("`offset` <> o OR `length` <> l").collect()}
     want = {(r["file"], r["rank"]) for r in x.where("x <> y").collect()} | moved
@@ -43,14 +43,37 @@ def test_audit_finds_what_changed(spark, change):
 def test_audit_of_same_sizes_is_narrow(spark):
     a = warc.archive(pages_of(spark, 1200))
     b = warc.archive(warc.damaged(pages_of(spark, 1200)))
-    found, counts = warc.audit(warc.tree(a), warc.tree(b))
+    found, counts = warc.audit(a, b)
     assert {r["file"] * 0 + r["page_id"] for r in a.join(found, ["file", "rank"]).collect()} == {i for i in [*range(1200)] if i % 97 == 13}
     assert max(counts) <= 2 * len(range(13, 1200, 97))
 
 
+def test_audit_descends_trees_of_unequal_height(spark):
+    """A replica that lost its last files, and the end of one, is compared branch by branch, not record by record."""
+    a = warc.archive(spark.createDataFrame([(i, f"http://x/{i}", "page") for i in range(256 * 40)], SCHEMA))
+    b = warc.archive(spark.createDataFrame([(i, f"http://x/{i}", "page") for i in range(256 * 12 + 5)], SCHEMA))
+    assert warc.heights(warc.leaves(a)) == (2, 2) and warc.heights(warc.leaves(b)) == (2, 1)
+    short = warc.archive(spark.createDataFrame([(256 * i, f"http://x/{256 * i}", "page") for i in range(9)], SCHEMA))
+    assert warc.heights(warc.leaves(short)) == (0, 1)
+    found, counts = warc.audit(a, b)
+    assert {(r["file"], r["rank"]) for r in found.collect()} == {(f, k) for f in range(12, 40) for k in range(256) if f > 12 or k >= 5}
+    assert counts[0] == 1 and counts[3] < 40
+    found, _ = warc.audit(short, b)
+    assert found.count() == 256 * 12 + 5 - 9
+
+
+def test_audit_query(spark, tmp_path):
+    rows = [(i, f"http://x/{i}", "page", 7) for i in range(300)] + [(13, "again", None, 8), (None, "u", "h", 9)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, file int").write.parquet(f"{tmp_path}/pages.parquet")
+    out = warc.query(spark, str(tmp_path))
+    assert out.dtypes == [("page_id", "bigint"), ("file", "bigint"), ("offset", "bigint"), ("length", "bigint"), ("record_sha256", "string"), ("located", "boolean")]
+    got = out.collect()
+    assert len(got) == 301 and {r["page_id"] for r in got if r["located"] and r["page_id"] % 97 == 13} == {13, 110, 207}
+
+
 def test_empty_archives(spark):
     a = warc.archive(spark.createDataFrame([], SCHEMA))
-    found, counts = warc.audit(warc.tree(a), warc.tree(a))
+    found, counts = warc.audit(a, a)
     assert found.count() == 0 and counts == [0]
 
 

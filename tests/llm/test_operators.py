@@ -226,6 +226,29 @@ def test_mixing(docs, rows, empty):
     assert words == sum(x["taken"] for x in got)
 
 
+def test_rows_that_differ_in_one_column_are_apart(spark):
+    """Equal ids and texts of other languages and sources, a column with a map and one with a dot: each row is taken as often as planned."""
+    rows = [(1, "one two three four", lang, source, {"k": 1}, "z") for lang, source in (("en", "a"), ("fr", "a"), ("en", "b"), (None, "en"), ("en", None), ("en", "a"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, extra map<string, int>, `size.x` string")
+    want = collections.Counter()
+    for r in docs.select("lang", "source", "*").collect():
+        want[r["lang"], r["source"]] += 4
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    got = collections.Counter()
+    for r in mixed.collect():
+        got[r["lang"], r["source"]] += len(r["text"].split())
+    assert set(got) <= set(want) and all(got[k] <= 2 * want[k] for k in got) and sum(got.values()) == sum(r["taken"] for r in mixing.placed(docs).collect())
+
+
+def test_mixing_query(spark, tmp_path):
+    texts = ["a b c", "", None, "d e", "a b c d e f g h", "i j"]
+    spark.createDataFrame([(i, t, (None, "s", "t")[i % 3], 5) for i, t in enumerate(texts)], "doc_id long, text string, source string, taken int").write.parquet(f"{tmp_path}/documents.parquet")
+    out = mixing.query(spark, str(tmp_path))
+    assert out.dtypes[:5] == [("doc_id", "bigint"), ("size", "bigint"), ("source_size", "bigint"), ("target", "double"), ("taken", "bigint")]
+    assert {r["doc_id"]: r["size"] for r in out.collect()} == {i: len((t or "").split()) for i, t in enumerate(texts)}
+
+
 def test_demand_is_inverted(spark):
     from pyspark.sql import functions as F
 
@@ -236,7 +259,8 @@ def test_demand_is_inverted(spark):
 
 
 def test_sharding(spark, docs, rows, empty):
-    out = sharding.shard(docs.drop("shard"), shards=4)
+    out = sharding.shard(docs, shards=4)
+    assert out.columns == [*[c for c in docs.columns if c != "shard"], "shard", "slot"]
     got = out.collect()
     assert len(got) == len(rows)
     slots, sizes = collections.defaultdict(list), collections.Counter()
@@ -249,6 +273,28 @@ def test_sharding(spark, docs, rows, empty):
     assert sharding.shard(empty.drop("shard")).count() == 0
 
 
+@pytest.mark.parametrize("cell", [sharding.CELL, 200])
+def test_sharding_query(spark, tmp_path, cell, monkeypatch):
+    """op7's contract, with one cell a shard and with many."""
+    import zlib
+
+    monkeypatch.setattr(sharding, "CELL", cell)
+    rng = np.random.default_rng(5)
+    texts = [None, "", *("é" * int(n) for n in rng.integers(0, 60, 900)), *["copy of this text"] * 500]
+    spark.createDataFrame([(i, t, 3) for i, t in enumerate(texts)], "doc_id long, text string, slot int").write.parquet(f"{tmp_path}/documents.parquet")
+    out = sharding.query(spark, str(tmp_path))
+    assert out.dtypes == [("doc_id", "bigint"), ("size", "bigint"), ("text_crc32", "bigint"), ("law", "string"), ("shard", "int"), ("slot", "bigint"), ("grown_shard", "int")]
+    got = out.collect()
+    slots, sizes = collections.defaultdict(list), collections.Counter()
+    for r in got:
+        raw = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 8, zlib.crc32(raw), "bytes", None)
+        slots[r["shard"]].append(r["slot"])
+        sizes[r["shard"]] += r["size"]
+    assert len(got) == len(texts) and set(slots) == set(range(24)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * 130
+
+
 def test_splitters_split_a_hot_key(spark):
     from pyspark.sql import functions as F
 
@@ -434,6 +480,60 @@ def test_quality_classifier(spark, docs, rows, empty):
     assert quality_classifier.score(empty, quality_classifier.fit(docs, labels.limit(0))).count() == 0
 
 
+def test_statistics_by_definition():
+    text = "Two words, HERE.\n\nagain again 12 | é!\nagain again 12 | é!\n averyveryverylongword"
+    got = dict(zip(quality_classifier.FEATURES, quality_classifier.statistics(text), strict=True))
+    raw, words, lines = text.encode(), text.encode().split(), [x for x in text.encode().split(b"\n") if x.strip()]
+    n, k = len(raw), len(words)
+    want = {"n_chars": np.log1p(n), "n_words": np.log1p(k), "mean_word": sum(map(len, words)) / k, "long_words": 1 / k, "distinct_words": len(set(words)) / k, "digit": 4 / n, "pipes": 2 / k, "bangs": 2 / k,
+            "high_bytes": 4 / n, "n_lines": np.log1p(len(lines)), "repeated_lines": 1 / len(lines), "mean_line": k / len(lines), "capital_words": 1 / len(set(words)), "commas": 1 / k, "space": (k - 1 + 2) / n}
+    assert all(abs(got[f] - x) < 1e-9 for f, x in want.items()), {f: (got[f], x) for f, x in want.items() if abs(got[f] - x) > 1e-9}
+    assert len(quality_classifier.statistics("")) == len(quality_classifier.FEATURES)
+
+
+def test_trees_are_walked_as_nested_rules():
+    """The flattened arrays against a walk of one row at a time."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, len(quality_classifier.FEATURES))).astype(np.float32)
+    x[:20] = x[20:40]  # ties
+    trees = quality_classifier.grow(x, (x[:, 2] * x[:, 3] > 0).astype(float))
+
+    def walk(row, feature, threshold, value, node=0):
+        inner = len(feature)
+        return value[node - inner] if node >= inner else walk(row, feature, threshold, value, 2 * node + 1 + int(row[feature[node]] > threshold[node]))
+
+    want = [1 / (1 + np.exp(-(trees.start + sum(walk(r, *t) for t in zip(trees.feature, trees.threshold, trees.value, strict=True))))) for r in x]
+    assert np.allclose(trees.probability(x), want)
+
+
+def test_repeated_ids_are_learned_from_alike(spark):
+    rows = [(i, f"text {i} " * (3 + i % 5) + "!" * (i % 2)) for i in range(60)]
+    rows += [(i, "another text of that id") for i in range(0, 60, 3)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(None, 1, 0), (2, None, 1)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (quality_classifier.fit(d, labels) for d in (docs, docs.orderBy(docs.text.desc()).repartition(7)))
+    assert np.array_equal(one.threshold, two.threshold) and np.array_equal(one.value, two.value)
+
+
+def test_queries_of_contract(spark, tmp_path):
+    """Names and types of op3, op5, op9 and op10, and op10's rows by brute force."""
+    texts = [None, "", "a b", "a b", *(" ".join(f"w{(i * 7 + j * (1 + i // 9)) % 400}" for j in range(60)) for i in range(30))]
+    texts += [texts[9], texts[9].replace("w", "W", 3), " ".join([*texts[9].split()[:-1], "end"])]
+    rows = [(2 * i, t, "s", "x") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, kept string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2 * i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    d = str(tmp_path)
+    assert secrets.query(spark, d).dtypes == [("doc_id", "bigint"), ("n_assign", "bigint"), ("n_access", "bigint"), ("n_hex", "bigint"), ("base_sha256", "string"), ("spans", "string")]
+    assert quality_classifier.query(spark, d).dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    nine = quality_rules.query(spark, d)
+    assert nine.dtypes[:8] == [("doc_id", "bigint"), *((c, "bigint") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", "boolean"), ("kept", "boolean")]
+    assert nine.where("kept IS NULL OR base_failed IS NULL").count() == 0 and nine.count() == len(rows)
+    ten = near_duplicates.query(spark, d)
+    assert ten.dtypes == [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint"), ("kept", "boolean")]
+    sets, want = brute_components(rows)
+    assert sorted(map(tuple, ten.collect())) == sorted((i, len(sets[i]), want[i], want[i] == i) for i in sets)
+
+
 def test_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, len(quality_classifier.FEATURES))).astype(np.float32)
