@@ -148,11 +148,11 @@ def keys() -> Column:
     return F.array(*out)
 
 
-def _spread(rows: DataFrame, few: DataFrame, on: str) -> DataFrame:
+def _spread(rows: DataFrame, few: DataFrame, on: str, by: str = "node") -> DataFrame:
     """``rows`` left-joined to ``few`` (a row each value of ``on``), where a value may have any share of the rows: each goes to ``SALTS``
-    tasks, by the rows' nodes."""
+    tasks, by the rows' ``by``."""
     salt = f"{TMP}salt"
-    out = rows.withColumn(salt, F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    out = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)))
     return out.join(few.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [on, salt], "left").drop(salt)
 
 
@@ -174,7 +174,8 @@ def components(links: DataFrame) -> DataFrame:
     while n:
         hook = edges.groupBy("b").agg(F.min("a").alias("up")).withColumn("least", F.col("up"))
         for _ in range(JUMPS):
-            hook = hook.join(hook.select(F.col("b").alias("up"), F.col("up").alias("beyond")), "up", "left").select("b", "least", F.coalesce("beyond", "up").alias("up"))
+            further = hook.select("up").distinct().join(hook.select(F.col("b").alias("up"), F.col("up").alias("beyond")), "up")
+            hook = _spread(hook, further, "up", "b").select("b", "least", F.coalesce("beyond", "up").alias("up"))
         hook = written(hook, "hooks")
         # A link to the smallest neighbour is used up; as many of these as there may be bear one node, which needs no look-up.
         left = edges.join(hook, "b").where("a <> least").select("a", F.col("up").alias("b"))

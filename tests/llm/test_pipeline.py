@@ -64,9 +64,9 @@ def test_stages_with_odd_rows(spark):
         got = out.collect()
         ids = [r["doc_id"] for r in got]
         if name == "quality_rules":
-            assert not {20, 21} & set(ids) and {0, 22, None} <= set(ids) and ids.count(3) == 2
+            assert not {20, 21} & set(ids) and {*range(12), 22, None} <= set(ids) and ids.count(3) == 2
         if name == "near_dedup":
-            assert sorted(ids, key=str) == sorted([*range(12), 3, 20, 21, 22, None, 31], key=str)
+            assert sorted(ids, key=str) == sorted([*range(12), 3, 20, 21, 22, None], key=str)  # 30 and 31 are near copies
         if name == "secret_scan":
             assert len(got) == len(rows) and next(r["text"] for r in got if r["doc_id"] == 31).startswith(secrets.MASK)
         if name == "mix_sources":
