@@ -28,10 +28,11 @@ from .common import TMP, documents, text_of, words_of
 SYMBOLS = r"[#*$%&|<>]"
 #: Size of both multinomials; the model is that many doubles, whatever the corpus.
 BUCKETS = 1 << 16
-#: Pseudo-counts of each bucket in the trusted multinomial; the corpus multinomial has as many for its size.
-PRIOR = 10.0
+#: Pseudo-counts of each bucket in the trusted multinomial; the corpus multinomial has as many for its size.  So many that a few copies
+#: of a text that isn't among the trusted ones don't count against it.
+PRIOR = 50.0
 #: Mean log ratio from which a text is kept.
-THRESHOLD = -0.05
+THRESHOLD = -0.03
 LEAST_WORDS = 50
 #: Most trusted ids that are broadcast.
 MOST = 1 << 20
