@@ -9,7 +9,8 @@ parts are words of the vocabulary; letters in the shape of words are not enough.
 Spans are in code points, end exclusive.  The scan is a pure function of one row and needs no shuffle.
 
 Defined cases: a null or empty text has no spans (the digest is that of the empty list); equal texts have equal spans; texts of any
-length are scanned whole.
+length are scanned whole; repeated rows and ids are each scanned; an empty table gives an empty result; other columns, of any name, pass
+through ``masked`` and don't take part in ``scan``.
 """
 
 from __future__ import annotations
@@ -141,7 +142,7 @@ def masked(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars")
     out = docs.withColumn(f"{TMP}new", mask_all(F.col(text_col)))
     if chars_col in own:
         out = out.withColumn(chars_col, F.when(F.col(f"{TMP}new") == F.col(text_col), F.col(chars_col)).otherwise(F.length(f"{TMP}new").cast(docs.schema[chars_col].dataType)))
-    return out.withColumn(text_col, F.col(f"{TMP}new")).select(*own)
+    return out.withColumn(text_col, F.col(f"{TMP}new")).select(*[F.col(f"`{c}`") for c in own])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
