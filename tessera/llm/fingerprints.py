@@ -125,27 +125,27 @@ def edited(docs: DataFrame) -> DataFrame:
 
     Only as much of the next text is sent as a text can take: its first half of the asking text's length.
     """
-    # Both joins take ``known``, so that its texts are shuffled once; an alias of the key would make the two shuffles differ.
+    # Both joins take ``rows`` with the same columns and keys, so that its texts are shuffled once.  Rows without an id find no head; a
+    # salt spreads them.
+    k, salt, zero = f"{TMP}k", f"{TMP}salt", F.lit(0).cast("long")
     key = F.col("doc_id") if docs.schema["doc_id"].dataType == T.LongType() else F.col("doc_id").cast("long").alias("doc_id")
     rows = docs.select(key, text_of().alias("text"))
+    rows = rows.withColumns({k: F.coalesce("doc_id", zero), salt: F.when(F.col("doc_id").isNull(), F.xxhash64("text").bitwiseOR(F.lit(1))).otherwise(zero)})
     known = rows.where(F.col("doc_id").isNotNull())
-    ids = written(next_ids(known.select("doc_id")), "next")
+    ids = written(next_ids(known.select("doc_id")).withColumn(salt, zero), "next")  # read from the table, so that no plan folds it
     halves = known.select("doc_id", F.floor(F.length("text") / 2).cast("int").alias("half"))
     repeated = known.count() > ids.count()
     if repeated:
         halves = halves.groupBy("doc_id").agg(F.max("half").alias("half"))
-    asked = halves.join(ids, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("asker"), "half")
-    heads = known.join(asked, "doc_id").select(F.col("asker").alias("doc_id"), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"), F.col("doc_id").alias("next_id"))
+    asked = halves.join(ids, "doc_id").select(F.col("next_id").alias(k), salt, F.col("doc_id").alias("asker"), "half")
+    heads = rows.join(asked, [k, salt]).select(F.col("asker").alias(k), asked[salt], F.col("doc_id").alias("next_id"), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"))
     if repeated:  # of several texts of the next id, the greatest
-        heads = heads.groupBy("doc_id", "next_id").agg(F.max("head").alias("head"))
-    # Rows without an id find no head; a salt spreads them.
-    rows = rows.withColumns({f"{TMP}k": F.coalesce("doc_id", F.lit(0).cast("long")), f"{TMP}salt": F.when(F.col("doc_id").isNull(), F.xxhash64("text").bitwiseOR(F.lit(1))).otherwise(F.lit(0)).cast("long")})
-    heads = heads.select(F.col("doc_id").alias(f"{TMP}k"), F.lit(0).cast("long").alias(f"{TMP}salt"), "next_id", "head")
-    out = rows.join(heads, [f"{TMP}k", f"{TMP}salt"], "left")
+        heads = heads.groupBy(k, salt, "next_id").agg(F.max("head").alias("head"))
+    out = rows.join(heads, [k, salt], "left")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     head = F.substring(F.coalesce("head", F.lit("")), F.lit(1), half)
-    return out.select("doc_id", "next_id", "text", F.concat(F.substring(F.col("text"), F.lit(1), n - half), head).alias("edited"), f"{TMP}k", f"{TMP}salt")
+    return out.select("doc_id", "next_id", "text", F.concat(F.substring(F.col("text"), F.lit(1), n - half), head).alias("edited"), k, salt)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
