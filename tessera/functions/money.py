@@ -17,3 +17,44 @@ def amounts(text: Column, most: int = 20) -> Column:
     scale = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
     value = F.zip_with(numbers, units, lambda n, u: F.regexp_replace(n, ",", "").cast("double") * F.element_at(scale, u))
     return F.slice(value, 1, most)
+
+
+#: Units, currencies and the ways an amount is written, in the order they are looked for.
+BENGALI_UNITS = {"কোটি": 1e7, "লাখ": 1e5, "লক্ষ": 1e5, "হাজার": 1e3, "মিলিয়ন": 1e6, "বিলিয়ন": 1e9}
+_BN, _EN = "|".join(BENGALI_UNITS), "crore|lakh|million|billion|thousand"
+WAYS = (
+    rf"(?i)৳?\s*[0-9,৳০-৯]+(?:[.,][0-9]+)?\s*(?:{_BN})\s*(?:টাকা|ডলার|ইউরো|পাউন্ড|রুপি)?",
+    rf"(?i)[0-9,]+(?:\.[0-9]+)?\s*(?:{_EN})\s*(?:taka|BDT|dollar|USD|EUR|GBP)?",
+    r"(?i)(?:৳|BDT|Tk\.?)\s*[0-9,]+(?:\.[0-9]+)?",
+)
+CURRENCY = r"(?i)টাকা|৳|ডলার|ইউরো|পাউন্ড|রুপি|\btk\b|taka|usd|\$|€|£"
+AFTER = r"(?i)^[\s০-৯0-9,.]*(?:(?:হাজার|লাখ|লক্ষ|কোটি|million|billion|crore|lakh)[\s০-৯0-9,.]*)*(?:টাকা|৳|ডলার|ইউরো|পাউন্ড|রুপি|tk|taka|usd)"
+
+
+def mentions(text: Column, most: int = 20) -> Column:
+    """The first ``most`` amounts (amount, value, currency), by way of writing and place, without repeats by case."""
+    found = F.transform(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in WAYS]), lambda x: F.trim(x))
+    low = F.transform(found, F.lower)
+    found = F.slice(F.filter(found, lambda x, i: F.array_position(low, F.lower(x)) == i + 1), 1, most)
+    scale = F.create_map(*[F.lit(x) for pair in {**UNITS, **BENGALI_UNITS}.items() for x in pair])
+
+    def one(x: Column) -> Column:
+        number = F.regexp_extract(F.regexp_replace(F.translate(x, "০১২৩৪৫৬৭৮৯", "0123456789"), "[,৳]", ""), r"[0-9]+(?:\.[0-9]+)?", 0)
+        unit = F.lower(F.regexp_extract(x, rf"(?i){_BN}|{_EN}", 0))
+        value = F.floor(F.coalesce(F.nullif(number, F.lit("")).cast("double"), F.lit(0.0)) * F.coalesce(F.try_element_at(scale, unit), F.lit(1.0)) + 0.5)
+        currency = F.when(x.rlike("(?i)ডলার|dollar|USD"), "USD").when(x.rlike("(?i)ইউরো|EUR"), "EUR").when(x.rlike("(?i)পাউন্ড|GBP"), "GBP").otherwise("BDT")
+        return F.struct(x.alias("amount"), value.alias("value"), currency.alias("currency"))
+
+    return F.transform(found, one)
+
+
+def with_currency(text: Column, found: Column, most: int = 6) -> Column:
+    """The amounts of ``mentions`` that carry a currency or have one after them, which is then part of the phrase; of amounts within one
+    another the longest."""
+    def whole(x: Column) -> Column:
+        tail = F.regexp_extract(F.substring(text, F.instr(text, x["amount"]) + F.length(x["amount"]), F.lit(45)), AFTER, 0)
+        phrase = F.trim(F.regexp_replace(F.concat(x["amount"], tail), r"\s+", " "))
+        return F.when(x["amount"].rlike(CURRENCY), x["amount"]).when(tail != "", phrase)
+
+    named = F.array_compact(F.transform(found, whole))
+    return F.slice(F.filter(named, lambda a: ~F.exists(named, lambda b: (b != a) & F.contains(b, a))), 1, most)

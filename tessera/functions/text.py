@@ -27,8 +27,10 @@ def first_filled(*cols: Column) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in cols])
 
 
-def normalized(c: Column) -> Column:
-    """For comparison: invisible characters dropped, white space as single spaces, trimmed, lower case."""
+def normalized(c: Column, form: str | None = None) -> Column:
+    """For comparison: invisible characters dropped, white space as single spaces, trimmed, lower case; with ``form`` in that Unicode
+    normal form, at the price of a Python step."""
+    c = c if form is None else unicode_form(c, form)
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, INVISIBLE, ""), r"\s+", " ")))
 
 
@@ -145,3 +147,14 @@ def sentences(c: Column, least: int = 20) -> Column:
     unless an abbreviation or an initial stands before it."""
     parts = F.split(c, r"(?<=[।!?][\"'”’]?)\s+|(?<=[^\s.]{3}\.)\s+|\n+")
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) >= least)
+
+
+def tolerant_json(c: Column) -> Column:
+    """The JSON in a model's answer, or null: the first fenced block, else from the first to the last bracket; typographic quotes and
+    trailing commas mended, byte order marks and zero-width characters dropped."""
+    text = F.trim(F.regexp_replace(c, INVISIBLE, ""))
+    fenced = F.regexp_extract(text, r"(?is)```+(?:json|javascript|js)?\s*(.*?)```+", 1)
+    text = F.when(F.trim(fenced) != "", F.trim(fenced)).otherwise(text)
+    text = F.regexp_extract(text, r"(?s)(\{.*\}|\[.*\])", 1)
+    text = F.regexp_replace(F.translate(text, "“”", '""'), r",\s*([}\]])", "$1")
+    return F.when(F.try_parse_json(text).isNotNull() & (text != ""), text)

@@ -6,10 +6,11 @@ it, so no pair of text and name is ever formed.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cluster import ship
@@ -18,13 +19,85 @@ from ..cluster import ship
 MOST = 100_000
 
 
+#: Characters of words, in lower case.
+LETTERS = "a-z0-9à-ÿ"
+
+
 def counted(docs: DataFrame, id_col: str, text_col: str, terms: list[str]) -> DataFrame:
-    """Non-overlapping occurrences of each term in each text that has it, in lower case."""
+    """Occurrences of each term as whole words in each text that has it, in lower case."""
     low = F.lower(F.col(text_col))
-    hits = F.array(*[F.struct(F.lit(t).alias("term"), F.when(F.contains(low, F.lit(t)), F.size(F.split(low, F.lit("\\Q" + t + "\\E"))) - 1).otherwise(0).cast("long").alias("n")) for t in terms])
+    whole = lambda t: f"(?<![{LETTERS}])\\Q{t}\\E(?![{LETTERS}])"
+    hits = F.array(*[F.struct(F.lit(t).alias("term"), F.when(F.contains(low, F.lit(t)), F.regexp_count(low, F.lit(whole(t)))).otherwise(0).cast("long").alias("n")) for t in terms])
     return docs.select(F.col(id_col), F.explode(hits).alias("x")).select(id_col, "x.*").where("n > 0")
 
 
+def located(found: DataFrame) -> DataFrame:
+    """Spans (id, start, term) as one row per text and term: mentions and first place, ranked by mentions, then by place."""
+    out = found.groupBy("id", "term").agg(F.count("*").alias("mentions"), F.min("start").alias("first_at"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.col("mentions").desc(), "first_at")))
+
+
+def first_phrases(text: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
+    """Of rules (phrase, office) in order: the offices whose phrase the text has as whole words, and the first of them."""
+    low = F.lower(text)
+    hits = F.array_compact(F.array(*[F.when(low.rlike(f"(^|[^{LETTERS}]){p}([^{LETTERS}]|$)"), F.lit(o)) for p, o in rules]))
+    return hits, F.get(hits, F.lit(0))
+
+
+def near_names(text: str, names: list[str], anchors: tuple[str, ...], share: float = 0.15, taken: tuple[tuple[int, int], ...] = ()) -> list[tuple[int, int, str, int]]:
+    """(start, end, name, distance) of windows of ``text`` that end at an anchor word and are a few edits off a name that ends so.
+
+    A name of ``n`` letters (six or more) may be ``share`` of them off, one at least and not none; windows over ``taken`` spans are left
+    out; the shortest window that fits counts.  Everything is in lower case.
+    """
+    found = []
+    for anchor in anchors:
+        at = text.find(anchor)
+        while at >= 0:
+            end = at + len(anchor)
+            for name in names:
+                if len(name) >= 6 and name.endswith(anchor):
+                    limit = max(1, int(len(name) * share))
+                    for n in range(len(name) - limit, len(name) + limit + 1):
+                        if n <= end and not any(end - n < b and end > a for a, b in taken) and 0 < (d := _edits(text[end - n : end], name, limit)) <= limit:
+                            found.append((end - n, end, name, d))
+                            break
+            at = text.find(anchor, at + 1)
+    return sorted(found)
+
+
+def _edits(a: str, b: str, limit: int) -> int:
+    """Edit distance, or ``limit + 1`` if it is more."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        if min(row) > limit:
+            return limit + 1
+    return min(row[-1], limit + 1)
+
+
+def fuzzy(docs: DataFrame, id_col: str, text_col: str, names: list[str], anchors: tuple[str, ...], share: float = 0.15) -> DataFrame:
+    """Names that texts have with a few edits, near anchor words: id, start, end, term, distance.  Exact mentions are left out."""
+    if len(names) > MOST:
+        raise ValueError(f"a dictionary has {MOST} patterns at most")
+    low = [n.lower() for n in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                t = (text or "").lower()
+                taken = tuple((m.start(), m.end()) for n in low if n in t for m in re.finditer(re.escape(n), t))
+                rows += [(key, *x) for x in near_names(t, low, anchors, share, taken)] if any(a in t for a in anchors) else []
+            cols = [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32()), strict=True)], ["id", "start", "end", "term", "distance"])
+
+    ship(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, start int, end int, term string, distance int")
+
+
 def leftmost_longest(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Of overlapping spans (start, end, what) the one that starts first, then the longest."""
     out, at = [], 0

@@ -97,7 +97,7 @@ def precedence_merge(spark, sf_dir):
 
 
 def shared_value_placeholder(spark, sf_dir):
-    return reconcile.placeholders(_t(spark, sf_dir, "part"), "p_retailprice", "p_name", 3)
+    return reconcile.placeholders(_t(spark, sf_dir, "part"), "p_size", "p_name", 3)
 
 
 def duplicate_signature_groups(spark, sf_dir):
@@ -223,7 +223,7 @@ QUERIES = {
         SELECT row_key, 'name' AS field, arg_min(value, rank) AS value, arg_min(source_kind, rank) AS source_kind, count(DISTINCT lower(trim(value))) > 1 AS conflict FROM f GROUP BY 1
         """,
     ),
-    "shared_value_placeholder": (shared_value_placeholder, "SELECT p_retailprice AS value, count(*) AS uses, count(DISTINCT p_name) AS names FROM part GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT p_name) > 1"),
+    "shared_value_placeholder": (shared_value_placeholder, "SELECT p_size AS value, count(*) AS uses, count(DISTINCT p_name) AS names FROM part GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT p_name) > 1"),
     "duplicate_signature_groups": (duplicate_signature_groups, "SELECT l_quantity, l_discount, l_tax, l_returnflag, count(*) AS rows, min(l_orderkey) AS first_row FROM lineitem GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2"),
     "org_occurrence_unpivot": (
         org_occurrence_unpivot,

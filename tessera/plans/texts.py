@@ -91,13 +91,42 @@ def dictionary_mentions(spark, sf_dir):
     return gazetteer.counted(_docs(spark, sf_dir), "doc_id", "text", list(TERMS)).join(terms, "term", "left_semi")
 
 
+def _dictionary(spark, sf_dir):
+    """The terms and the benchmark's passages; the list is bounded, and reading it fails beyond its bound."""
+    rows = _t(spark, sf_dir, "benchmark").select(F.lower("text").alias("t")).where("t <> ''").distinct().orderBy("t").limit(gazetteer.MOST + 1).collect()
+    return [*TERMS, *(r["t"] for r in rows)]
+
+
 def dictionary_spans(spark, sf_dir):
-    """Leftmost-longest spans of the dictionary of benchmark sentences and terms."""
-    return gazetteer.spans(_docs(spark, sf_dir), "doc_id", "text", list(TERMS))
+    """Leftmost-longest spans of the benchmark's passages and the terms in every document."""
+    return gazetteer.spans(_docs(spark, sf_dir), "doc_id", "text", _dictionary(spark, sf_dir))
+
+
+def location_mentions(spark, sf_dir):
+    """Terms of each document by mentions, then by first place."""
+    return gazetteer.located(gazetteer.spans(_docs(spark, sf_dir), "doc_id", "text", list(TERMS)))
+
+
+PHRASES = [("mit license", "licences"), ("la", "romance"), ("der|die", "german"), ("the", "english"), ("copyright", "licences")]
+
+
+def phrase_priority(spark, sf_dir):
+    """Offices whose phrases a document has, and the first rule's."""
+    hits, primary = gazetteer.first_phrases(F.col("text"), PHRASES)
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(hits, ",").alias("offices"), primary.alias("primary")).where("primary IS NOT NULL")
+
+
+NAMES = ("released under a mit license", "licenced under an apache license", "under some license")
+
+
+def fuzzy_scan(spark, sf_dir):
+    """Names a few edits off in the documents, near the word they end with."""
+    return gazetteer.fuzzy(_docs(spark, sf_dir), "doc_id", "text", list(NAMES), ("license",))
 
 
 def keyword_jaccard_top3(spark, sf_dir):
-    return retrieval.jaccard_neighbours(_t(spark, sf_dir, "benchmark"), "item_id", T.tokens(F.col("text"), 3), 0.1, 3).select("a", "b", "sim", F.col("rank").cast("long").alias("rank"))
+    """The three nearest documents of each, by words of three letters or more, above a similarity of one half."""
+    return retrieval.jaccard_neighbours(_docs(spark, sf_dir), "doc_id", T.tokens(F.col("text"), 3), 0.5, 3).select("a", "b", "sim", F.col("rank").cast("long").alias("rank"))
 
 
 ASKED = (("q1", "thation"), ("q1", "erinha"), ("q1", "the"), ("q2", "les"), ("q2", "une"), ("q2", "ouai"), ("q3", "license"), ("q3", "released"), ("q3", "mit"))
@@ -110,13 +139,21 @@ def bm25_search(spark, sf_dir):
 
 
 def related_score(spark, sf_dir):
-    """Every document against the passages of its language's number: title, context, date and number parts."""
-    d = _docs(spark, sf_dir).withColumn("item_id", F.col("doc_id") % 20)
-    rows = d.join(_t(spark, sf_dir, "benchmark").withColumnRenamed("text", "passage"), "item_id")
-    a, b = F.array_distinct(F.split(F.lower("text"), " ")), F.array_distinct(F.split(F.lower("passage"), " "))
-    rows = rows.withColumn("title", F.round(T.jaccard(a, b), 4)).withColumn("context", F.round(T.overlap(a, b), 4)).withColumn("date", F.round(calendar.date_score((F.col("doc_id") % 9).cast("double")), 4)).withColumn("numbers", F.when(F.col("text").rlike("[0-9]"), 1.0).otherwise(0.0))
-    rows = rows.withColumn("score", F.round(retrieval.related_score(F.col("title"), F.col("context"), F.col("date"), F.col("numbers")), 4))
-    return rows.select("doc_id", "title", "context", "date", "score", quality.level(F.col("score") * 100, 50, 25).alias("level"))
+    """Every document and benchmark passage that share three words in a row: title, context, date and number parts of their score.
+
+    They meet on hashes of the three words, so a passage is compared with the documents that quote it only.  Without dates the date part
+    is one half.
+    """
+    words = lambda c: F.filter(F.split(F.lower(c), "[ \n]+"), lambda w: w != "")
+    threes = lambda w: F.array_distinct(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2))))
+    d = _docs(spark, sf_dir).select("doc_id", words(F.col("text")).alias("dw"))
+    p = _t(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("pw"))
+    meet = d.select("doc_id", F.explode(threes(F.col("dw"))).alias("k")).join(p.select("item_id", F.explode(threes(F.col("pw"))).alias("k")), "k").select("doc_id", "item_id").distinct()
+    rows = meet.join(d.select("doc_id", F.array_distinct("dw").alias("a")), "doc_id").join(p.select("item_id", F.array_distinct("pw").alias("b")), "item_id")
+    digits = lambda w: F.filter(w, lambda x: x.rlike("[0-9]"))
+    rows = rows.select("doc_id", "item_id", F.round(T.jaccard(F.col("a"), F.col("b")), 4).alias("title"), F.round(T.overlap(F.col("a"), F.col("b")), 4).alias("context"), F.round(T.jaccard(digits(F.col("a")), digits(F.col("b"))), 4).alias("numbers"))
+    score = F.round(retrieval.related_score(F.col("title"), F.col("context"), calendar.date_score(F.lit(None).cast("double")), F.col("numbers")), 4)
+    return rows.withColumn("score", score).withColumn("level", quality.level(F.col("score") * 100, 50, 25))
 
 
 def minmax_rank_fusion(spark, sf_dir):
@@ -140,10 +177,40 @@ def money_mentions(spark, sf_dir):
     return rows.select("o_orderkey", F.size("m").cast("long").alias("n"), F.round(F.array_max("m"), 2).alias("most"))
 
 
+def _dated(day):
+    """A text with a day written in four ways, once in capitals, and words for other days."""
+    english = F.date_format(day, "d MMMM yyyy")
+    return F.concat(F.lit("Filed on "), english, F.lit(", heard "), F.date_format(day, "yyyy-MM-dd"), F.lit(" and "), F.upper(english), F.lit("; see "), F.date_format(day, "MMMM d, yyyy"), F.lit(", not 12345-01-011. গত সপ্তাহ"))
+
+
 def timeline_mentions(spark, sf_dir):
-    text = F.concat(F.lit("on "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" then 2024-02-30 and "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" and 1999-12-31"))
-    rows = _t(spark, sf_dir, "orders").select("o_orderkey", calendar.iso_dates(text).alias("d"))
-    return rows.select("o_orderkey", F.size("d").cast("long").alias("n"), F.array_min("d").alias("first_day"), F.array_max("d").alias("last_day"))
+    text = _dated(F.col("o_orderdate"))
+    dates = calendar.written_dates(text)
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", dates.alias("d"), calendar.events_of(text, dates).alias("e"))
+    return rows.select("o_orderkey", F.array_join("d", "|").alias("dates"), F.get("e", F.lit(1))["event"].alias("second_event"))
+
+
+def last_updated(spark, sf_dir):
+    """The date on a page's label, in four ways of writing, one of them impossible."""
+    way, day = F.col("o_orderkey") % 5, F.col("o_orderdate")
+    said = F.when(way == 0, F.date_format(day, "d-M-yyyy")).when(way == 1, F.date_format(day, "yyyy/MM/dd")).when(way == 2, F.concat(F.lit("Monday, "), F.date_format(day, "d MMMM, yyyy"))).when(way == 3, F.lit("31.02.2020")).otherwise(F.lit("never"))
+    on = calendar.updated_on(F.concat(F.lit("Home\nLast  Updated on: "), said, F.lit(" at 15:39\nmore")))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", on.alias("updated"), calendar.is_stale(on, F.lit("1998-06-01").cast("date")).alias("stale"))
+
+
+def currency_mentions(spark, sf_dir):
+    """Amounts that are money: with a currency in or after them, the longest of those within one another."""
+    key = F.col("o_orderkey").cast("string")
+    text = F.concat(F.lit("They paid "), key, F.lit(" crore taka, then Tk 1,"), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0"), F.lit(" and 7 million people saw 3 lakh 500 taka; 2 billion USD"))
+    found = money.mentions(text)
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", found.alias("m"), money.with_currency(text, found).alias("w"))
+    return rows.select("o_orderkey", F.size("m").cast("long").alias("n"), F.array_max(F.transform("m", lambda x: x["value"])).cast("long").alias("most"), F.array_join("w", "|").alias("money"))
+
+
+def unicode_normalize(spark, sf_dir):
+    """Normal form, with letters and accents apart in every third document."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("é"), F.lit("e\u0301"))).otherwise(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.normalized(text, "NFC").cast("binary")).alias("digest"))
 
 
 def working_day_deadline(spark, sf_dir):
@@ -242,15 +309,22 @@ QUERIES = {
     ),
     "dictionary_mentions": (
         dictionary_mentions,
-        " UNION ALL ".join(f"SELECT doc_id, '{t}' AS term, CAST(len(string_split(lower(text), '{t}')) - 1 AS BIGINT) AS n FROM documents WHERE contains(lower(text), '{t}')" for t in TERMS),
+        " UNION ALL ".join(f"SELECT * FROM (SELECT doc_id, '{t}' AS term, CAST(len(regexp_extract_all(regexp_replace(lower(text), '([^a-z0-9à-ÿ])', '\\1\\1', 'g'), '(^|[^a-z0-9à-ÿ]){t.replace(' ', '  ')}($|[^a-z0-9à-ÿ])')) AS BIGINT) AS n FROM documents) WHERE n > 0" for t in TERMS),
+    ),
+    "location_mentions": (location_mentions, None),
+    "fuzzy_scan": (fuzzy_scan, None),
+    "phrase_priority": (
+        phrase_priority,
+        "WITH h AS (SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9à-ÿ])({p})([^a-z0-9à-ÿ]|$)') THEN '{o}' END" for p, o in PHRASES) + "], lambda x: x IS NOT NULL) AS h FROM documents) SELECT doc_id, array_to_string(h, ',') AS offices, h[1] AS \"primary\" FROM h WHERE len(h) > 0",
     ),
     "dictionary_spans": (dictionary_spans, None),
     "keyword_jaccard_top3": (
         keyword_jaccard_top3,
         """
-        WITH s AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9À-ɏ]+'), lambda x: length(x) >= 3)) AS s FROM benchmark),
-        p AS (SELECT x.item_id AS a, y.item_id AS b, len(list_intersect(x.s, y.s)) AS i, len(x.s) + len(y.s) AS t FROM s x, s y WHERE x.item_id <> y.item_id),
-        j AS (SELECT a, b, i / (t - i) AS sim FROM p WHERE i / (t - i) > 0.1)
+        WITH s AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9À-ɏঀ-৿]+'), lambda x: length(x) >= 3)) AS s FROM documents),
+        w AS (SELECT doc_id, len(s) AS n, unnest(s) AS w FROM s),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i, any_value(x.n) + any_value(y.n) AS t FROM w x JOIN w y ON x.w = y.w AND x.doc_id <> y.doc_id AND x.n >= 0.5 * y.n AND y.n >= 0.5 * x.n GROUP BY 1, 2),
+        j AS (SELECT a, b, i / (t - i) AS sim FROM p WHERE i / (t - i) > 0.5)
         SELECT a, b, round(sim, 4) AS sim, row_number() OVER (PARTITION BY a ORDER BY round(sim, 4) DESC, b) AS rank FROM j QUALIFY rank <= 3
         """,
     ),
@@ -269,11 +343,16 @@ QUERIES = {
     "related_score": (
         related_score,
         """
-        WITH r AS (SELECT doc_id, d.text, list_distinct(string_split(lower(d.text), ' ')) AS a, list_distinct(string_split(lower(b.text), ' ')) AS b FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 20),
-        i AS (SELECT *, len(list_intersect(a, b)) AS i FROM r),
-        p AS (SELECT doc_id, round(i / (len(a) + len(b) - i), 4) AS title, round(i / least(len(a), len(b)), 4) AS context, round(CASE WHEN doc_id % 9 <= 1.5 THEN 1.0 ELSE greatest(0.0, 1.0 - (doc_id % 9 - 1.5) / 6.0) END, 4)::DOUBLE AS date, CASE WHEN regexp_matches(text, '[0-9]') THEN 1.0 ELSE 0.0 END::DOUBLE AS numbers FROM i),
-        s AS (SELECT *, round(0.4::DOUBLE * title + 0.2::DOUBLE * context + 0.2::DOUBLE * date + 0.2::DOUBLE * numbers, 4) AS score FROM p)
-        SELECT doc_id, title, context, date, score, CASE WHEN score * 100 >= 50 THEN 'high' WHEN score * 100 >= 25 THEN 'medium' ELSE 'low' END AS level FROM s
+        WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\n]+'), lambda x: x <> '') AS w FROM documents),
+        p AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[ \\n]+'), lambda x: x <> '') AS w FROM benchmark),
+        dk AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+        pk AS (SELECT DISTINCT item_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS i FROM p)),
+        m AS (SELECT DISTINCT doc_id, item_id FROM dk JOIN pk USING (k)),
+        s AS (SELECT doc_id, item_id, list_distinct(d.w) AS a, list_distinct(p.w) AS b FROM m JOIN d USING (doc_id) JOIN p USING (item_id)),
+        i AS (SELECT *, len(list_intersect(a, b)) AS i, list_filter(a, lambda x: regexp_matches(x, '[0-9]')) AS x, list_filter(b, lambda x: regexp_matches(x, '[0-9]')) AS y FROM s),
+        r AS (SELECT doc_id, item_id, round(i / (len(a) + len(b) - i), 4) AS title, round(i / least(len(a), len(b)), 4) AS context, coalesce(round(len(list_intersect(x, y)) / nullif(len(x) + len(y) - len(list_intersect(x, y)), 0), 4), 0.0)::DOUBLE AS numbers FROM i),
+        t AS (SELECT *, round(0.4::DOUBLE * title + 0.2::DOUBLE * context + 0.2::DOUBLE * 0.5 + 0.2::DOUBLE * numbers, 4) AS score FROM r)
+        SELECT *, CASE WHEN score * 100 >= 50 THEN 'high' WHEN score * 100 >= 25 THEN 'medium' ELSE 'low' END AS level FROM t
         """,
     ),
     "minmax_rank_fusion": (
@@ -292,8 +371,27 @@ QUERIES = {
     ),
     "timeline_mentions": (
         timeline_mentions,
-        "SELECT o_orderkey, CAST(CASE WHEN CAST(o_orderdate AS DATE) = DATE '1999-12-31' THEN 1 ELSE 2 END AS BIGINT) AS n, least(CAST(o_orderdate AS DATE), DATE '1999-12-31') AS first_day, greatest(CAST(o_orderdate AS DATE), DATE '1999-12-31') AS last_day FROM orders",
+        """
+        WITH d AS (SELECT o_orderkey, strftime(o_orderdate, '%-d %B %Y') AS e, strftime(o_orderdate, '%Y-%m-%d') AS i, strftime(o_orderdate, '%B %-d, %Y') AS m FROM orders),
+        t AS (SELECT *, 'Filed on ' || e || ', heard ' || i || ' and ' || upper(e) || '; see ' || m || ', not 12345-01-011. গত সপ্তাহ' AS t FROM d)
+        SELECT o_orderkey, e || '|' || m || '|' || i || '|গত সপ্তাহ' AS dates, trim(substr(t, greatest(1, instr(t, m) - 10), instr(t, m) - greatest(1, instr(t, m) - 10) + length(m) + 100)) AS second_event FROM t
+        """,
+    ),
+    "last_updated": (
+        last_updated,
+        """
+        WITH d AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <= 2 THEN CAST(o_orderdate AS DATE) END AS updated FROM orders)
+        SELECT o_orderkey, updated, coalesce(datediff('day', updated, DATE '1998-06-01') > 365, false) AS stale FROM d
+        """,
+    ),
+    "currency_mentions": (
+        currency_mentions,
+        """
+        SELECT o_orderkey, CAST(5 AS BIGINT) AS n, greatest(o_orderkey * 10000000, 2000000000) AS most,
+               o_orderkey || ' crore taka|3 lakh 500 taka|2 billion USD|Tk 1,' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') AS money FROM orders
+        """,
     ),
+    "unicode_normalize": (unicode_normalize, r"SELECT doc_id, md5(lower(trim(regexp_replace(regexp_replace(nfc_normalize(text), '[\x{200B}\x{200C}\x{200D}\x{FEFF}]', '', 'g'), '\s+', ' ', 'g')))) AS digest FROM documents"),
     "working_day_deadline": (
         working_day_deadline,
         f"""

@@ -96,3 +96,52 @@ def test_budget(spark):
 def test_precedence(spark):
     rows = spark.createDataFrame([("r", "name", " ", "human_confirmed", 1), ("r", "name", "B", "archive", 2), ("r", "name", "A", "live", 3)], "row_key string, field string, value string, source_kind string, seq int")
     assert tuple(reconcile.by_precedence(rows).first()) == ("r", "name", "A", "live", True)
+
+
+def test_written_dates(spark):
+    text = "২৮ সেপ্টেম্বর, ২০২৬ এবং 3 March 2021, 3 MARCH 2021; May 5, 2020 and 2020-01-31. আজ"
+    got = one(spark, calendar.written_dates(F.col("a")), a=text)
+    assert got == ["২৮ সেপ্টেম্বর, ২০২৬", "3 March 2021", "May 5, 2020", "2020-01-31", "আজ"]
+    assert one(spark, calendar.written_dates(F.col("a")), a=" ".join(f"20{i:02}-01-01" for i in range(30))) == [f"20{i:02}-01-01" for i in range(10)]
+    assert one(spark, calendar.date_score(F.nullif(F.col("a"), F.lit(1.0))), a=1.0) == 0.5
+
+
+def test_updated_on(spark):
+    day = datetime.date
+    for said, want in (("28-9-2026", day(2026, 9, 28)), ("2026/9/8", day(2026, 9, 8)), ("১.২.২৬", day(2026, 2, 1)), ("সোমবার, ২৮ সেপ্টেম্বর, ২০২৬ এ ১৫:৩৯", day(2026, 9, 28)), ("5 May 2020", day(2020, 5, 5)), ("31-2-2020", None), ("soon", None)):
+        assert one(spark, calendar.updated_on(F.col("a")), a=f"x\nLast updated: {said}") == want, said
+    assert one(spark, calendar.updated_on(F.col("a")), a="no label 2020-01-01") is None
+
+
+def test_mentions_of_money(spark):
+    text = "৫০ কোটি টাকা, 12 lakh and ৳3,500; 7 হাজার ৭০১টি; 12 lakh taka"
+    got = one(spark, money.mentions(F.col("a")), a=text)
+    assert [(r["amount"], r["value"], r["currency"]) for r in got] == [("৫০ কোটি টাকা", 500000000, "BDT"), ("7 হাজার", 7000, "BDT"), ("12 lakh", 1200000, "BDT"), ("12 lakh taka", 1200000, "BDT"), ("৳3,500", 3500, "BDT")]
+    assert one(spark, money.with_currency(F.col("a"), money.mentions(F.col("a"))), a=text) == ["৫০ কোটি টাকা", "12 lakh taka", "৳3,500"]
+
+
+def test_tolerant_json(spark):
+    for said, want in (('x ```json\n{"a": 1,}\n``` y', '{"a": 1}'), ("\ufeffHere: [1, 2, ] ok", "[1, 2]"), ("{“a”: 2}", '{"a": 2}'), ("none", None), ("{broken", None), ("", None)):
+        got = one(spark, T.tolerant_json(F.col("a")), a=said)
+        assert got == want or (got or "").replace(" ", "") == (want or "").replace(" ", ""), (said, got)
+
+
+def test_gates(spark):
+    from tessera.operators import gates
+
+    a = F.col("a")
+    for text, bad in (("Dhaka", False), ("D", True), ("ORG 12", True), ("...", True), ("সরকার", True), ("সরকার বাড়ি", False), (None, True)):
+        df = spark.createDataFrame([(text,)], "a string")
+        assert df.select(gates.invalid_entity(a)).first()[0] is bad, text
+    assert one(spark, gates.grounded(F.lit("Phone"), F.col("b"), a), a="Tel 017-11 22", b="০১৭১১২২") is True
+    assert one(spark, gates.grounded(F.lit("Phone"), F.col("b"), a), a="Tel 017-11 22", b="0171") is False
+    assert one(spark, gates.relevance(F.lit(0.5), F.lit(1), F.lit(9), F.lit(1), F.lit(1)), a=1) == 85
+
+
+def test_near_names():
+    from tessera.operators import gazetteer
+
+    names = ["ministry of health office", "office"]
+    assert gazetteer.near_names("the ministri of health office", names, ("office",)) == [(6, 29, "ministry of health office", 3), (24, 29, "office", 1)]  # the shortest window that fits
+    assert gazetteer.near_names("the ministry of health office", names, ("office",), taken=((4, 29),)) == []
+    assert gazetteer.near_names("nothing here", names, ("office",)) == []
