@@ -28,13 +28,18 @@ def compass(degrees: Column) -> Column:
     return F.get(F.array(*[F.lit(p) for p in COMPASS]), F.floor(degrees / 22.5 + 0.5).cast("int") % 16)
 
 
+def dms_parts(degrees: Column) -> tuple[Column, Column, Column]:
+    """Whole degrees, whole minutes and seconds (two places) of a coordinate's size."""
+    size = F.abs(degrees)
+    d = F.floor(size)
+    m = F.floor((size - d) * 60)
+    return d.cast("long"), m.cast("long"), F.round(((size - d) * 60 - m) * 60, 2)
+
+
 def dms(value: Column, positive: str, negative: str) -> Column:
     """Degrees, minutes and seconds with the letter of the half."""
-    a = F.abs(value)
-    d = F.floor(a)
-    m = F.floor((a - d) * 60)
-    s = F.round(((a - d) * 60 - m) * 60, 2)
-    return F.concat(d.cast("string"), F.lit("° "), m.cast("string"), F.lit("' "), s.cast("string"), F.lit('" '), F.when(value >= 0, positive).otherwise(negative))
+    d, m, s = (x.cast("string") for x in dms_parts(value))
+    return F.concat(d, F.lit("° "), m, F.lit("' "), s, F.lit('" '), F.when(value >= 0, positive).otherwise(negative))
 
 
 def accuracy_class(metres: Column, limits: tuple[int, int, int, int] = (20, 50, 100, 500)) -> Column:

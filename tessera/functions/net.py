@@ -24,11 +24,3 @@ def allowed_url(url: Column, suffixes: tuple[str, ...]) -> Column:
     for s in suffixes:
         under = under | (name == s) | F.endswith(name, F.lit(f".{s}"))
     return F.coalesce(F.lower(url).rlike("^https?://") & under, F.lit(False))
-
-
-def dms(degrees: Column) -> tuple[Column, Column, Column]:
-    """Whole degrees, whole minutes and seconds (two places) of a coordinate's size."""
-    size = F.abs(degrees)
-    d = F.floor(size)
-    m = F.floor((size - d) * 60)
-    return d.cast("long"), m.cast("long"), F.round(((size - d) * 60 - m) * 60, 2)

@@ -48,15 +48,19 @@ def occurrences(rows: DataFrame, kinds: dict[str, str], source: str) -> DataFram
     return long.select("s", "x.*").groupBy("kind", "name").agg(F.count("*").alias("n"), F.countDistinct("s").alias("sources"))
 
 
-def distinct_first_seen(lists: list[DataFrame]) -> DataFrame:
+def distinct_first_seen(lists: list[DataFrame], bits: int = 12) -> DataFrame:
     """The names of several lists (name, position) without repeats by case, in the order first seen.
 
-    The result is a display list: its places are counted in one task.
+    Places are counted within cells of ``2**bits`` positions of a list; only the cells' counts are added up in one task.
     """
-    tagged = [df.toDF("name", "pos").withColumn("list", F.lit(i)) for i, df in enumerate(lists)]
+    tagged = [df.toDF("name", "pos").withColumns({"list": F.lit(i), "pos": F.col("pos").cast("long")}) for i, df in enumerate(lists)]
     at = F.struct("list", "pos")
     firsts = reduce(DataFrame.unionByName, tagged).groupBy(F.lower("name").alias("k")).agg(F.min_by("name", at).alias("name"), F.min(at).alias("at"))
-    return firsts.select("name", F.row_number().over(Window.orderBy("at")).alias("place"))
+    cells = firsts.select("name", "at.list", "at.pos", F.shiftright("at.pos", bits).alias("cell"))
+    before = F.sum("n").over(Window.orderBy("list", "cell").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = cells.groupBy("list", "cell").agg(F.count("*").alias("n")).select("list", "cell", F.coalesce(before, F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("list", "cell").orderBy("pos", "name"))
+    return cells.withColumn("rank", rank).join(offsets, ["list", "cell"]).select("name", (F.col("before") + F.col("rank")).cast("int").alias("place"))
 
 
 def replace_keys(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,10 +71,3 @@ def replace_keys(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def coverage(rows: DataFrame, tier: str, found: dict[str, Column]) -> DataFrame:
     """Rows of each tier and the per cent of them for which each condition holds."""
     return rows.groupBy(tier).agg(F.count("*").alias("n"), *[F.round(100.0 * F.count_if(c) / F.count("*"), 1).alias(f"{k}_pct") for k, c in found.items()])
-
-
-def changes(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """The change log of a merge: key, field, old and new value where a filled new value differs."""
-    a = old.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("old")) for f in fields])).alias("x")).select(key, "x.*")
-    b = new.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("new")) for f in fields])).alias("x")).select(key, "x.*")
-    return a.join(b, [key, "field"]).where(T.blank_to_null(F.col("new")).isNotNull() & ~F.col("old").eqNullSafe(F.col("new")))

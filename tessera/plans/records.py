@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import net
+from ..functions import geo, net
 from ..functions import text as T
 from ..operators import checks
 
@@ -81,7 +81,7 @@ def urgency_prescreen(spark, sf_dir):
 
 
 def coordinate_dms(spark, sf_dir):
-    d, m, s = net.dms((F.col("c_custkey") * 37 % 9000) / F.lit(100.0) + 0.125)
+    d, m, s = geo.dms_parts((F.col("c_custkey") * 37 % 9000) / F.lit(100.0) + 0.125)
     return _t(spark, sf_dir, "customer").select("c_custkey", d.alias("d"), m.alias("m"), s.alias("s"))
 
 
