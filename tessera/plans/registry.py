@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import activity, directory, gates, linking, records, texts
+from . import activity, directory, gates, linking, projections, records, texts
 
-_MODULES = (activity, directory, gates, linking, records, texts)
+_MODULES = (activity, directory, gates, linking, projections, records, texts)
 
 
 def queries() -> dict:
