@@ -16,8 +16,8 @@ are linked if their sets' Jaccard similarity reaches ``NEAR`` per cent, and comp
    takes the pairs of a key that are still in different components and that exact bounds allow: sizes, shared shingles, and the Hamming
    distance of parity sketches, which the symmetric difference can't be less than.
 5. Keys that still hold over ``GROUP`` classes in several components don't make all their pairs: two sets that are similar enough share
-   one of the rarest shingles of each (as many as either may lack, and one more), so their classes meet on those instead.  That too is
-   exact.  No key, group or candidate is capped.
+   one of the rarest shingles of each (as many as either may lack, and one more), so their classes meet on those instead, in a star
+   round and then in pairs.  That too is exact.  No key, group or candidate is capped.
 
 Components are found by hooking every node onto its smallest neighbour and drawing the links between what remains.  Joins on a
 component are salted, as one component may hold a third of all classes.
@@ -213,63 +213,78 @@ _MEMBER = ("node", "n", "m", "sketch")
 
 
 def _star(members: DataFrame, hub: Column, near: int) -> DataFrame:
-    """key, and the pair (a, b) of each member with its key's hub, where the bounds allow it."""
-    hubs = members.groupBy("key").agg(hub.alias("h")).select(F.col("key").alias("h_key"), *[F.col(f"h.{c}").alias(f"h_{c}") for c in _MEMBER])
-    star = members.join(hubs, (F.col("key") == F.col("h_key")) & (F.col("node") != F.col("h_node")) & _allowed(near, "", "h_"))
-    return star.select(F.least("node", "h_node").alias("a"), F.greatest("node", "h_node").alias("b"))
+    """The pair (a, b) of each member with its key's hub, where the bounds allow it and both aren't of one component (comp) yet."""
+    known = [*_MEMBER, *(["comp"] if "comp" in members.columns else [])]
+    hubs = members.groupBy("key").agg(hub.alias("h")).select(F.col("key").alias("h_key"), *[F.col(f"h.{c}").alias(f"h_{c}") for c in known])
+    apart = F.col("comp") != F.col("h_comp") if "comp" in known else F.col("node") != F.col("h_node")
+    star = members.join(hubs, (F.col("key") == F.col("h_key")) & apart & _allowed(near, "", "h_"))
+    return star.select(F.least("node", "h_node").alias("a"), F.greatest("node", "h_node").alias("b")).distinct()
 
 
 def rarest(sets: DataFrame, near: int) -> DataFrame:
-    """node and key, for as many of a set's rarest items as a similar set may lack, and one more, that another set has too."""
+    """node and key, for as many of a set's rarest items as a similar set may lack, and one more, that another set has too; ``head`` marks
+    those that suffice where the other set isn't smaller, which then shares ``2 near / (100 + near)`` of this one at least."""
     items = sets.select("node", F.explode("items").alias("key"))
     counts = items.groupBy("key").agg(F.count("*").alias("c"))
     ordered = items.join(counts, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("x"))
     n = F.size("x")
     first = F.slice("x", F.lit(1), (n - F.ceil(n * near / 100) + 1).cast("int"))
-    return ordered.select("node", F.explode(F.filter(first, lambda x: x["c"] > 1)).alias("x")).select("node", F.col("x.key").alias("key"))
+    head = n - F.ceil(n * 2 * near / (100 + near)) + 1
+    marked = F.transform(first, lambda x, i: F.struct(x["key"].alias("key"), x["c"].alias("c"), (i < head).alias("head")))
+    return ordered.select("node", F.explode(F.filter(marked, lambda x: x["c"] > 1)).alias("x")).select("node", F.col("x.key").alias("key"), "x.head")
 
 
 def _open_pairs(members: DataFrame, near: int) -> DataFrame:
-    """The pairs of a key in different components that the bounds allow."""
-    columns = ("key", *_MEMBER, "comp")
+    """The pairs of a key in different components that the bounds allow; of rarest items, those of the smaller set's head."""
+    columns = ("key", *_MEMBER, "comp", *(["head"] if "head" in members.columns else []))
     left, right = (members.select(*[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "ab")
-    pairs = left.join(right, (F.col("a_key") == F.col("b_key")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_comp") != F.col("b_comp")) & _allowed(near, "a_", "b_"))
-    return pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    met = (F.col("a_key") == F.col("b_key")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_comp") != F.col("b_comp")) & _allowed(near, "a_", "b_")
+    if "head" in columns:
+        met = met & F.when(F.col("a_n") <= F.col("b_n"), F.col("a_head")).otherwise(F.col("b_head"))
+    return left.join(right, met).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+
+
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` (node, comp) with more ``links`` (a, b), as links between components."""
+    mine = lambda side: F.coalesce(F.col(f"{side}_comp"), F.col(side)).alias(side)
+    sides = [comps.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp")) for side in "ab"]
+    above = components(links.join(sides[0], "a", "left").join(sides[1], "b", "left").select(mine("a"), mine("b")))
+    above = above.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+    new = comps.unionByName(above.select(F.col("comp").alias("node"), F.col("comp")).join(comps, "node", "left_anti"))  # nodes without a link until now
+    return written(_spread(new, above, "comp").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
+
+
+def _placed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """``members`` with the component of their node."""
+    return members.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def _linked(members: DataFrame, sets: DataFrame, near: int, group: int) -> DataFrame:
     """node and comp of the nodes that have links, from the members of keys."""
-    first = written(confirmed(_star(members, F.min(F.struct(*_MEMBER)), near).distinct(), sets, near), "links")
+    first = written(confirmed(_star(members, F.min(F.struct(*_MEMBER)), near), sets, near), "links")
     # Members whose link to their key's least node is confirmed are done with that key; the least itself stands for them.
     hubs = members.groupBy("key").agg(F.min("node").alias("a"))
     done = members.select("key", F.col("node").alias("b")).join(hubs, "key").join(first, ["a", "b"]).select("key", F.col("b").alias("node"))
     rest = members.join(done, ["key", "node"], "left_anti")
-    second = _star(rest, F.min_by(F.struct(*_MEMBER), F.xxhash64("node", "key")), near).distinct().join(first, ["a", "b"], "left_anti")
+    second = _star(rest, F.min_by(F.struct(*_MEMBER), F.xxhash64("node", "key")), near).join(first, ["a", "b"], "left_anti")
     second = written(confirmed(second, sets, near), "links")
-    links = first.unionByName(second)
-    comps = components(links)
+    comps = components(first.unionByName(second))
 
-    at = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    at = _placed(members, comps)
     still = at.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "c")
     open_ = written(at.join(still, "key"), "open")
     pairs = _open_pairs(open_.where(F.col("c") <= group), near)
     large = written(open_.where(F.col("c") > group).select(*_MEMBER, "comp").dropDuplicates(["node"]), "large")
     if not large.isEmpty():
-        pairs = pairs.unionByName(_open_pairs(rarest(sets.join(large, "node", "left_semi"), near).join(large, "node"), near))
-    third = written(confirmed(pairs.distinct(), sets, near), "links")
+        rare = written(rarest(sets.join(large, "node", "left_semi"), near).join(large, "node"), "rare")
+        star = written(confirmed(_star(rare, F.min(F.struct(*_MEMBER, "comp")), near), sets, near), "links")
+        if not star.isEmpty():
+            comps = _merged(comps, star)
+        pairs = pairs.unionByName(_open_pairs(_placed(rare, comps), near)).distinct()
+        dropped(star)
+    third = written(confirmed(pairs, sets, near), "links")
     dropped(first, second, open_, large)
-    if third.isEmpty():
-        dropped(third)
-        return comps
-    # Links between components, as a graph of components.
-    mine = lambda side: F.coalesce(F.col(f"{side}_comp"), F.col(side)).alias(side)
-    sides = [comps.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp")) for side in "ab"]
-    above = components(third.join(sides[0], "a", "left").join(sides[1], "b", "left").select(mine("a"), mine("b")))
-    above = above.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-    new = comps.unionByName(above.select(F.col("comp").alias("node"), F.col("comp")).join(comps, "node", "left_anti"))  # nodes without a link until now
-    out = written(_spread(new, above, "comp").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
-    dropped(third)
-    return out
+    return comps if third.isEmpty() else _merged(comps, third)
 
 
 def classes(docs: DataFrame, near: int = NEAR, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> tuple[DataFrame, DataFrame]:
