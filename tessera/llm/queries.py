@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, licenses, mixing, near_duplicates, quality_classifier, quality_rules, secrets, sharding, warc
+from . import bpe, fingerprints, importance, licenses, mixing, near_duplicates, negatives, quality_classifier, quality_rules, secrets, sharding, simhash_duplicates, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_licenses": licenses.query,
         "op9_quality_rules": quality_rules.query,
         "op10_near_duplicates": near_duplicates.query,
+        "op11_importance": importance.query,
+        "op12_hard_negatives": negatives.query,
+        "op13_simhash_duplicates": simhash_duplicates.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op11_importance": importance.ORACLE, "op12_hard_negatives": negatives.ORACLE}
