@@ -171,5 +171,5 @@ def from_legacy(c: Column, digits: bool = True) -> Column:
 
 def to_legacy(c: Column) -> Column:
     """The codes of Bengali text; null for text with characters that are codes themselves (Latin letters, digits and signs).  A cluster
-    without glyphs stays in Unicode, which reading leaves alone."""
+    without glyphs keeps its joiners in Unicode, which reading leaves alone."""
     return _mapped(c, write, _written)

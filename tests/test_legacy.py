@@ -89,7 +89,7 @@ def test_round_trip_of_syllables():
 def test_columns(spark):
     rows = spark.createDataFrame([("কর্মকর্তা ১২",), ("has Latin",), ("ক্ঘ",), ("",), (None,)], "t string")
     codes = rows.select(legacy.to_legacy(F.col("t")).alias("c")).collect()
-    assert [r["c"] for r in codes] == ["Kg©KZ©v 12", None, "ক্ঘ", "", None]
+    assert [r["c"] for r in codes] == ["Kg©KZ©v 12", None, "K্N", "", None]
     back = rows.select(legacy.from_legacy(legacy.to_legacy(F.col("t"))).alias("b")).collect()
     assert [r["b"] for r in back] == ["কর্মকর্তা ১২", None, "ক্ঘ", "", None]
 
@@ -99,7 +99,7 @@ CLASSES = [
     ("১২৩", None, "UNICODE_OK"), ("দোভিত্বপ্রোপ্ত কর্ মকিমো", None, "VISUAL_ORDER_BROKEN"), ("কািে", None, "VISUAL_ORDER_BROKEN"), ("ক�খ", None, "VISUAL_ORDER_BROKEN"), ("a�", None, "UNKNOWN"),
     ("Kg©KZ©v mnKvix", None, "BIJOY_ANSI"), ("gš¿Yvjq", None, "BIJOY_ANSI"), ("কর্মকর্তা Kg©", None, "MIXED"), ("myGov", None, "UNKNOWN"), ("The officer wW is here today", None, "UNKNOWN"),
     ("Deputy Secretary, Ministry of Home Affairs", None, "ENGLISH_OK"), ("Mr. McDonald, Phd, HQ", None, "ENGLISH_OK"), ("info@moha.gov.bd +88-02-223354521 https://a.b/X", None, "ENGLISH_OK"),
-    ("Kg KZ", "HKMNBG+SutonnyMJ", "BIJOY_ANSI"), ("ক", "Bijoy Bayanno", "MIXED"), ("Kg", "Kalpurush, serif", "UNKNOWN"),
+    ("Kg KZ", "HKMNBG+SutonnyMJ", "BIJOY_ANSI"), ("ক", "Bijoy Bayanno", "MIXED"), ("Kz", "Kalpurush, serif", "UNKNOWN"),
 ]
 
 
