@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import activity, directory, gates, legacy, linking, projections, records, texts
+from . import activity, directory, gates, legacy, linking, officers, projections, records, texts
 
-_MODULES = (activity, directory, gates, legacy, linking, projections, records, texts)
+_MODULES = (activity, directory, gates, legacy, linking, officers, projections, records, texts)
 
 
 def queries() -> dict:
