@@ -38,9 +38,10 @@ def located(found: DataFrame) -> DataFrame:
 
 
 def first_phrases(text: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
-    """Of rules (phrase, office) in order: the offices whose phrase the text has as whole words, and the first of them."""
+    """Of rules (phrase, office) in order: the offices whose phrase the text has as whole words, and the first of them.  A phrase is a pattern in lower
+    case, which may have alternatives."""
     low = F.lower(text)
-    hits = F.array_compact(F.array(*[F.when(low.rlike(f"(^|[^{LETTERS}]){p}([^{LETTERS}]|$)"), F.lit(o)) for p, o in rules]))
+    hits = F.array_compact(F.array(*[F.when(low.rlike(f"(^|[^{LETTERS}])(?:{p})([^{LETTERS}]|$)"), F.lit(o)) for p, o in rules]))
     return hits, F.get(hits, F.lit(0))
 
 

@@ -145,3 +145,12 @@ def test_near_names():
     assert gazetteer.near_names("the ministri of health office", names, ("office",)) == [(6, 29, "ministry of health office", 3), (24, 29, "office", 1)]  # the shortest window that fits
     assert gazetteer.near_names("the ministry of health office", names, ("office",), taken=((4, 29),)) == []
     assert gazetteer.near_names("nothing here", names, ("office",)) == []
+
+
+def test_first_phrases_are_whole_words(spark):
+    from tessera.operators import gazetteer
+
+    texts = ["derby in town", "xdie x", "Der Hund", "so die, the", "the derby", "", None, "ender"]
+    hits, first = gazetteer.first_phrases(F.col("t"), [("der|die", "german"), ("the", "english")])
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.array_join(hits, ",").alias("h"), first.alias("f"))
+    assert {r["i"]: (r["h"], r["f"]) for r in rows.collect() if r["h"]} == {2: ("german", "german"), 3: ("german,english", "german"), 4: ("english", "english")}
