@@ -46,7 +46,7 @@ def held(df: DataFrame, what: str) -> DataFrame:
     the driver ends, or by ``released``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _held[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_held = path

@@ -105,6 +105,10 @@ class _Words(dict):
         return out
 
 
+#: The words that a worker has met.
+known = _Words()
+
+
 def judged(text: str | None, font: str | None, words: _Words) -> tuple[str, list[str]]:
     """The class of a text and the faults of its Bengali words."""
     text = plain(text)
@@ -139,8 +143,7 @@ def classify(c: Column, font: Column | None = None) -> Column:
 
     @F.arrow_udf("struct<kind string, faults array<string>>")
     def run(texts: pa.Array, fonts: pa.Array) -> pa.Array:
-        words = _Words()
-        out = [judged(t, f, words) for t, f in zip(texts.to_pylist(), fonts.to_pylist(), strict=True)]
+        out = [judged(t, f, known) for t, f in zip(texts.to_pylist(), fonts.to_pylist(), strict=True)]
         return pa.StructArray.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([f for _, f in out], pa.list_(pa.string()))], ["kind", "faults"])
 
     return run(c, F.lit(None).cast("string") if font is None else font)

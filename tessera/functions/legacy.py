@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
@@ -51,7 +52,7 @@ BEFORE, BEHIND, SIGNS = "িেৈ", "াীুূৃৗ", "ঁংঃ"
 TWO_PART = (("ে", "া", "ো"), ("ে", "ৗ", "ৌ"))
 #: Stands for the r above until the order of speech is restored.
 _R = "\ue000"
-KNOWN = 1 << 18
+KNOWN = 1 << 19
 
 _READ = {**dict(zip(LETTER_CODES, LETTERS, strict=True)), **{c: s for s, codes in SIGN_CODES.items() for c in codes}, **GLYPHS, ABOVE: _R, "„„": "ৃ"}
 _READ |= {b + c: _READ[b] + s for c, before, s in AFTER for b in before}
@@ -99,6 +100,7 @@ _SPOKEN = re.compile(rf"(র{JOINER}(?={CONSONANT}))?({CONSONANT}(?:{JOINER}{CON
 _LEFT = {"ো": ("ে", "া"), "ৌ": ("ে", "ৗ"), **{c: (c, "") for c in BEFORE}}
 
 
+@lru_cache(maxsize=1 << 14)
 def _glyphs(cluster: str) -> str | None:
     """The fewest codes whose characters are the cluster; null if there are none."""
     best: list[tuple[int, str] | None] = [(0, "")] + [None] * len(cluster)
@@ -153,23 +155,33 @@ def write(text: str | None, words: _Words) -> str | None:
     return None if None in parts else "".join(parts)
 
 
-def _mapped(c: Column, step, one) -> Column:
+#: What a worker remembers, by the step.
+_known: dict[str, _Words] = {}
+
+
+def known(step: str) -> _Words:
+    """The words that this worker has met: ``read``, ``read_latin`` (digits stay) or ``write``."""
+    steps = {"read": lambda w: _read_word(w, True), "read_latin": lambda w: _read_word(w, False), "write": _written}
+    return _known.setdefault(step, _Words(steps[step]))
+
+
+def _mapped(c: Column, run_one, step: str) -> Column:
     ship(SparkSession.active())
 
     @F.arrow_udf("string")
     def run(values: pa.Array) -> pa.Array:
-        words = _Words(one)
-        return pa.array([step(v, words) for v in values.to_pylist()], pa.string())
+        words = known(step)
+        return pa.array([run_one(v, words) for v in values.to_pylist()], pa.string())
 
     return run(c)
 
 
 def from_legacy(c: Column, digits: bool = True) -> Column:
     """Unicode text (NFC) of a run in a legacy font; ``digits``: whether its digits are Bengali, as in the font, or stay as they are."""
-    return _mapped(c, read, lambda w: _read_word(w, digits))
+    return _mapped(c, read, "read" if digits else "read_latin")
 
 
 def to_legacy(c: Column) -> Column:
     """The codes of Bengali text; null for text with characters that are codes themselves (Latin letters, digits and signs).  A cluster
     without glyphs keeps its joiners in Unicode, which reading leaves alone."""
-    return _mapped(c, write, _written)
+    return _mapped(c, write, "write")

@@ -31,6 +31,12 @@ def site_of(host: Column) -> Column:
     return F.when(two.isin(*SUFFIXES), three).otherwise(two)
 
 
+def site_of_url(url: Column) -> Column:
+    """As ``site_of`` of the URL's host, by one pattern; empty for what is no http(s) URL with such a host."""
+    label, suffixes = r"[^./?#:@]+", "|".join(x.replace(".", r"\.") for x in SUFFIXES)
+    return F.lower(F.regexp_extract(url, rf"^(?i:https?)://(?:[^/?#@]*@)?(?:[^/?#:@]*\.)?({label}\.(?:(?i:{suffixes})|{label}))(?=[/?#:]|$)", 1))
+
+
 def path_of(url: Column) -> Column:
     """Path and query, ``/`` if there is none."""
     path = F.regexp_extract(url, r"^(?i:https?)://[^/?#]*([^#]*)", 1)
@@ -88,9 +94,9 @@ def discover(starts: DataFrame, links: DataFrame, rules: DataFrame | None = None
     ``links`` has source and target URLs; ``rules`` host, prefix and allowed, from ``robots_rules``.
     """
     permitted = (lambda df: allowed(df, rules)) if rules is not None else (lambda df: df)
-    edges = links.select(plain(F.col(source)).alias("source"), plain(F.col(target)).alias("url")).where("source IS NOT NULL AND url IS NOT NULL AND source <> url")
-    inside = edges.where(site_of(host_of(F.col("source"))) == site_of(host_of(F.col("url"))))
-    edges = held(inside.distinct(), "edges")
+    same = site_of_url(F.col(source)) == site_of_url(F.col(target))
+    inside = links.where(same).select(plain(F.col(source)).alias("source"), plain(F.col(target)).alias("url"))
+    edges = held(inside.where("source <> url").distinct(), "edges")
     first = starts.select(plain(F.col(start)).alias("url")).where("url IS NOT NULL").distinct()
     level, n = _counted(permitted(first).select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("referrer")))
     levels = [level]
@@ -106,7 +112,7 @@ def discover(starts: DataFrame, links: DataFrame, rules: DataFrame | None = None
     for level in levels[1:]:
         out = out.unionByName(level)
     released(edges)
-    return out.withColumn("site", site_of(host_of(F.col("url"))))
+    return out.withColumn("site", site_of_url(F.col("url")))
 
 
 def _counted(df: DataFrame) -> tuple[DataFrame, int]:

@@ -65,6 +65,20 @@ LEAST_SIDE = 80
 MOST_BEFORE = 200
 
 
+#: A text without any of these, squashed, is no heading.
+_SIGNS = ("কর্মকর্তা", "কর্তৃপক্ষ", "officer", "authority", "দায়িত্বপ্রাপ্ত", "তথ্যপ্রদানকারী", "designated", "responsible")
+
+
+def _may_head(text: str) -> bool:
+    """Whether ``heading`` has to look at the text."""
+    if not 0 < len(text) <= MOST_HEADING:
+        return False
+    squashed = re.sub("[\\s:：\\-–—\u200c\u200d]+", "", text.lower())
+    for a, b in FOLDED:
+        squashed = squashed.replace(a, b)
+    return any(s in squashed for s in _SIGNS)
+
+
 def _clean(s: str) -> str:
     return " ".join(re.sub("[​⁠﻿­‎‏‪-‮⁦-⁩]", "", unescape(s)).replace(" ", " ").split())
 
@@ -92,7 +106,8 @@ class _Stream(HTMLParser):
             text = " ".join(c for c in cells if c)
             linked = not self.plain.strip()
             units = list(dict.fromkeys([*self.units, *([] if linked or len(cells) > 1 else [text])]))  # inner elements first; a row isn't a heading
-            self.lines.append(dict(pos=self.begun, text=text, cells=cells, units=[u for u in units if len(u) <= MOST_HEADING], path=[e for e in self.open if e["at"] < self.begun], htag=any(e["tag"] in HEADINGS for e in self.open), row=None, header=None))
+            begin = _clean(re.match("[^:ঃ]{0,70}", text)[0])
+            self.lines.append(dict(pos=self.begun, cells=cells, units=[u for u in units if _may_head(u)], begin=begin if _may_head(begin) else None, path=[e for e in self.open if e["at"] < self.begun], htag=any(e["tag"] in HEADINGS for e in self.open), row=None, header=None))
         if self.rows and self.rows[-1] and self.rows[-1][-1] and self.rows[-1][-1][-1][-1:] != [""]:
             self.rows[-1][-1][-1].append("")
         self.pieces, self.plain, self.units, self.begun = [], "", [], None
@@ -229,10 +244,10 @@ def parsed(html: str | None, url: str | None, words: tuple[dict, dict] | None =
     return stream.result()
 
 
-_LINE = pa.struct([("i", pa.int32()), ("pos", pa.int32()), ("text", pa.string()), ("cells", pa.list_(pa.string())), ("units", pa.list_(pa.string())), ("htag", pa.bool_()), *((n, pa.int32()) for n in ("c_at", "c_end", "c_first", "c_last")), ("row", pa.list_(pa.list_(pa.string()))), ("header", pa.list_(pa.string()))])
+_LINE = pa.struct([("i", pa.int32()), ("pos", pa.int32()), ("cells", pa.list_(pa.string())), ("units", pa.list_(pa.string())), ("begin", pa.string()), ("htag", pa.bool_()), *((n, pa.int32()) for n in ("c_at", "c_end", "c_first", "c_last")), ("row", pa.list_(pa.list_(pa.string()))), ("header", pa.list_(pa.string()))])
 _IMAGE = pa.struct([("pos", pa.int32()), *((n, pa.string()) for n in ("url", "alt", "title")), ("width", pa.int32()), ("height", pa.int32())])
 _SCHEMA = (
-    "page_id long, lines array<struct<i:int,pos:int,text:string,cells:array<string>,units:array<string>,htag:boolean,c_at:int,c_end:int,c_first:int,c_last:int,row:array<array<string>>,header:array<string>>>, "
+    "page_id long, lines array<struct<i:int,pos:int,cells:array<string>,units:array<string>,begin:string,htag:boolean,c_at:int,c_end:int,c_first:int,c_last:int,row:array<array<string>>,header:array<string>>>, "
     "images array<struct<pos:int,url:string,alt:string,title:string,width:int,height:int>>"
 )
 
@@ -241,7 +256,7 @@ def streams(pages: DataFrame, id_col: str, url_col: str, html_col: str, recover:
     """page_id, lines and images of every page; with ``recover``, texts in legacy fonts are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = (integrity._Words(), legacy._Words(lambda w: legacy._read_word(w, True))) if recover else None
+        words = (integrity.known, legacy.known("read")) if recover else None
         for b in batches:
             found = [parsed(h, u, words) for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.list_(_LINE)), pa.array([x for _, x in found], pa.list_(_IMAGE))], ["page_id", "lines", "images"])
@@ -313,11 +328,19 @@ def named(c: Column) -> Column:
 # Pages
 
 
+def _first_kind(units: Column) -> Column:
+    return F.get(F.filter(F.transform(units, heading), lambda k: k.isNotNull()), F.lit(0))
+
+
 def _lines(stream: DataFrame) -> DataFrame:
-    """A row a line, with the kind of its heading."""
-    lines = stream.select("page_id", F.explode("lines").alias("x")).select("page_id", "x.*")
-    kinds = F.filter(F.transform("units", heading), lambda k: k.isNotNull())
-    return lines.withColumn("kind", F.get(kinds, F.lit(0)))
+    """A row a line, with the kind of its heading, the role that it names before a colon, and, on a page's first line, the page's images."""
+    lines = stream.select("page_id", F.explode("lines").alias("x"), "images").select("page_id", "x.*", "images")
+    kind = F.when(F.size("units") > 0, _first_kind(F.col("units")))
+    return lines.select("page_id", "i", "pos", "cells", "htag", "c_at", "c_end", "c_first", "c_last", "row", "header", kind.alias("kind"), F.when(F.col("begin").isNotNull(), heading(F.col("begin"))).alias("named"), F.when(F.col("i") == 0, F.col("images")).alias("images"))
+
+
+def _text(cells: str = "cells") -> Column:
+    return F.array_join(F.filter(cells, lambda c: c != ""), " ")
 
 
 def _blocks(lines: DataFrame) -> DataFrame:
@@ -326,8 +349,9 @@ def _blocks(lines: DataFrame) -> DataFrame:
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     is_role = F.col("kind").isin(*ROLES)
     zero = lambda c: F.coalesce(c, F.lit(0))
+    lines = lines.select("page_id", "i", "pos", "kind", "htag", "c_at", "c_end", "c_first", "c_last", F.length(_text()).alias("n"))  # texts needn't move
     sums = lines.select(
-        "page_id", "i", "pos", "kind", "c_at", "c_end", "c_first", "c_last", zero(F.sum(F.length("text") + 1).over(before)).alias("chars"), zero(F.sum(F.col("htag").cast("int")).over(before)).alias("tags"),
+        "page_id", "i", "pos", "kind", "c_at", "c_end", "c_first", "c_last", zero(F.sum(F.col("n") + 1).over(before)).alias("chars"), zero(F.sum(F.col("htag").cast("int")).over(before)).alias("tags"),
         zero(F.sum(F.when(is_role, 1)).over(before)).alias("heads"), F.when(is_role, 1).otherwise(0).alias("is_head"),
     )
     heads = sums.where("kind IS NOT NULL")
@@ -446,16 +470,15 @@ def _states(blocks: DataFrame, parts: DataFrame, labelled: DataFrame, plain: boo
 
 def _plain_blocks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Blocks and lines of pages without role headings: a role's name before a colon carries its role to the lines that follow."""
-    no_role = lines.groupBy("page_id").agg(F.max(F.coalesce(F.col("kind").isin(*ROLES), F.lit(False))).alias("some")).where("NOT some").select("page_id")
-    rows = lines.join(no_role, "page_id").withColumn("begin", F.regexp_extract("text", "^([^:ঃ]{1,70})", 1))
-    rows = rows.withColumn("named", heading(F.trim("begin")))
+    kinds = lines.where(F.col("kind").isin(*ROLES) | F.col("named").isin(*ROLES)).groupBy("page_id").agg(F.max(F.coalesce(F.col("kind").isin(*ROLES), F.lit(False))).alias("some"))
+    rows = lines.join(kinds.where("NOT some").select("page_id"), "page_id", "left_semi").select("page_id", "i", "pos", "cells", "named").withColumn("text", _text())
     order = Window.partitionBy("page_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("named").isNotNull(), F.struct("named", "i")), ignorenulls=True).over(order)
     rows = rows.withColumn("last", last).where(F.col("last.named").isin(*ROLES))
-    rows = rows.select("page_id", F.col("last.i").alias("block"), F.col("last.named").alias("role"), F.lit(False).alias("card"), "i", "pos", "cells", "text", "begin")
+    rows = rows.select("page_id", F.col("last.i").alias("block"), F.col("last.named").alias("role"), F.lit(False).alias("card"), "i", "pos", "cells", "text")
     is_head = F.col("i") == F.col("block")
-    rest = F.trim(F.regexp_replace(F.expr("substring(text, length(begin) + 1)"), "^[:ঃ ]+", ""))
-    parts = rows.withColumn("cells", F.when(is_head, F.when(rest != "", F.array(rest))).otherwise(F.col("cells"))).where("cells IS NOT NULL").drop("text", "begin")
+    rest = F.trim(F.regexp_replace("text", "^[^:ঃ]{0,70}[:ঃ ]*", ""))
+    parts = rows.withColumn("cells", F.when(is_head, F.when(rest != "", F.array(rest))).otherwise(F.col("cells"))).where("cells IS NOT NULL").drop("text")
     return rows.select("page_id", "block", "role", "card").distinct(), _cut(parts)
 
 
@@ -463,8 +486,7 @@ class Pages:
     """Officer pages: ``pages`` has an id, the page's address and its HTML.  Lines are read and told once, for fields and photos."""
 
     def __init__(self, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", recover: bool = True):
-        self.stream = held(streams(pages, id_col, url_col, html_col, recover), "streams")
-        self.lines = held(_lines(self.stream), "lines")
+        self.lines = held(_lines(streams(pages, id_col, url_col, html_col, recover)), "lines")
         self.blocks = held(_blocks(self.lines), "blocks")
 
     def fields(self) -> DataFrame:
@@ -472,7 +494,7 @@ class Pages:
         rowed = _row_lines(self.lines)
         by_row = rowed.select("page_id", "block").distinct()
         names = _PARTS.split(", ")
-        parts = held(_block_lines(self.lines, self.blocks).join(by_row, ["page_id", "block"], "left_anti").select(*names).unionByName(rowed.select(*names)), "parts")
+        parts = held(_block_lines(self.lines, self.blocks.join(by_row, ["page_id", "block"], "left_anti")).select(*names).unionByName(rowed.select(*names)), "parts")
         plain_blocks, plain_parts = _plain_blocks(self.lines)
         plain_parts = held(plain_parts.select(*names), "parts")
         found = _states(self.blocks, parts, _labelled(parts))
@@ -481,14 +503,14 @@ class Pages:
         return found.unionByName(plain).withColumn("r", F.dense_rank().over(best)).where("r = 1").drop("r")
 
     def photos(self) -> DataFrame:
-        return _photos(self.stream, self.blocks, self.fields())
+        return _photos(self.lines, self.blocks, self.fields())
 
 
-def _photos(stream: DataFrame, blocks: DataFrame, found: DataFrame) -> DataFrame:
+def _photos(lines: DataFrame, blocks: DataFrame, found: DataFrame) -> DataFrame:
     """page_id, role, url, flag: the photo of each role with a name, of those inside its block the nearest to its first field; if no block of the
     page has one, that one image outside whose name, title or file names the officer or the role.  An image that two names claim is nobody's.
     """
-    images = stream.select("page_id", F.explode("images").alias("x")).select("page_id", "x.*")
+    images = lines.select("page_id", F.explode("images").alias("x")).select("page_id", "x.*")
     images = images.withColumn("reject", reject_reason(*(F.col(c) for c in ("url", "alt", "title", "width", "height"))))
     roles = found.groupBy("page_id", "role", "block", "card", "name").agg(F.min("pos").alias("anchor"))
     reach = roles.join(blocks.select("page_id", "block", "from", "to"), ["page_id", "block"])

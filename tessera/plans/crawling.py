@@ -14,13 +14,12 @@ _ROBOTS = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /de\nAllow
 def _graph(spark, sf_dir):
     """Links (source, target) of subjects and pages; start pages; rules."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    site = lambda c: crawl.site_of(crawl.host_of(c))
-    subject = lambda s, word: F.concat(F.lit("https://"), s, F.lit("/"), word)
-    word = lambda c: F.regexp_replace(F.lower(c), "[^a-z]+", "")
     found = html.links(pages, "page_id", "url", "html").select("page_id", "link")
-    up = pages.select("page_id", "url").join(found, "page_id").select(F.col("url").alias("source"), subject(site(F.col("url")), word(crawl.path_of(F.col("link")))).alias("target"))
-    title = F.regexp_replace(F.lower(F.regexp_extract("html", "<title>(.*?)</title>", 1)), "[^a-z]+", " ")
-    down = pages.select("url", F.explode(F.array_distinct(F.split(F.trim(title), " "))).alias("w")).where("w <> ''").select(subject(site(F.col("url")), F.col("w")).alias("source"), F.col("url").alias("target"))
+    word = F.regexp_replace(F.lower(F.regexp_extract("link", "^https?://[^/]*/([^#]*)", 1)), "[^a-z]+", "")
+    base = pages.select("page_id", "url", F.concat(F.lit("https://"), crawl.site_of_url(F.col("url")), F.lit("/")).alias("base"), F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"))
+    up = base.select("page_id", "url", "base").join(found, "page_id").select(F.col("url").alias("source"), F.concat("base", word).alias("target"))
+    down = base.select("url", "base", F.explode(F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("title"), "[^a-z]+", " ")), " "))).alias("w")).where("w <> ''")
+    down = down.select(F.concat("base", "w").alias("source"), F.col("url").alias("target"))
     hosts = pages.select(crawl.host_of(F.col("url")).alias("host"), crawl.plain(F.col("url")).alias("url"))
     starts = hosts.groupBy("host").agg(F.min("url").alias("url")).select("url")
     files = hosts.where("host LIKE 'm.%'").select("host").distinct().withColumn("text", F.lit(_ROBOTS))
