@@ -32,9 +32,10 @@ def site_of(host: Column) -> Column:
 
 
 def site_of_url(url: Column) -> Column:
-    """As ``site_of`` of the URL's host, by one pattern; empty for what is no http(s) URL with such a host."""
-    label, suffixes = r"[^./?#:@]+", "|".join(x.replace(".", r"\.") for x in SUFFIXES)
-    return F.lower(F.regexp_extract(url, rf"^(?i:https?)://(?:[^/?#@]*@)?(?:[^/?#:@]*\.)?({label}\.(?:(?i:{suffixes})|{label}))(?=[/?#:]|$)", 1))
+    """As ``site_of`` of the URL's host, by two patterns; empty for what is no http(s) URL."""
+    host = F.regexp_extract(url, r"^(?i:https?)://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
+    suffixes = "|".join(x.replace(".", r"\.") for x in SUFFIXES)
+    return F.lower(F.regexp_extract(host, rf"([^.]+\.(?i:{suffixes})|[^.]+\.[^.]+|^[^.]+)$", 1))
 
 
 def path_of(url: Column) -> Column:

@@ -63,4 +63,5 @@ def test_sites_and_paths(spark):
     cases = {"http://A.b.gov.bd:80/x?q#f": ("a.b.gov.bd", "b.gov.bd", "/x?q"), "https://u@www.z.com": ("www.z.com", "z.com", "/"), "https://z.com?q=1": ("z.com", "z.com", "/?q=1"), "mailto:x": (None, None, "/")}
     df = spark.createDataFrame([(u,) for u in cases], "u string")
     host = crawl.host_of(F.col("u"))
+    assert {r["u"]: r["s"] or None for r in df.select("u", crawl.site_of_url(F.col("u")).alias("s")).collect()} == {u: s for u, (_, s, _) in cases.items()}
     assert {r["u"]: (r["h"], r["s"], r["p"]) for r in df.select("u", host.alias("h"), crawl.site_of(host).alias("s"), crawl.path_of(F.col("u")).alias("p")).collect()} == cases
