@@ -10,7 +10,10 @@ The steps of a word, and the rows of each, grow with its length.  So a word of o
 ``LONG``, which are encoded as words, by the same steps, and put together where two windows have a token in common.  That is exact: a
 sequence of tokens is the encoding of its bytes if and only if every two neighbours are that of theirs, as a contraction across a border
 would come first at two neighbours, and neighbours in a window's encoding are encoded so.  Where windows have no token in common, as in
-long runs, the next window starts at a token of the last one.
+long runs, a window from a token before the gap to beyond it is tried, of twice the reach each time.  Such gaps are followed side by side,
+from a few windows before each until two windows of the grid join again, and the windows that all of them lack are encoded by one recursion a turn; the words are then put together
+from windows that are known by their bytes.  A gap that isn't bridged after ``AHEAD`` turns, as in a run without an end, is followed in
+its word alone, where windows repeat.
 
 Decoding joins the ids of a block to the vocabulary and puts the bytes of each document together by ordered aggregation.
 
@@ -23,7 +26,8 @@ texts and words of any length are encoded whole; other columns pass through, but
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import bisect
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,9 @@ from .common import documents, python_tasks, text_of
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: public_tokenizers.PATTERN in Java's dialect, where \s would only be ASCII.
 PATTERN = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\p{IsWhite_Space}\p{L}\p{N}]").replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
-LONG = 64
+LONG, HALF = 64, 32
+#: Turns in which the windows between those of the grid are encoded ahead, those of all gaps at once.
+AHEAD = 24
 #: Bytes of words (with their offsets) that are encoded at once, tokens that are decoded at once, and bytes of distinct words in one recursion.
 BLOCK, TOKENS, WORDS = 12 << 20, 1 << 19, 1 << 17
 #: Most words whose tokens a worker remembers.
@@ -74,6 +80,91 @@ def _common(here: list[tuple[int, int]], after: list[tuple[int, int]]) -> tuple[
     return next(((at[x], j) for j, x in enumerate(after) if x in at), None)
 
 
+class _Windows:
+    """Tokens of windows, by their bytes."""
+
+    def __init__(self, encoder: Codec):
+        self.encoder = encoder
+        self.tokens: dict[bytes, list[int]] = {}
+
+    def look_up(self, windows: set[bytes]) -> None:
+        """Encodes all windows, together."""
+        if windows:
+            tokens, counts = self.encoder._contracted(pa.array(sorted(windows), pa.binary()))
+            ends = np.cumsum(counts).tolist()
+            self.tokens.update((w, tokens[b - n : b].tolist()) for w, b, n in zip(sorted(windows), ends, counts.tolist(), strict=True))
+
+    def placed(self, window: bytes, start: int) -> list[tuple[int, int]]:
+        """(start, token) of a window that is known."""
+        out = []
+        for t in self.tokens[window]:
+            out.append((start, t))
+            start += len(self.encoder.bytes_of[t])
+        return out
+
+    def follow(self, walks: list[Generator[bytes, None, list[int]]], turns: int | None = None) -> list[list[int]]:
+        """Results of walks that yield the windows they lack; a turn encodes those of all walks at once."""
+        results: list[list[int]] = [[] for _ in walks]
+        waiting = list(enumerate(walks))
+        turn = 0
+        while waiting and (turns is None or turn < turns):
+            lacking, still = set(), []
+            for i, walk in waiting:
+                try:
+                    lacking.add(next(walk))
+                    still.append((i, walk))
+                except StopIteration as end:
+                    results[i] = end.value
+            self.look_up(lacking)
+            waiting, turn = still, turn + 1
+        return results
+
+
+def _joined(word: bytes, first: int, found: _Windows, until: int | None = None) -> Generator[bytes, None, list[int]]:
+    """The tokens of a word, from ``first`` on, from those of windows of it; or until two windows of the grid join after ``until``."""
+
+    def window(start: int, size: int):
+        piece = word[start : start + size]
+        if piece not in found.tokens:
+            yield piece
+        return found.placed(piece, start)
+
+    def place(most: int) -> int:
+        """Place of the last token that starts at ``most`` or before, or of the first one."""
+        return max(bisect.bisect_right(out, most, key=lambda x: x[0]) - 1, 0)
+
+    out, end = (yield from window(first, LONG)), first + LONG
+    while end < len(word):
+        start, size, reach = (end - HALF) // HALF * HALF, LONG, HALF
+        after, at = (yield from window(start, size)), place(start)
+        common = _common(out[at:], after)
+        if common is not None and until is not None and start > until:
+            break
+        while common is None:  # start at a token instead, and look further to both sides each time
+            reach *= 2
+            at = place(end - reach)
+            start, size = out[at][0], end + reach - out[at][0]
+            after = yield from window(start, size)
+            common = _common(out[at:], after) or ((0, 0) if at == 0 else None)  # from the first byte on, a window's tokens take the place of all
+        i, j = common
+        out[at + i :] = after[j:]
+        end = start + size
+    return [t for _, t in out]
+
+
+def _gaps(words: list[bytes], found: _Windows) -> list[tuple[bytes, int]]:
+    """Windows of the grid, of known tokens, that have none in common with the next one; once for those that read alike for a while."""
+    out: dict[bytes, tuple[bytes, int]] = {}
+    for word in words:
+        here = found.placed(word[:LONG], 0)
+        for start in range(HALF, len(word) - HALF, HALF):
+            after = found.placed(word[start : start + LONG], start)
+            if _common(here, after) is None:
+                out.setdefault(word[max(start - 3 * LONG, 0) : start + 3 * LONG], (word, start))
+            here = after
+    return list(out.values())
+
+
 def _picked(flat: np.ndarray, counts: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The items of lists that lie one after another in ``flat``, for the lists at ``index``, and how many each has."""
     n = counts[index]
@@ -161,47 +252,10 @@ class Codec:
 
     def _encode_long(self, words: list[bytes]) -> list[list[int]]:
         """Tokens of words of over ``LONG`` bytes."""
-        half = LONG // 2
-        found: dict[bytes, list[int]] = dict.fromkeys(w[s : s + LONG] for w in words for s in range(0, len(w) - half, half))
-
-        def look_up(windows: list[bytes]) -> None:
-            tokens, counts = self._contracted(pa.array(windows, pa.binary()))
-            ends = np.cumsum(counts).tolist()
-            found.update((w, tokens[b - n : b].tolist()) for w, b, n in zip(windows, ends, counts.tolist(), strict=True))
-
-        def placed(word: bytes, start: int, size: int) -> list[tuple[int, int]]:
-            """(start, token) of a window."""
-            window, out = word[start : start + size], []
-            if window not in found:
-                look_up([window])
-            for t in found[window]:
-                out.append((start, t))
-                start += len(self.bytes_of[t])
-            return out
-
-        look_up(list(found))
-        return [self._joined(word, half, placed) for word in words]
-
-    @staticmethod
-    def _joined(word: bytes, half: int, placed) -> list[int]:
-        """The tokens of a word from those of windows of it."""
-        here, end = placed(word, 0, LONG), LONG
-        out: list[int] = []
-        while end < len(word):
-            start, size = (end - half) // half * half, LONG
-            after = placed(word, start, size)
-            common = _common(here, after)
-            if common is None:  # start at a token instead, and look further if need be
-                start = next((p for p, _ in reversed(here) if p <= start), here[0][0])
-                size = 2 * (end - start)
-                while (common := _common(here, after := placed(word, start, size))) is None:
-                    if start + size >= len(word):  # no window helps
-                        return [t for _, t in placed(word, 0, len(word))]
-                    size *= 2
-            i, j = common
-            out += [t for _, t in here[:i]]
-            here, end = after[j:], start + size
-        return out + [t for _, t in here]
+        found = _Windows(self)
+        found.look_up({w[s : s + LONG] for w in words for s in range(0, len(w) - HALF, HALF)})
+        found.follow([_joined(w, max(s - 2 * LONG, 0), found, s) for w, s in _gaps(words, found)], AHEAD)
+        return found.follow([_joined(w, 0, found) for w in words])
 
     def encode(self, words: pa.ListArray) -> pa.Array:
         """Ids of each row's words as binary values."""

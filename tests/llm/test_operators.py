@@ -54,6 +54,29 @@ def test_bpe_long_words():
     assert [len(x) for x in codec.decode(ids).to_pylist()] == [2_000_000, 300_000] and time.time() - began < 60
 
 
+def test_bpe_long_rules():
+    """Words of punctuation in mixed runs, of which windows of the grid rarely join, against tiktoken and the clock."""
+    import random
+    import time
+
+    import pyarrow as pa
+
+    enc, codec, rng = secrets.encoder(), bpe.codec(), random.Random(2)
+
+    def runs(n, most):
+        out = ""
+        while len(out) < n:
+            out += rng.choice("=-_") * rng.randint(1, most)
+        return out[:n]
+
+    rule = "=" * 72 + "-" * 72
+    for text, most in [(rule * 70, 5), (rule * 7000, 60), (runs(8000, 80), 20), (runs(20_000, 2000), 20), ("-" + "=-" * 4000 + "_", 20)]:
+        start = time.time()
+        (ids,) = codec.encode(pa.array([[text]], pa.list_(pa.string()))).to_pylist()
+        assert time.time() - start < most
+        assert ids == np.array(enc.encode_ordinary(text), "<u4").tobytes()
+
+
 def test_bpe_query(spark, tmp_path):
     """The digests of op1, from tiktoken, on a table with odd cases and a clashing column."""
     enc = secrets.encoder()
