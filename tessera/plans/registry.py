@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import activity, crawling, directory, gates, highlighting, legacy, linking, officers, projections, records, retrying, texts
+from . import activity, crawling, directory, gates, highlighting, legacy, linking, naming, officers, projections, records, retrying, texts
 
-_MODULES = (activity, crawling, directory, gates, highlighting, legacy, linking, officers, projections, records, retrying, texts)
+_MODULES = (activity, crawling, directory, gates, highlighting, legacy, linking, naming, officers, projections, records, retrying, texts)
 
 
 def queries() -> dict:
