@@ -152,9 +152,10 @@ def _open(links: DataFrame) -> DataFrame:
 
 
 def clusters(mentions: DataFrame, name: str = "name", number: str = "number") -> DataFrame:
-    """Distinct mentions (name, number) with ``cluster``: the same for mentions of one person; blank ones are null."""
+    """Distinct mentions (name, number) with ``cluster``: the same for mentions of one person, by its number if it has one; blank ones are null."""
     rows = mentions.select(F.col(name).alias("name"), F.col(number).alias("number")).distinct()
     nodes, links = links_of(rows, "name", "number")
-    of = constrained_components(nodes, links).where("node NOT LIKE 'k:%'")
+    found = constrained_components(nodes, links).where("node NOT LIKE 'k:%'")
+    of = found.join(found.groupBy("cluster").agg(F.max("node").alias("person")), "cluster").select("node", F.col("person").alias("cluster"))
     node = F.when(F.col("number").isNotNull(), F.concat(F.lit("n:"), F.col("number"))).when(person_name(F.col("name")) != "", F.concat(F.lit("m:"), person_name(F.col("name"))))
     return rows.withColumn("node", node).join(of, "node", "left").select("name", "number", "cluster")

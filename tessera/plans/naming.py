@@ -36,7 +36,7 @@ NAME_PAIRS = r"""
 WITH a AS (SELECT doc_id, nullif(regexp_extract(coalesce(text, ''), '^\s*(\p{L}+\s+\p{L}+\s+\p{L}+)', 1), '') AS name,
     nullif(regexp_extract(coalesce(text, ''), '([0-9]{3,})', 1), '') AS number FROM documents),
 k AS (SELECT doc_id, number, lower(regexp_replace(coalesce(name, ''), '\s+', '', 'g')) AS key,
-    list_distinct(list_filter(string_split_regex(lower(coalesce(name, '')), '\s+'), x -> length(x) >= 2)) AS words FROM a)
+    list_distinct(list_filter(string_split_regex(lower(coalesce(name, '')), '\s+'), lambda x: length(x) >= 2)) AS words FROM a)
 SELECT x.doc_id, coalesce(x.number = y.number, false) OR (x.key <> '' AND x.key = y.key) AS same,
   x.key = y.key OR len(list_intersect(x.words, y.words)) >= least(2, len(x.words), len(y.words)) AS likely
 FROM k x JOIN k y ON y.doc_id = x.doc_id + 1
