@@ -6,7 +6,7 @@ it, so no pair of text and name is ever formed.
 
 from __future__ import annotations
 
-import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,26 +45,79 @@ def first_phrases(text: Column, rules: list[tuple[str, str]]) -> tuple[Column, C
     return hits, F.get(hits, F.lit(0))
 
 
-def near_names(text: str, names: list[str], anchors: tuple[str, ...], share: float = 0.15, taken: tuple[tuple[int, int], ...] = ()) -> list[tuple[int, int, str, int]]:
-    """(start, end, name, distance) of windows of ``text`` that end at an anchor word and are a few edits off a name that ends so.
+class NearNames:
+    """Names of six letters or more, in lower case, by what stands before the anchor word they end with.
 
-    A name of ``n`` letters (six or more) may be ``share`` of them off, one at least and not none; windows over ``taken`` spans are left
-    out; the shortest window that fits counts.  Everything is in lower case.
+    A name that is ``k`` edits off at most has one of ``k + 1`` pieces of that part unchanged, at most ``k`` places from its own.  So a window of
+    text is compared with the names that share a piece with it there, however many names there are.  Parts too short for pieces are
+    compared always.
     """
-    found = []
-    for anchor in anchors:
-        at = text.find(anchor)
-        while at >= 0:
-            end = at + len(anchor)
-            for name in names:
-                if len(name) >= 6 and name.endswith(anchor):
-                    limit = max(1, int(len(name) * share))
+
+    def __init__(self, names: list[str], anchors: tuple[str, ...], share: float = 0.15) -> None:
+        self.names, self.anchors = names, anchors
+        self.limits = [max(1, int(len(n) * share)) for n in names]
+        self.always: dict[str, list[int]] = {a: [] for a in anchors}
+        self.pieces: dict[str, dict[str, list[tuple[int, int]]]] = {a: {} for a in anchors}  # piece: names, and its end's distance from the anchor
+        self.sizes: dict[str, set[int]] = {a: set() for a in anchors}
+        for i, name in enumerate(names):
+            for anchor in anchors if len(name) >= 6 else ():
+                if not name.endswith(anchor):
+                    continue
+                part, n = name[: len(name) - len(anchor)], self.limits[i] + 1
+                if len(part) < n:
+                    self.always[anchor].append(i)
+                    continue
+                for j in range(n):
+                    start, end = len(part) * j // n, len(part) * (j + 1) // n
+                    self.pieces[anchor].setdefault(part[start:end], []).append((i, len(part) - end))
+                    self.sizes[anchor].add(end - start)
+        self.reach = {a: max((len(n) - len(a) + k for n, k in zip(names, self.limits, strict=True) if n.endswith(a)), default=0) for a in anchors}
+
+    def candidates(self, text: str, at: int, anchor: str) -> set[int]:
+        """Names that the text before the anchor at ``at`` may be a few edits off."""
+        found, pieces = set(self.always[anchor]), self.pieces[anchor]
+        for size in self.sizes[anchor]:
+            for end in range(at, max(size, at - self.reach[anchor]) - 1, -1):
+                found.update(i for i, gap in pieces.get(text[end - size : end], ()) if abs(at - end - gap) <= self.limits[i])
+        return found
+
+    def find(self, text: str, taken: tuple[tuple[int, int], ...] = ()) -> list[tuple[int, int, str, int]]:
+        """(start, end, name, distance) of windows of ``text`` that end at an anchor word and are a few edits off a name that ends so.
+
+        A name of ``n`` letters may be ``share`` of them off, one at least and not none; windows over ``taken`` spans are left out; the
+        shortest window that fits counts.
+        """
+        found, spans = [], _merged(taken)
+        starts = [a for a, _ in spans]
+        for anchor in self.anchors:
+            at = text.find(anchor)
+            while at >= 0:
+                end = at + len(anchor)
+                before = bisect_left(starts, end)
+                free = spans[before - 1][1] if before else 0  # windows that start before it lie over a taken span
+                for i in sorted(self.candidates(text, at, anchor)):
+                    name, limit = self.names[i], self.limits[i]
                     for n in range(len(name) - limit, len(name) + limit + 1):
-                        if n <= end and not any(end - n < b and end > a for a, b in taken) and 0 < (d := _edits(text[end - n : end], name, limit)) <= limit:
+                        if free <= end - n and 0 < (d := _edits(text[end - n : end], name, limit)) <= limit:
                             found.append((end - n, end, name, d))
                             break
-            at = text.find(anchor, at + 1)
-    return sorted(found)
+                at = text.find(anchor, at + 1)
+        return sorted(found)
+
+
+def near_names(text: str, names: list[str], anchors: tuple[str, ...], share: float = 0.15, taken: tuple[tuple[int, int], ...] = ()) -> list[tuple[int, int, str, int]]:
+    return NearNames(names, anchors, share).find(text, taken)
+
+
+def _merged(spans: tuple[tuple[int, int], ...]) -> list[tuple[int, int]]:
+    """Spans in order, those that touch or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _edits(a: str, b: str, limit: int) -> int:
@@ -83,15 +136,21 @@ def fuzzy(docs: DataFrame, id_col: str, text_col: str, names: list[str], anchors
     """Names that texts have with a few edits, near anchor words: id, start, end, term, distance.  Exact mentions are left out."""
     if len(names) > MOST:
         raise ValueError(f"a dictionary has {MOST} patterns at most")
-    low = [n.lower() for n in names]
+    low = sorted({n.lower() for n in names if n})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        near, machine = NearNames(low, anchors, share), ahocorasick.Automaton()
+        for name in low:
+            machine.add_word(name, len(name))
+        machine.make_automaton()
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 t = (text or "").lower()
-                taken = tuple((m.start(), m.end()) for n in low if n in t for m in re.finditer(re.escape(n), t))
-                rows += [(key, *x) for x in near_names(t, low, anchors, share, taken)] if any(a in t for a in anchors) else []
+                if low and any(a in t for a in anchors):
+                    rows += [(key, *x) for x in near.find(t, tuple((end + 1 - n, end + 1) for end, n in machine.iter(t)))]
             cols = [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32()), strict=True)], ["id", "start", "end", "term", "distance"])
 

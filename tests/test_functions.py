@@ -147,6 +147,38 @@ def test_near_names():
     assert gazetteer.near_names("nothing here", names, ("office",)) == []
 
 
+def test_near_names_by_brute_force():
+    """Pieces lose no name: the same windows as comparing every name at every anchor."""
+    import random
+
+    from tessera.operators import gazetteer
+
+    def plain(text, names, anchors, share, taken):
+        out = []
+        for anchor in anchors:
+            for end in (i + len(anchor) for i in range(len(text)) if text.startswith(anchor, i)):
+                for name in names:
+                    limit = max(1, int(len(name) * share))
+                    fits = [n for n in range(len(name) - limit, len(name) + limit + 1) if n <= end and not any(end - n < b and end > a for a, b in taken)]
+                    hits = [(n, d) for n in fits if 0 < (d := gazetteer._edits(text[end - n : end], name, limit)) <= limit]
+                    if len(name) >= 6 and name.endswith(anchor) and hits:
+                        out.append((end - hits[0][0], end, name, hits[0][1]))
+        return sorted(out)
+
+    rng, seen = random.Random(11), 0
+    word = lambda: "".join(rng.choice("abc ") for _ in range(rng.randrange(22)))
+    for _ in range(400):
+        anchors = ("ab", "cca")
+        names = sorted({word() + rng.choice(anchors) for _ in range(12)})
+        text = "".join(rng.choice(["", word(), rng.choice(names)]) + rng.choice(["", "ab", "cca"]) for _ in range(6))
+        taken = tuple((a, a + rng.randrange(1, 6)) for a in (rng.randrange(len(text) + 1) for _ in range(rng.randrange(3))))
+        share = rng.choice([0.15, 0.3])
+        got = gazetteer.near_names(text, names, anchors, share, taken)
+        assert got == plain(text, names, anchors, share, taken)
+        seen += len(got)
+    assert seen > 500
+
+
 def test_first_phrases_are_whole_words(spark):
     from tessera.operators import gazetteer
 
