@@ -79,6 +79,40 @@ def tokens(c: Column, least: int = 3) -> Column:
     return F.array_distinct(F.filter(words, lambda w: F.length(w) >= least))
 
 
+def word_set(c: Column, least: int = 2) -> Column:
+    """Distinct lower-case words of letters and digits of any script, of ``least`` or more characters; other signs part words."""
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\s]", " "), r"\s+"), lambda w: F.length(w) >= least))
+
+
+def numbers_in(c: Column) -> Column:
+    """Distinct numbers of two or more characters, in digits of either script, without a sign at the end."""
+    found = F.regexp_extract_all(ascii_digits(c), F.lit("([0-9][0-9,.]*)"), F.lit(1))
+    return F.array_distinct(F.filter(F.transform(found, lambda n: F.regexp_replace(n, "[,.]$", "")), lambda n: F.length(n) >= 2))
+
+
+#: Endings that an index term loses, and words that are no terms.
+ENDINGS = ("দের", "গুলো", "গুলি", "টির", "টা", "টি", "এর", "ের", "কে", "তে", "রা", "র", "য়", "ে")
+STOPWORDS = (
+    "এবং", "ও", "এ", "এই", "সে", "যে", "না", "করে", "হয়", "হয়েছে", "থেকে", "জন্য", "সঙ্গে", "বলে", "দাবি", "দাবিতে", "ভিডিও", "ছবি", "করা", "নিয়ে", "একটি", "তার", "তিনি", "এক", "কি", "কী", "নয়", "ভুয়া", "গুজব", "প্রচার",
+    "হচ্ছে", "হলো", "হল", "আর", "বা", "কোনো", "সব", "এর", "তা", "যা", "the", "a", "an", "of", "in", "on", "to", "and", "is", "was", "for", "with", "false", "claim", "video", "photo", "fake", "news",
+)
+#: Letters that the normal form takes apart.
+COMPOSED = ("\u09dc", "\u09dd", "\u09df")
+ENDING = f"^(.{{2,}}?)(?:{'|'.join(unicodedata.normalize('NFC', w) for w in ENDINGS)})$"
+NO_TERMS = tuple(unicodedata.normalize("NFC", w) for w in STOPWORDS)
+
+
+def index_terms(c: Column) -> Column:
+    """Terms of a text for an index, repeats included: words of letters, marks and digits, in lower case, of four or more characters without the longest
+    ending that leaves two; no numbers, stop words or single characters."""
+    low = F.lower(c)
+    for x in COMPOSED:
+        low = F.replace(low, F.lit(x), F.lit(unicodedata.normalize("NFC", x)))
+    words = F.split(low, r"[^\p{L}\p{M}\p{N}]+")
+    stems = F.transform(words, lambda w: F.when(F.length(w) > 3, F.regexp_replace(w, ENDING, "$1")).otherwise(w))
+    return F.filter(stems, lambda w: (F.length(w) > 1) & ~w.isin(*NO_TERMS) & ~w.rlike("^[0-9]+$"))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared share of two sets' union; 0 for two empty sets."""
     union = F.size(F.array_union(a, b))

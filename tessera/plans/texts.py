@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar, geo, money
 from ..functions import text as T
-from ..operators import gazetteer, html, quality, retrieval, windows
+from ..operators import gates, gazetteer, html, quality, retrieval, windows
 
 
 def _t(spark, sf_dir, name):
@@ -133,8 +133,9 @@ ASKED = (("q1", "thation"), ("q1", "erinha"), ("q1", "the"), ("q2", "les"), ("q2
 
 
 def bm25_search(spark, sf_dir):
+    """The 20 best documents of each question; the first line is a document's title and counts twice."""
     asked = spark.createDataFrame(list(ASKED), "query string, term string")
-    scored = retrieval.bm25(_docs(spark, sf_dir), "doc_id", "text", asked, least_score=0.5)
+    scored = retrieval.bm25(_docs(spark, sf_dir), "doc_id", "text", asked, least_score=0.5, title=F.substring_index("text", "\n", 1), terms=T.index_terms)
     return retrieval.top_by(scored, ["query"], [F.col("score").desc(), F.col("id")], 20).select("query", "id", "score", "matched", F.col("rank").cast("long").alias("rank"))
 
 
@@ -144,18 +145,33 @@ def related_score(spark, sf_dir):
     They meet on hashes of the three words, so a passage is compared with the documents that quote it only.  Without dates the date part
     is one half.
     """
-    words = lambda c: F.filter(F.split(F.lower(c), "[ \n]+"), lambda w: w != "")
-    threes = lambda w: F.array_distinct(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2))))
-    d = _docs(spark, sf_dir).select("doc_id", words(F.col("text")).alias("dw"))
-    p = _t(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("pw"))
-    meet = d.select("doc_id", F.explode(threes(F.col("dw"))).alias("k")).join(p.select("item_id", F.explode(threes(F.col("pw"))).alias("k")), "k").select("doc_id", "item_id").distinct()
-    rows = meet.join(d.select("doc_id", F.array_distinct("dw").alias("a")), "doc_id").join(p.select("item_id", F.array_distinct("pw").alias("b")), "item_id")
+    d = _docs(spark, sf_dir).select(F.col("doc_id").alias("item"), retrieval.spaced(F.col("text")).alias("words"))
+    p = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("article"), retrieval.spaced(F.col("text")).alias("words"))
+    meet = retrieval.joined_items(retrieval.meeting(p, d), d)
+    rows = meet.select(F.col("item").alias("doc_id"), "article", F.array_distinct("words").alias("a")).join(p.select("article", F.col("article").alias("item_id"), F.array_distinct("words").alias("b")), "article")
     digits = lambda w: F.filter(w, lambda x: x.rlike("[0-9]"))
     rows = rows.select("doc_id", "item_id", F.round(T.jaccard(F.col("a"), F.col("b")), 4).alias("title"), F.round(T.overlap(F.col("a"), F.col("b")), 4).alias("context"), F.round(T.jaccard(digits(F.col("a")), digits(F.col("b"))), 4).alias("numbers"))
     score = F.round(retrieval.related_score(F.col("title"), F.col("context"), calendar.date_score(F.lit(None).cast("double")), F.col("numbers")), 4)
     return rows.withColumn("score", score).withColumn("level", quality.level(F.col("score") * 100, 50, 25))
 
 
+def related_news(spark, sf_dir):
+    """For each benchmark passage the documents that tell its story and those related to it.
+
+    The first line is the title, the rest what follows it; a text is dated by the event of its number, so some have no date.
+    """
+    dates = _t(spark, sf_dir, "events").groupBy(F.col("event_id").alias("key")).agg(F.min("ts").alias("published"))
+    title = F.substring_index("text", "\n", 1)
+    rest = F.substring(F.col("text"), F.length(title) + 2, F.length("text"))
+    articles = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("article"), title.alias("title"), rest.alias("summary"), F.concat(F.lit("src"), (F.col("item_id") % 12).cast("string")).alias("source"))
+    items = _docs(spark, sf_dir).select(F.col("doc_id").alias("item"), title.alias("title"), rest.alias("snippet"), "source", gates.is_fact_check(F.col("source"), F.lit(""), title).alias("fact_check"))
+    return retrieval.related_news(_dated_by(articles, "article", dates), _dated_by(items, "item", dates))
+
+
+def _dated_by(rows, key, dates):
+    return rows.join(dates.withColumnRenamed("key", key), key, "left")
+
+
 def minmax_rank_fusion(spark, sf_dir):
     rows = _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 200).alias("article"), F.col("l_returnflag").alias("provider"), F.col("l_partkey").alias("item"), F.col("l_extendedprice").alias("score"))
     rows = rows.groupBy("article", "provider", "item").agg(F.max("score").alias("score"))
@@ -267,6 +283,25 @@ _POINTS = " + ".join(f"CASE WHEN regexp_matches({'lower(text)' if n in ('license
 _NORM = r"lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"
 _WD = "(SELECT list(x ORDER BY x)[{n}] FROM (SELECT unnest(range(d + INTERVAL 1 DAY, d + INTERVAL 61 DAY, INTERVAL 1 DAY)) AS x) WHERE dayofweek(x) NOT IN (5, 6))"
 
+def _set(text):
+    return f"list_distinct(list_filter(string_split_regex(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) > 1))"
+
+
+def _numbers(text):
+    found = f"regexp_extract_all(translate({text}, '{T.BENGALI_DIGITS}', '{T.ASCII_DIGITS}'), '[0-9][0-9,.]*')"
+    return f"list_distinct(list_filter(list_transform({found}, lambda x: regexp_replace(x, '[,.]$', '')), lambda x: length(x) >= 2))"
+
+
+def _spaced(text):
+    return f"list_filter(string_split_regex(lower({text}), '[ \\n]+'), lambda x: x <> '')"
+
+
+def _two(x):
+    return f"floor(({x}) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE"
+
+
+_CHECKS = " OR ".join([f"contains(lower(source), '{n}')" for n in gates.CHECKERS] + [f"regexp_matches(lower(title), '{gates.CORRECTION}')"])
+
 QUERIES = {
     "text_normalize": (text_normalize, f"SELECT doc_id, md5({_NORM}) AS digest, length({_NORM}) AS n FROM documents"),
     "digits_translate": (
@@ -332,12 +367,13 @@ QUERIES = {
         bm25_search,
         f"""
         WITH q AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in ASKED)}) t(query, term)),
-        w AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[^a-z0-9À-ɏ]+'), lambda x: length(x) > 1) AS w FROM documents),
+        s AS (SELECT doc_id AS id, string_split_regex(lower(text || chr(10) || string_split(text, chr(10))[1]), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+') AS s FROM documents),
+        w AS (SELECT id, list_filter(list_transform(s, lambda x: CASE WHEN length(x) > 3 THEN regexp_replace(x, '{T.ENDING}', '\\1') ELSE x END), lambda x: length(x) > 1 AND x NOT IN {T.NO_TERMS} AND NOT regexp_matches(x, '^[0-9]+$')) AS w FROM s),
         st AS (SELECT count(*) AS n, avg(len(w)) AS avg_len FROM w),
         tf AS (SELECT id, len(w) AS l, term, count(*) AS tf FROM (SELECT id, w, unnest(w) AS term FROM w) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
         df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-        s AS (SELECT query, id, round(sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * l / avg_len))), 6) AS score, count(*) AS matched FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY 1, 2)
-        SELECT query, id, score, matched, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s WHERE matched >= 2 AND score >= 0.5 QUALIFY rank <= 20
+        f AS (SELECT query, id, round(sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * l / avg_len))), 6) AS score, count(*) AS matched FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY 1, 2)
+        SELECT query, id, score, matched, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM f WHERE matched >= 2 AND score >= 0.5 QUALIFY rank <= 20
         """,
     ),
     "related_score": (
@@ -355,6 +391,33 @@ QUERIES = {
         SELECT *, CASE WHEN score * 100 >= 50 THEN 'high' WHEN score * 100 >= 25 THEN 'medium' ELSE 'low' END AS level FROM t
         """,
     ),
+    "related_news": (
+        related_news,
+        f"""
+        WITH e AS (SELECT event_id, min(ts) AS ts FROM events GROUP BY 1),
+        d AS (SELECT doc_id AS item, string_split(text, chr(10))[1] AS title, substr(text, length(string_split(text, chr(10))[1]) + 2) AS snippet, source, ts FROM documents LEFT JOIN e ON event_id = doc_id),
+        p AS (SELECT item_id AS article, string_split(text, chr(10))[1] AS title, substr(text, length(string_split(text, chr(10))[1]) + 2) AS summary, 'src' || item_id % 12 AS source, ts FROM benchmark LEFT JOIN e ON event_id = item_id),
+        dw AS (SELECT item, {_spaced("title || ' ' || snippet")} AS w FROM d),
+        pw AS (SELECT article, {_spaced("title || ' ' || summary")} AS w FROM p),
+        dk AS (SELECT DISTINCT item, (w[i], w[i + 1], w[i + 2]) AS k FROM (SELECT item, w, unnest(range(1, len(w) - 1)) AS i FROM dw)),
+        pk AS (SELECT DISTINCT article, (w[i], w[i + 1], w[i + 2]) AS k FROM (SELECT article, w, unnest(range(1, len(w) - 1)) AS i FROM pw)),
+        m AS (SELECT DISTINCT article, item FROM dk JOIN pk USING (k)),
+        ds AS (SELECT item, source, title, ts, ({_CHECKS}) AS checks, {_set("title")} AS t, {_set("title || ' ' || snippet")} AS c, {_numbers("title || ' ' || snippet")} AS n FROM d WHERE item IN (SELECT item FROM m)),
+        ps AS (SELECT article, source AS own, ts AS day, {_set("title")} AS pt, {_set("summary")} AS pc, {_numbers("title || ' ' || summary")} AS pn FROM p),
+        x AS (SELECT article, item, title AS name, checks,
+                CASE WHEN len(t) > 0 AND len(pt) > 0 THEN len(list_intersect(t, pt))::DOUBLE / greatest(len(t), len(pt)) ELSE 0.0::DOUBLE END AS title,
+                CASE WHEN len(c) > 0 AND len(pc) > 0 THEN len(list_intersect(c, pc))::DOUBLE / least(len(c), len(pc)) ELSE 0.0::DOUBLE END AS context,
+                abs(epoch_us(ts) - epoch_us(day)) / 86400000000.0::DOUBLE AS days,
+                CASE WHEN len(pn) > 0 THEN least(1.0::DOUBLE, len(list_intersect(n, pn))::DOUBLE / least(len(pn), 3)) ELSE 0.0::DOUBLE END AS numbers
+              FROM m JOIN ds USING (item) JOIN ps USING (article) WHERE lower(source) <> own),
+        y AS (SELECT article, item, lower(name) AS name, checks, {_two("title")} AS title, {_two("context")} AS context, {_two("numbers")} AS numbers,
+                {_two("CASE WHEN days IS NULL THEN 0.5::DOUBLE WHEN days <= 1.5::DOUBLE THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - (days - 1.5::DOUBLE) / 6.0::DOUBLE) END")} AS date FROM x),
+        z AS (SELECT *, {_two("0.4::DOUBLE * title + 0.2::DOUBLE * context + 0.2::DOUBLE * date + 0.2::DOUBLE * numbers")} AS score FROM y),
+        u AS (SELECT *, NOT checks AND score >= 0.5 AND (title >= 0.35 OR numbers >= 0.6) AS same FROM z QUALIFY row_number() OVER (PARTITION BY article, name ORDER BY score DESC, item) = 1),
+        r AS (SELECT *, CASE WHEN same AND row_number() OVER (PARTITION BY article, same ORDER BY score DESC, item) <= 8 THEN 'same_story' ELSE 'related' END AS kind FROM u)
+        SELECT article, item, kind, row_number() OVER (PARTITION BY article, kind ORDER BY score DESC, item) AS rank, title, context, date, numbers, score FROM r QUALIFY rank <= 8
+        """,
+    ),
     "minmax_rank_fusion": (
         minmax_rank_fusion,
         """
