@@ -110,7 +110,9 @@ def index_terms(c: Column) -> Column:
         low = F.replace(low, F.lit(x), F.lit(unicodedata.normalize("NFC", x)))
     words = F.split(low, r"[^\p{L}\p{M}\p{N}]+")
     stems = F.transform(words, lambda w: F.when(F.length(w) > 3, F.regexp_replace(w, ENDING, "$1")).otherwise(w))
-    return F.filter(stems, lambda w: (F.length(w) > 1) & ~w.isin(*NO_TERMS) & ~w.rlike("^[0-9]+$"))
+    stems = F.when(low.rlike("[\u0980-\u09ff]"), stems).otherwise(words)  # endings are Bengali
+    number = lambda w: (w >= "0") & (w < ":") & w.rlike("^[0-9]+$")
+    return F.filter(stems, lambda w: (F.length(w) > 1) & ~w.isin(*NO_TERMS) & ~number(w))
 
 
 def jaccard(a: Column, b: Column) -> Column:
