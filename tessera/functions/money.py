@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import text as T
+
 #: Units and what they multiply by.
 UNITS = {"thousand": 1e3, "lakh": 1e5, "million": 1e6, "crore": 1e7, "billion": 1e9}
 PATTERN = r"([0-9][0-9,]*(?:\.[0-9]+)?) (thousand|lakh|million|crore|billion)"
@@ -33,9 +35,7 @@ AFTER = r"(?i)^[\s০-৯0-9,.]*(?:(?:হাজার|লাখ|লক্ষ|ক
 
 def mentions(text: Column, most: int = 20) -> Column:
     """The first ``most`` amounts (amount, value, currency), by way of writing and place, without repeats by case."""
-    found = F.transform(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in WAYS]), lambda x: F.trim(x))
-    low = F.transform(found, F.lower)
-    found = F.slice(F.filter(found, lambda x, i: F.array_position(low, F.lower(x)) == i + 1), 1, most)
+    found = T.let(text, lambda t: F.transform(F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in WAYS]), lambda x: F.trim(x)))
     scale = F.create_map(*[F.lit(x) for pair in {**UNITS, **BENGALI_UNITS}.items() for x in pair])
 
     def one(x: Column) -> Column:
@@ -45,16 +45,16 @@ def mentions(text: Column, most: int = 20) -> Column:
         currency = F.when(x.rlike("(?i)ডলার|dollar|USD"), "USD").when(x.rlike("(?i)ইউরো|EUR"), "EUR").when(x.rlike("(?i)পাউন্ড|GBP"), "GBP").otherwise("BDT")
         return F.struct(x.alias("amount"), value.alias("value"), currency.alias("currency"))
 
-    return F.transform(found, one)
+    return F.transform(T.without_repeats(found, most), one)
 
 
 def with_currency(text: Column, found: Column, most: int = 6) -> Column:
     """The amounts of ``mentions`` that carry a currency or have one after them, which is then part of the phrase; of amounts within one
     another the longest."""
-    def whole(x: Column) -> Column:
-        tail = F.regexp_extract(F.substring(text, F.instr(text, x["amount"]) + F.length(x["amount"]), F.lit(45)), AFTER, 0)
-        phrase = F.trim(F.regexp_replace(F.concat(x["amount"], tail), r"\s+", " "))
-        return F.when(x["amount"].rlike(CURRENCY), x["amount"]).when(tail != "", phrase)
+    def whole(t: Column, x: Column) -> Column:
+        tail = F.regexp_extract(F.substring(t, F.instr(t, x["amount"]) + F.length(x["amount"]), F.lit(45)), AFTER, 0)
+        phrase = T.let(tail, lambda r: F.when(r != "", F.trim(F.regexp_replace(F.concat(x["amount"], r), r"\s+", " "))))
+        return F.when(x["amount"].rlike(CURRENCY), x["amount"]).otherwise(phrase)
 
-    named = F.array_compact(F.transform(found, whole))
-    return F.slice(F.filter(named, lambda a: ~F.exists(named, lambda b: (b != a) & F.contains(b, a))), 1, most)
+    named = T.let(text, lambda t: F.array_compact(F.transform(found, lambda x: whole(t, x))))
+    return T.let(named, lambda n: F.slice(F.filter(n, lambda a: ~F.exists(n, lambda b: (b != a) & F.contains(b, a))), 1, most))

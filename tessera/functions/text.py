@@ -6,6 +6,7 @@ Blank counts as missing: ``blank_to_null`` is applied at the edges and nulls are
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -18,6 +19,18 @@ INVISIBLE = "[​‌‍﻿]"
 PLACEHOLDERS = ("test", "n/a", "na", "-")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once.  An expression that stands several times in another may be computed as often, and one inside a
+    lambda is computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def without_repeats(found: Column, most: int) -> Column:
+    """The first ``most`` of the strings, without repeats by case."""
+    first = lambda f: let(F.transform(f, F.lower), lambda low: F.slice(F.filter(f, lambda x, i: F.array_position(low, F.lower(x)) == i + 1), 1, most))
+    return let(found, first)
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 

@@ -200,9 +200,8 @@ def _dated(day):
 
 
 def timeline_mentions(spark, sf_dir):
-    text = _dated(F.col("o_orderdate"))
-    dates = calendar.written_dates(text)
-    rows = _t(spark, sf_dir, "orders").select("o_orderkey", dates.alias("d"), calendar.events_of(text, dates).alias("e"))
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", _dated(F.col("o_orderdate")).alias("text")).withColumn("d", calendar.written_dates(F.col("text")))
+    rows = rows.select("o_orderkey", "d", calendar.events_of(F.col("text"), F.col("d")).alias("e"))
     return rows.select("o_orderkey", F.array_join("d", "|").alias("dates"), F.get("e", F.lit(1))["event"].alias("second_event"))
 
 
@@ -218,8 +217,8 @@ def currency_mentions(spark, sf_dir):
     """Amounts that are money: with a currency in or after them, the longest of those within one another."""
     key = F.col("o_orderkey").cast("string")
     text = F.concat(F.lit("They paid "), key, F.lit(" crore taka, then Tk 1,"), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0"), F.lit(" and 7 million people saw 3 lakh 500 taka; 2 billion USD"))
-    found = money.mentions(text)
-    rows = _t(spark, sf_dir, "orders").select("o_orderkey", found.alias("m"), money.with_currency(text, found).alias("w"))
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")).withColumn("m", money.mentions(F.col("text")))
+    rows = rows.select("o_orderkey", "m", money.with_currency(F.col("text"), F.col("m")).alias("w"))
     return rows.select("o_orderkey", F.size("m").cast("long").alias("n"), F.array_max(F.transform("m", lambda x: x["value"])).cast("long").alias("most"), F.array_join("w", "|").alias("money"))
 
 

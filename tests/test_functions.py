@@ -186,3 +186,13 @@ def test_first_phrases_are_whole_words(spark):
     hits, first = gazetteer.first_phrases(F.col("t"), [("der|die", "german"), ("the", "english")])
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.array_join(hits, ",").alias("h"), first.alias("f"))
     assert {r["i"]: (r["h"], r["f"]) for r in rows.collect() if r["h"]} == {2: ("german", "german"), 3: ("german,english", "german"), 4: ("english", "english")}
+
+
+def test_mentions_look_for_each_pattern_once(spark):
+    """Patterns are looked for once a text, not once for every mention found."""
+    rows = spark.createDataFrame([("7 crore taka",)], "a string")
+    looks = lambda c: rows.select(c.alias("x"))._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(")
+    assert looks(money.mentions(F.col("a"))) == len(money.WAYS)
+    assert looks(money.with_currency(F.col("a"), money.mentions(F.col("a")))) == len(money.WAYS)
+    assert looks(calendar.written_dates(F.col("a"))) == len(calendar.DATE_PATTERNS)
+    assert looks(calendar.events_of(F.col("a"), calendar.written_dates(F.col("a")))) == len(calendar.DATE_PATTERNS)
