@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import text as T
+
 
 def add_working_days(day: Column, n: int) -> Column:
     """The ``n``-th working day after ``day``.
@@ -64,20 +66,21 @@ DATE_PATTERNS = (
 
 def written_dates(text: Column, most: int = 10) -> Column:
     """The first ``most`` dates as they are written, by pattern and place, without repeats by case."""
-    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in DATE_PATTERNS])
-    low = F.transform(found, F.lower)
-    return F.slice(F.filter(found, lambda x, i: F.array_position(low, F.lower(x)) == i + 1), 1, most)
+    found = T.let(text, lambda t: F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in DATE_PATTERNS]))
+    return T.without_repeats(found, most)
 
 
 def events_of(text: Column, dates: Column) -> Column:
     """Each written date with its surroundings: ten characters before it and a hundred after, 160 at most."""
-    def one(d: Column) -> Column:
-        at = F.instr(text, d)
+    def near(t: Column, d: Column, at: Column) -> Column:
         start = F.greatest(F.lit(1), at - 10)
-        near = F.substring(text, start, at - start + F.length(d) + 100)
-        return F.struct(d.alias("date"), F.substring(F.trim(F.regexp_replace(near, r"\s+", " ")), 1, 160).alias("event"))
+        return F.substring(t, start, at - start + F.length(d) + 100)
+
+    def one(t: Column, d: Column) -> Column:
+        around = T.let(F.instr(t, d), lambda at: near(t, d, at))
+        return F.struct(d.alias("date"), F.substring(F.trim(F.regexp_replace(around, r"\s+", " ")), 1, 160).alias("event"))
 
-    return F.transform(dates, one)
+    return T.let(text, lambda t: F.transform(dates, lambda d: one(t, d)))
 
 
 def updated_on(text: Column) -> Column:
