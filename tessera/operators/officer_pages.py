@@ -319,10 +319,10 @@ def reject_reason(url: Column, alt: Column, title: Column, width: Column, height
     )
 
 
-def named(c: Column) -> Column:
+def named(c: Column, blanks: tuple[str, ...] = BLANK_VALUES) -> Column:
     """Whether a value can be an officer's name: not blank or a placeholder, letters in it, no address, no digits only."""
     v = F.trim(F.coalesce(c, F.lit("")))
-    return (F.length(v) >= 2) & ~F.lower(v).isin(*BLANK_VALUES) & ~F.contains(v, F.lit("@")) & v.rlike(r"\p{L}")
+    return (F.length(v) >= 2) & ~F.lower(v).isin(*blanks) & ~F.contains(v, F.lit("@")) & v.rlike(r"\p{L}")
 
 
 # Pages
@@ -439,7 +439,7 @@ def _labelled(parts: DataFrame) -> DataFrame:
     return rows.select("page_id", "block", "role", "card", "i", "k", "pos", field.alias("field"), F.trim(F.regexp_replace(value, f"^[\\s:ঃ：]+", "")).alias("value")).where("field IS NOT NULL")
 
 
-def _states(blocks: DataFrame, parts: DataFrame, labelled: DataFrame, plain: bool = False) -> DataFrame:
+def _states(blocks: DataFrame, parts: DataFrame, labelled: DataFrame, blanks: tuple[str, ...], plain: bool = False) -> DataFrame:
     """A row for each block and field: value, state, pos, and how many names the block has.  In ``plain`` text an address that is the only one
     needs no label."""
     key = ["page_id", "block"]
@@ -447,7 +447,7 @@ def _states(blocks: DataFrame, parts: DataFrame, labelled: DataFrame, plain: boo
     one = labelled.withColumns({"r": F.row_number().over(first), "n": F.count("*").over(Window.partitionBy(*key, "field"))}).where("r = 1")
     mail = F.regexp_replace(F.regexp_replace("value", r"(?i)\s*[\[(]\s*(?:at|@)\s*[\])]\s*", "@"), r"(?i)\s*[\[(]\s*dot\s*[\])]\s*", ".")
     found = F.regexp_extract(mail, EMAIL, 0)
-    is_mail, blank = F.col("field") == "Email", (F.col("value") == "") | F.lower("value").isin(*BLANK_VALUES)
+    is_mail, blank = F.col("field") == "Email", (F.col("value") == "") | F.lower("value").isin(*blanks)
     cloaked = is_mail & F.col("value").rlike(f"(?i){CLOAKED}")
     state = F.when(blank | cloaked, "PAGE_EMPTY").when(is_mail & (found == ""), "PARSE_MISS").otherwise("FILLED")
     one = one.select(*key, "field", "pos", "n", state.alias("state"), F.when(state == "FILLED", F.when(is_mail, found).otherwise(F.col("value"))).otherwise("").alias("value"))
@@ -483,9 +483,13 @@ def _plain_blocks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class Pages:
-    """Officer pages: ``pages`` has an id, the page's address and its HTML.  Lines are read and told once, for fields and photos."""
+    """Officer pages: ``pages`` has an id, the page's address and its HTML.  Lines are read and told once, for fields and photos.
 
-    def __init__(self, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", recover: bool = True):
+    ``blanks``: values that stand for none, in lower case; empty where any word may be a value.
+    """
+
+    def __init__(self, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", recover: bool = True, blanks: tuple[str, ...] = BLANK_VALUES):
+        self.blanks = blanks
         self.lines = held(_lines(streams(pages, id_col, url_col, html_col, recover)), "lines")
         self.blocks = held(_blocks(self.lines), "blocks")
 
@@ -497,16 +501,16 @@ class Pages:
         parts = held(_block_lines(self.lines, self.blocks.join(by_row, ["page_id", "block"], "left_anti")).select(*names).unionByName(rowed.select(*names)), "parts")
         plain_blocks, plain_parts = _plain_blocks(self.lines)
         plain_parts = held(plain_parts.select(*names), "parts")
-        found = _states(self.blocks, parts, _labelled(parts))
-        plain = _states(plain_blocks, plain_parts, _labelled(plain_parts), plain=True).where("name <> ''")
-        best = Window.partitionBy("page_id", "role").orderBy(named(F.col("name")).desc(), (F.col("name") != "").desc(), F.col("card").desc(), "block")
+        found = _states(self.blocks, parts, _labelled(parts), self.blanks)
+        plain = _states(plain_blocks, plain_parts, _labelled(plain_parts), self.blanks, plain=True).where("name <> ''")
+        best = Window.partitionBy("page_id", "role").orderBy(named(F.col("name"), self.blanks).desc(), (F.col("name") != "").desc(), F.col("card").desc(), "block")
         return found.unionByName(plain).withColumn("r", F.dense_rank().over(best)).where("r = 1").drop("r")
 
     def photos(self) -> DataFrame:
-        return _photos(self.lines, self.blocks, self.fields())
+        return _photos(self.lines, self.blocks, self.fields(), self.blanks)
 
 
-def _photos(lines: DataFrame, blocks: DataFrame, found: DataFrame) -> DataFrame:
+def _photos(lines: DataFrame, blocks: DataFrame, found: DataFrame, blanks: tuple[str, ...] = BLANK_VALUES) -> DataFrame:
     """page_id, role, url, flag: the photo of each role with a name, of those inside its block the nearest to its first field; if no block of the
     page has one, that one image outside whose name, title or file names the officer or the role.  An image that two names claim is nobody's.
     """
@@ -516,7 +520,7 @@ def _photos(lines: DataFrame, blocks: DataFrame, found: DataFrame) -> DataFrame:
     reach = roles.join(blocks.select("page_id", "block", "from", "to"), ["page_id", "block"])
     at = reach.join(images.withColumnRenamed("page_id", "p"), (F.col("page_id") == F.col("p")) & (F.col("pos") > F.col("from")) & (F.col("pos") < F.col("to")))
     taken = at.select("page_id", "pos", "url").distinct()
-    good = at.where((F.col("reject") == "") & named(F.col("name")))
+    good = at.where((F.col("reject") == "") & named(F.col("name"), blanks))
     nearest = Window.partitionBy("page_id", "role").orderBy(F.abs(F.col("pos") - F.coalesce("anchor", "from")), "pos", "url")
     inside = good.withColumns({"r": F.row_number().over(nearest), "n": F.count("*").over(Window.partitionBy("page_id", "role"))}).where("r = 1")
     inside = inside.select("page_id", "role", "name", "url", F.when(F.col("n") > 1, "photo_multiple_in_block").otherwise("").alias("flag"))
@@ -524,7 +528,7 @@ def _photos(lines: DataFrame, blocks: DataFrame, found: DataFrame) -> DataFrame:
     some = inside.select("page_id").distinct()
     pages = reach.groupBy("page_id").agg(F.min("card").alias("cards")).where("NOT cards").join(some, "page_id", "left_anti")
     outside = images.where("reject = ''").join(taken, ["page_id", "pos", "url"], "left_anti").select("page_id", "url", "alt", "title")
-    asked = reach.join(pages, "page_id", "left_semi").where(named(F.col("name"))).join(outside, "page_id")
+    asked = reach.join(pages, "page_id", "left_semi").where(named(F.col("name"), blanks)).join(outside, "page_id")
     hay = F.lower(F.concat_ws(" ", F.regexp_extract("url", r"([^/?#]*)(?:[?#].*)?$", 1), "alt", "title"))
     own = squashed(F.regexp_replace("name", r"\([^)]*\)", ""))
     number = T.digits_only(F.regexp_extract("name", r"\(([০-৯0-9]{3,})\)", 1))

@@ -170,3 +170,19 @@ def test_places_by_brute_force():
             assert {y["i"] for y in lines if x["c_at"] < y["pos"] < x["c_end"]} <= set(range(x["c_first"], x["c_last"] + 1))
             alone = x["c_first"] == x["c_last"]
             assert not alone or x["c_at"] == 0 or any(x["c_at"] < m["pos"] < x["c_end"] for m in images)
+
+
+def test_words_of_the_page_are_values(spark, tmp_path):
+    """Sections say the page's own words, placeholders among them, in each shape; their SQL says the same."""
+    import duckdb
+
+    from tessera.plans import officers
+
+    html = "<html><body><h1>{}</h1></body></html>"
+    heads = [f"{w}{' ' * k}" for w in ("Ala test Bel na Cor Demo", "none Test", "test") for k in range(4)]
+    rows = [(i, f"https://a.example.com/en/{i}", html.format(h)) for i, h in enumerate(heads)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for query, sql in officers.QUERIES.values():
+        assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == sorted(con.execute(sql).fetchall())
