@@ -61,6 +61,8 @@ BACKGROUND = re.compile(r"background(?:-image)?\s*:[^;]*url\(\s*['\"]?([^'\")]+)
 ROLE_WORDS = {"primary": ("primary", "designated", "দায়িত্বপ্রাপ্ত"), "alternate": ("alternate", "alternative", "বিকল্প"), "appellate": ("appellate", "আপীল", "আপিল")}
 FONT = re.compile(r"font-family\s*:\s*([^;]+)", re.I)
 LEAST_SIDE = 80
+#: Pages whose lines a task in Python holds at once.
+AT_ONCE = 16
 #: Text before a card's heading is shorter than this.
 MOST_BEFORE = 200
 
@@ -257,7 +259,7 @@ def streams(pages: DataFrame, id_col: str, url_col: str, html_col: str, recover:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = (integrity.known, legacy.known("read")) if recover else None
-        for b in batches:
+        for b in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
             found = [parsed(h, u, words) for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.list_(_LINE)), pa.array([x for _, x in found], pa.list_(_IMAGE))], ["page_id", "lines", "images"])
 

@@ -186,3 +186,15 @@ def test_words_of_the_page_are_values(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     for query, sql in officers.QUERIES.values():
         assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == sorted(con.execute(sql).fetchall())
+
+
+def test_pages_are_read_a_few_at_a_time(spark, monkeypatch):
+    """However many pages a batch has, the lines of a few are held."""
+    import pyarrow as pa
+
+    pages, run = spark.createDataFrame([(0, "", "")], "page_id long, url string, html string"), []
+    monkeypatch.setattr(type(pages), "mapInArrow", lambda self, f, schema: run.append(f))
+    officer_pages.streams(pages, "page_id", "url", "html", False)
+    whole = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([""] * 100), pa.array(["<p>a</p>"] * 100)], ["page_id", "url", "html"])
+    sizes = [b.num_rows for b in run[0](iter([whole]))]
+    assert sum(sizes) == 100 and max(sizes) <= officer_pages.AT_ONCE
