@@ -11,12 +11,19 @@ from pyspark.sql import functions as F
 
 
 def millis(ts: Column) -> Column:
-    """Milliseconds since 1970, for timestamps with and without a zone."""
-    return F.unix_millis(ts.cast("timestamp"))
+    """Milliseconds since 1970, the nearest ones (halves away from 1970), for timestamps with and without a zone."""
+    ts = ts.cast("timestamp")
+    whole, micros = F.unix_millis(ts), F.unix_micros(ts)
+    return whole + F.when(micros - 1000 * whole > F.when(micros < 0, 500).otherwise(499), 1).otherwise(0)
+
+
+def two_places(c: Column) -> Column:
+    """A number from 0 on to two places as doubles have it, so 1.005, which is a little less, becomes 1.0; ``round`` goes by its digits."""
+    return F.floor(c * 100 + 0.5) / 100
 
 
 def minutes_between(start: Column, end: Column) -> Column:
-    return F.round((millis(end) - millis(start)) / 60000.0, 2)
+    return two_places((millis(end) - millis(start)) / F.lit(60000.0))
 
 
 def session_rollup(events: DataFrame, session: str, kind: str, ts: str, event_id: str, value: str, page_kind: str = "view") -> DataFrame:
@@ -54,7 +61,7 @@ def user_summary(events: DataFrame, user: str, kind: str, ts: str, page_kind: st
         F.sum("views").alias("page_views"),
         F.floor(F.sum(ms) / 3600000).cast("long").alias("hours"),
         (F.floor(F.sum(ms) / 60000) % 60).cast("long").alias("minutes"),
-        F.round(F.sum("n") / F.count("*"), 2).alias("per_session"),
+        two_places(F.sum("n") / F.count("*")).alias("per_session"),
     )
 
 

@@ -196,3 +196,18 @@ def test_mentions_look_for_each_pattern_once(spark):
     assert looks(money.with_currency(F.col("a"), money.mentions(F.col("a")))) == len(money.WAYS)
     assert looks(calendar.written_dates(F.col("a"))) == len(calendar.DATE_PATTERNS)
     assert looks(calendar.events_of(F.col("a"), calendar.written_dates(F.col("a")))) == len(calendar.DATE_PATTERNS)
+
+
+def test_milliseconds_and_places_as_in_sql(spark):
+    import duckdb
+
+    from tessera.operators import sessions
+
+    con, rows = duckdb.connect(), []
+    for ts in ("2024-01-01 00:00:00.001499", "2024-01-01 00:00:00.0015", "2024-01-01 00:00:00.002501", "2024-01-01 00:00:00", "1969-12-31 23:59:59.9985", "1969-12-31 23:59:59.998501", "1969-12-31 23:59:59.998499"):
+        rows.append((ts, *con.execute(f"SELECT epoch_ms(TIMESTAMP '{ts}')").fetchall()[0]))
+    got = spark.createDataFrame(rows, "t string, want long").select("want", sessions.millis(F.col("t").cast("timestamp")).alias("got")).collect()
+    assert all(r["got"] == r["want"] for r in got)
+    values = [i / 40 for i in range(1, 400)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", sessions.two_places(F.col("v")).alias("x")).collect()
+    assert [r["x"] for r in got] == [con.execute("SELECT round(?::DOUBLE, 2)", [r["v"]]).fetchall()[0][0] for r in got]
