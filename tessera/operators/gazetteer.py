@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cluster import ship
+from ..functions import text as T
 
 #: Most patterns of a dictionary that is sent with the tasks.
 MOST = 100_000
@@ -40,8 +41,8 @@ def located(found: DataFrame) -> DataFrame:
 def first_phrases(text: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     """Of rules (phrase, office) in order: the offices whose phrase the text has as whole words, and the first of them.  A phrase is a pattern in lower
     case, which may have alternatives."""
-    low = F.lower(text)
-    hits = F.array_compact(F.array(*[F.when(low.rlike(f"(^|[^{LETTERS}])(?:{p})([^{LETTERS}]|$)"), F.lit(o)) for p, o in rules]))
+    whole = lambda p: f"(?<![{LETTERS}])(?:{p})(?![{LETTERS}])"
+    hits = T.let(F.lower(text), lambda low: F.array_compact(F.array(*[F.when(low.rlike(whole(p)), F.lit(o)) for p, o in rules])))
     return hits, F.get(hits, F.lit(0))
 
 

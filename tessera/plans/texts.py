@@ -112,8 +112,10 @@ PHRASES = [("mit license", "licences"), ("la", "romance"), ("der|die", "german")
 
 def phrase_priority(spark, sf_dir):
     """Offices whose phrases a document has, and the first rule's."""
-    hits, primary = gazetteer.first_phrases(F.col("text"), PHRASES)
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(hits, ",").alias("offices"), primary.alias("primary")).where("primary IS NOT NULL")
+    hits, _ = gazetteer.first_phrases(F.col("text"), PHRASES)
+    # A filter on the hits would look for them once more; a row comes of each text that has some.
+    some = F.explode(T.let(hits, lambda h: F.when(F.size(h) > 0, F.array(h))))
+    return _docs(spark, sf_dir).select("doc_id", some.alias("h")).select("doc_id", F.array_join("h", ",").alias("offices"), F.get("h", F.lit(0)).alias("primary"))
 
 
 NAMES = ("released under a mit license", "licenced under an apache license", "under some license")

@@ -211,3 +211,10 @@ def test_milliseconds_and_places_as_in_sql(spark):
     values = [i / 40 for i in range(1, 400)]
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", sessions.two_places(F.col("v")).alias("x")).collect()
     assert [r["x"] for r in got] == [con.execute("SELECT round(?::DOUBLE, 2)", [r["v"]]).fetchall()[0][0] for r in got]
+
+
+def test_phrases_are_looked_for_once(spark):
+    from tessera.plans import texts
+
+    plan = texts.phrase_priority(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("mit license") == 1
