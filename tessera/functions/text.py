@@ -181,14 +181,20 @@ def grapheme_count(c: Column) -> Column:
     return count(c)
 
 
+#: Texts that are in a normal form whatever stands next to what: of characters below the first one that can change.
+AS_THEY_ARE = {"NFC": "\\A[\\x{0}-\\x{2FF}]*+\\z", "NFD": "\\A[\\x{0}-\\x{BF}]*+\\z", "NFKC": "\\A[\\x{0}-\\x{9F}]*+\\z", "NFKD": "\\A[\\x{0}-\\x{9F}]*+\\z"}
+
+
 def unicode_form(c: Column, form: str = "NFC") -> Column:
-    """A Unicode normal form, which Spark has no function for."""
+    """A Unicode normal form, which Spark has no function for.  Texts in ``AS_THEY_ARE`` are in it and don't go to Python."""
 
     @F.arrow_udf("string")
     def put(values: pa.Array) -> pa.Array:
         return pa.array([None if v is None else unicodedata.normalize(form, v) for v in values.to_pylist()], pa.string())
 
-    return put(c)
+    if form not in AS_THEY_ARE:
+        return put(c)
+    return F.coalesce(put(F.when(~c.rlike(AS_THEY_ARE[form]), c)), c)
 
 
 def sentences(c: Column, least: int = 20) -> Column:

@@ -87,11 +87,20 @@ def compared(a: Column, b: Column) -> Column:
     """Two texts, normalised to NFC and single blanks: whether they match, both digests, and the shared part of the smaller word set; null
     where one is blank."""
     clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(T.unicode_form(F.coalesce(c, F.lit(""))), T.INVISIBLE, ""), r"\s+", " "))
-    x, y = clean(a), clean(b)
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), " "), lambda w: F.length(w) > 1))
-    share = F.size(F.array_intersect(words(x), words(y))) / F.greatest(F.lit(1), F.least(F.size(words(x)), F.size(words(y))))
-    row = F.struct((x == y).alias("match"), F.sha2(x, 256).alias("a_sha256"), F.sha2(y, 256).alias("b_sha256"), F.round(share, 2).alias("overlap"))
-    return F.when((x != "") & (y != ""), row)
+
+    def share(x: Column, y: Column) -> Column:
+        part = F.size(F.array_intersect(x, y)) / F.greatest(F.lit(1), F.least(F.size(x), F.size(y)))
+        return F.round(part, 2)
+
+    def row(x: Column, y: Column) -> Column:
+        # Equal texts have the same digest and words.
+        of_x, same = F.sha2(x, 256), x == y
+        alike = T.let(words(x), lambda v: F.when(same, F.when(F.size(v) > 0, 1.0).otherwise(0.0)).otherwise(T.let(words(y), lambda w: share(v, w))))
+        out = T.let(of_x, lambda d: F.struct(same.alias("match"), d.alias("a_sha256"), F.when(same, d).otherwise(F.sha2(y, 256)).alias("b_sha256"), alike.alias("overlap")))
+        return F.when((x != "") & (y != ""), out)
+
+    return T.let(F.struct(clean(a).alias("x"), clean(b).alias("y")), lambda z: row(z["x"], z["y"]))
 
 
 def path_counts(events: DataFrame, path: str, part: str = "/api/", top: int = 15) -> DataFrame:

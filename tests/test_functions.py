@@ -218,3 +218,22 @@ def test_phrases_are_looked_for_once(spark):
 
     plan = texts.phrase_priority(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("mit license") == 1
+
+
+def test_normal_forms_of_texts_that_have_them(spark):
+    import unicodedata
+
+    points = [*range(1, 0x400), 0x1100, 0x1161, 0x9DF, 0x2126, 0xFB01]
+    texts = [chr(i) + chr(j) for i in points for j in (0x41, 0x301)] + ["", "a\nb", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "a string").select("a", *[T.unicode_form(F.col("a"), f).alias(f) for f in T.AS_THEY_ARE]).collect()
+    for r in rows:
+        assert all(r[f] == (None if r["a"] is None else unicodedata.normalize(f, r["a"])) for f in T.AS_THEY_ARE)
+
+
+def test_compared_texts_are_cleaned_once(spark):
+    from tessera.operators import gates
+
+    rows = spark.createDataFrame([("a  b", "a b"), ("aa b", "aa cc"), ("x", " "), ("x", "x")], "a string, b string").select("a", gates.compared(F.col("a"), F.col("b")).alias("x"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 2
+    got = [r["x"] for r in rows.collect()]
+    assert [(x.match, x.a_sha256 == x.b_sha256, x.overlap) if x else None for x in got] == [(True, True, 0.0), (False, False, 1.0), None, (True, True, 0.0)]
