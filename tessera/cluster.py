@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a context."""
+    """Sends this package to the executors, once a context, and keeps Arrow batches small, since one text may have megabytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     context = spark.sparkContext
     if getattr(context, "_tessera_shipped", False):
         return

@@ -149,3 +149,13 @@ def test_lexicon_ratio(spark):
     rows = spark.createDataFrame([(1, "কখ গঘ কখ abc"), (2, ""), (3, None), (4, "১২")], "k int, t string")
     words = spark.createDataFrame([("কখ",), (None,)], "w string")
     assert {r["k"]: round(r["ratio"], 6) for r in integrity.lexicon_ratio(rows, "k", "t", words, "w").collect()} == {1: 0.666667, 2: 1.0, 3: 1.0, 4: 1.0}
+
+
+def test_workers_remember_a_bounded_part(spark, monkeypatch):
+    """Neither many words nor long ones fill a worker, and batches stay small."""
+    monkeypatch.setattr(legacy, "KNOWN", 8)
+    words = legacy._Words(str.upper)
+    assert [words[x] for x in ("a" * 1000, *map(str, range(100)))] == ["A" * 1000, *map(str, range(100))]
+    assert len(words) <= 8 and "a" * 1000 not in words
+    legacy.to_legacy(F.lit(""))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
