@@ -159,3 +159,23 @@ def test_workers_remember_a_bounded_part(spark, monkeypatch):
     assert len(words) <= 8 and "a" * 1000 not in words
     legacy.to_legacy(F.lit(""))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
+
+
+def test_a_word_is_judged_by_one_look_up(monkeypatch):
+    """Words that are remembered take no pattern again, and long ones aren't remembered."""
+    words = integrity._Words()
+    text = " ".join(["কিি", "কা"] * 50 + ["ক" * 200])
+    first = integrity.judged(text, None, words)
+    assert first == (integrity.BROKEN, ["double_matra"]) and len(words) == 2
+
+    class Once:
+        def __init__(self, p):
+            self.p, self.n = p, 0
+
+        def search(self, x):
+            self.n += 1
+            return self.p.search(x)
+
+    block = Once(integrity._BLOCK)
+    monkeypatch.setattr(integrity, "_BLOCK", block)
+    assert integrity.judged(text, None, words) == first and block.n <= 2
