@@ -103,3 +103,23 @@ def test_related_news_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "MOST_PAIRS", 3)
     assert sorted(map(tuple, retrieval.related_news(a, b, 3).collect())) == want
     assert retrieval.related_news(a.limit(0), b).count() == 0 and retrieval.related_news(a, b.limit(0)).count() == 0
+
+
+def test_jaccard_neighbours_equal_brute_force(spark):
+    """Copies, near copies, exact halves and sets of very different sizes, against all pairs in Python; nothing is joined word by word."""
+    rng = random.Random(11)
+    base = [rng.sample(range(400), rng.choice((1, 2, 3, 9, 30, 90, 250))) for _ in range(60)]
+    near = [[w for w in rng.choice(base) if rng.random() < 0.8] + rng.sample(range(400, 450), rng.randrange(4)) for _ in range(120)]
+    sets = base + near + base[:8] * 5 + [[1, 2, 3, 4], [1, 2, 3, 5, 6, 4, 7, 8], []]
+    rows = [(7 * i % 1009, [f"w{w}" for w in s]) for i, s in enumerate(sets)] + [(5000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, words array<string>")
+    out = retrieval.jaccard_neighbours(docs, "doc_id", F.col("words"), 3)
+    assert not re.search(r"Join Inner, .*\bw#", out._jdf.queryExecution().toString())
+    got = {(r["a"], r["rank"]): (r["b"], r["sim"]) for r in out.collect()}
+    want = {}
+    for a, s in rows:
+        found = [(b, len(set(s) & set(t)), len(set(s) | set(t))) for b, t in rows if b != a and s and t]
+        found = sorted((-round(i / u, 4), b) for b, i, u in found if 2 * i > u)[:3]
+        want |= {(a, k): (b, -sim) for k, (sim, b) in enumerate(found, 1)}
+    assert got.keys() == want.keys() and all(got[k][0] == b and abs(got[k][1] - sim) < 1.1e-4 for k, (b, sim) in want.items())
+    assert not any(min(got[k][1], 1.0) <= 0.5 for k in got)
