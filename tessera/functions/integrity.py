@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import ship
+from ..cluster import held, ship
 from . import text as T
 
 EMPTY, ENGLISH, UNICODE, LEGACY, BROKEN, MIXED, UNKNOWN = "EMPTY", "ENGLISH_OK", "UNICODE_OK", "BIJOY_ANSI", "VISUAL_ORDER_BROKEN", "MIXED", "UNKNOWN"
@@ -155,16 +155,24 @@ def classify(c: Column, font: Column | None = None) -> Column:
     return run(c, F.lit(None).cast("string") if font is None else font)
 
 
+#: Most words of a lexicon that are sent with the tasks; beyond it they are shuffled.
+MOST_WORDS = 1_000_000
+
+
 def lexicon_ratio(rows: DataFrame, key: str, text: str, lexicon: DataFrame, word: str) -> DataFrame:
     """``key`` and ``ratio``, the share of a text's words that the lexicon has, repeats counted; 1 for texts without words.
 
-    Words are counted a text before they are joined, so a text sends each of its words once.
+    The lexicon's words are counted; while they are few they go to the texts' tasks, so that two numbers a text are shuffled.  Else words are
+    counted a text before they are joined, so a text sends each of its words once.
     """
-    words = F.filter(F.split(F.col(text), "[^\\p{IsBengali}\u200c\u200d]+"), lambda x: x.rlike(LETTER))
-    counted = rows.select(key, F.explode(words).alias("_w")).groupBy(key, "_w").agg(F.count("*").alias("_n"))
-    known = lexicon.select(F.col(word).alias("_w")).where(F.col("_w").isNotNull()).distinct().withColumn("_known", F.lit(1))
-    found = counted.join(known, "_w", "left").groupBy(key).agg((F.sum(F.when(F.col("_known") == 1, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("ratio"))
-    return rows.select(key).distinct().join(found, key, "left").select(key, F.coalesce("ratio", F.lit(1.0)).alias("ratio"))
+    known = lexicon.select(F.col(word).alias("_w")).where(F.col("_w").rlike(LETTER)).distinct().withColumn("_known", F.lit(1))
+    known = held(known, "lexicon")
+    few = known.limit(MOST_WORDS + 1).count() <= MOST_WORDS
+    each = rows.select(key, F.explode_outer(F.split(F.col(text), "[^\\p{IsBengali}\u200c\u200d]+")).alias("_w"))
+    each = each.withColumn("_n", F.lit(1)) if few else each.groupBy(key, "_w").agg(F.count("*").alias("_n"))
+    found = each.join(F.broadcast(known) if few else known, "_w", "left")
+    sums = [F.sum(F.when(c, F.col("_n")).otherwise(0)) for c in (F.col("_known") == 1, F.col("_w").rlike(LETTER))]
+    return found.groupBy(key).agg(*(c.alias(k) for c, k in zip(sums, ("_hit", "_all"), strict=True))).select(key, F.when(F.col("_all") > 0, F.col("_hit") / F.col("_all")).otherwise(F.lit(1.0)).alias("ratio"))
 
 
 def _common(a: list[str], b: list[str]) -> int:

@@ -1,6 +1,7 @@
 """Legacy font codes and text integrity, by known words and by syllables put together at random."""
 
 import random
+import re
 import unicodedata
 
 import pytest
@@ -151,6 +152,19 @@ def test_lexicon_ratio(spark):
     assert {r["k"]: round(r["ratio"], 6) for r in integrity.lexicon_ratio(rows, "k", "t", words, "w").collect()} == {1: 0.666667, 2: 1.0, 3: 1.0, 4: 1.0}
 
 
+def test_a_small_lexicon_goes_to_the_texts(spark, monkeypatch):
+    """No word of a text is shuffled while the lexicon is counted as small; beyond that the ratios are the same."""
+    rows = spark.createDataFrame([(1, "কখ গঘ কখ abc ১২"), (2, ""), (3, None), (4, "১২ গঘ"), (5, "কখ"), (5, "খ"), (None, "কখ")], "k int, t string")
+    words = spark.createDataFrame([("কখ",), ("কখ",), ("১২",), ("",), (None,)], "w string")
+    monkeypatch.setattr(F, "broadcast", lambda df, f=F.broadcast: sent.append(1) or f(df))
+    for most, sends in ((1_000_000, [1]), (0, [])):
+        sent = []
+        monkeypatch.setattr(integrity, "MOST_WORDS", most)
+        out = integrity.lexicon_ratio(rows, "k", "t", words, "w")
+        assert sent == sends and bool(re.search(r"hashpartitioning\([^)]*_w", out._jdf.queryExecution().toString())) == (not sends)
+        assert {r["k"]: round(r["ratio"], 6) for r in out.collect()} == {1: 0.666667, 2: 1.0, 3: 1.0, 4: 0.0, 5: 0.5, None: 1.0}
+
+
 def test_workers_remember_a_bounded_part(spark, monkeypatch):
     """Neither many words nor long ones fill a worker, and batches stay small."""
     monkeypatch.setattr(legacy, "KNOWN", 8)
